@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from . import q_edits, q_text  # noqa: F401
+from . import q_edits, q_judging, q_rewrites, q_sources, q_text  # noqa: F401
 
 
 def flagship(spark, sf_dir):

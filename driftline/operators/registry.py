@@ -21,7 +21,8 @@ RELATIONS: dict[str, Callable[..., Column]] = {}
 VERIFIERS: dict[str, Callable[..., Column]] = {}
 
 # Relations that need the encoder's similarity, and functions that need a helper's answer.
-NEEDS_SIMILARITY = {"similar", "not_similar"}
+NEEDS_KNOWN = {"similar_or_unknown", "not_similar_or_unknown"}
+NEEDS_SIMILARITY = {"similar", "not_similar"} | NEEDS_KNOWN
 NEEDS_HELPER_JUDGE = {"helper_says_true"}
 NEEDS_HELPER_CHECK = {"helper_true", "helper_not_true", "symmetric", "asymmetric"}
 
@@ -147,6 +148,8 @@ RELATIONS.update(
         ),
         "similar": lambda a, b, s, h, p: R.similar(a, b, s, _f(p, "threshold", 0.6)),
         "not_similar": lambda a, b, s, h, p: R.not_similar(a, b, s, _f(p, "threshold", 0.6)),
+        "similar_or_unknown": lambda a, b, s, h, p: R.similar(a, b, s, _f(p, "threshold", 0.6)),
+        "not_similar_or_unknown": lambda a, b, s, h, p: R.not_similar(a, b, s, _f(p, "threshold", 0.6)),
         "helper_says_true": lambda a, b, s, h, p: R.says_true(h),
     }
 )

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.draws import draw, let, seed_for
-from ..functions.text import clean_text, join_inputs, parse_keywords, sentences
+from ..functions.text import clean_text, join_inputs, parse_keywords, sentences, strip
 from ..plans.templates import Template, template
 from .model_calls import AnswerStore, ColumnModel, Model, ask
 from .pools import Pool, next_prime
@@ -145,13 +145,17 @@ def _open_end(dotted: Column, closed: Column) -> Column:
     return F.when(closed | (count == 0), dotted).otherwise(F.concat(F.slice(dotted, F.lit(1), count - 1), F.array(last)))
 
 
+def _sentences_of_mood(mood: str) -> Column:
+    return F.array_join(F.transform(F.filter("_pairs", lambda p: p["mood"] == mood), lambda p: p["s"]), " ")
+
+
 def group_by_sentiment(df: DataFrame, edit: Edit) -> DataFrame:
     """Sentences (cut at full stops) in the order positive, negative, neutral; repeated ones stay once."""
     new = {}
     for index in changed_indices(edit):
         text = input_at(index)
         raw = F.filter(F.split(text, r"\."), lambda s: s != "")
-        dotted = F.transform(raw, lambda s: F.concat(F.trim(s), F.lit(".")))
+        dotted = F.transform(raw, lambda s: F.concat(strip(s), F.lit(".")))
         distinct = F.array_distinct(let(dotted, lambda d: _open_end(d, F.endswith(text, F.lit(".")))))
         new[index] = f"_{edit.out}_{index}"
         if isinstance(edit.helper, ColumnModel):
@@ -170,10 +174,7 @@ def group_by_sentiment(df: DataFrame, edit: Edit) -> DataFrame:
                 .select(ROW, F.transform("_p", lambda p: F.struct(p["mood"].alias("mood"), p["s"].alias("s"))).alias("_pairs"))
             )
             df = df.join(pairs, ROW, "left")
-        groups = [
-            F.array_join(F.transform(F.filter("_pairs", lambda p, m=m: p["mood"] == m), lambda p: p["s"]), " ")
-            for m in ("positive", "negative", "neutral")
-        ]
+        groups = [_sentences_of_mood(m) for m in ("positive", "negative", "neutral")]
         parts = F.filter(F.array(*groups), lambda g: g != "")
         df = df.withColumn(new[index], F.coalesce(F.array_join(parts, " "), F.lit(""))).drop("_pairs")
     return _finish(df, new, edit)

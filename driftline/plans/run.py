@@ -12,12 +12,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.answer_checks import known_or_unknown
 from ..operators.encoders import Encoder
 from ..operators.model_calls import AnswerStore, ColumnModel, Model, ask
 from ..operators.pools import Pool
 from ..operators.registry import (
     NEEDS_HELPER_CHECK,
     NEEDS_HELPER_JUDGE,
+    NEEDS_KNOWN,
     NEEDS_SIMILARITY,
     RELATIONS,
     TRANSFORMS,
@@ -191,10 +193,21 @@ def verdicts(df: DataFrame, tests: list[Test], res: Resources) -> DataFrame:
     source, followup = F.col("source_output"), F.col("followup_output")
     judged = {t.mr: t.props[RELATION] for t in tests}
     answered = followup.isNotNull() & source.isNotNull()
+    disguised = [mr for mr, p in judged.items() if p.fn in NEEDS_KNOWN]
+    if disguised:
+        # These relations look at copies of the answers in which a disguised "unknown" is spelt out.
+        wanted = F.col("mr").isin(disguised) & answered
+        df = df.withColumns({"_source": source, "_followup": followup})
+        for column in ("_source", "_followup"):
+            df = known_or_unknown(df, column, res.helper, res.store, wanted)
     close = [mr for mr, p in judged.items() if p.fn in NEEDS_SIMILARITY]
     if close:
         needed = F.col("mr").isin(close) & answered
-        df = df.withColumn("_similarity", res.encoder.similarity(F.when(needed, source), F.when(needed, followup)))
+        pair = [source, followup]
+        if disguised:
+            spelt_out = F.col("mr").isin(disguised)
+            pair = [F.when(spelt_out, F.col(f"_{c}")).otherwise(F.col(f"{c}_output")) for c in ("source", "followup")]
+        df = df.withColumn("_similarity", res.encoder.similarity(*[F.when(needed, c) for c in pair]))
     helper_columns: dict[str, str] = {}
     for mr, prop in judged.items():
         key = prop.params.get("template")
@@ -206,10 +219,11 @@ def verdicts(df: DataFrame, tests: list[Test], res: Resources) -> DataFrame:
 
     def build(fn: str, params: dict) -> Column:
         answer = F.col(helper_columns[params["template"]]) if fn in NEEDS_HELPER_JUDGE else None
-        return RELATIONS[fn](source, followup, F.col("_similarity") if close else None, answer, params)
+        a, b = (F.col("_source"), F.col("_followup")) if fn in NEEDS_KNOWN else (source, followup)
+        return RELATIONS[fn](a, b, F.col("_similarity") if close else None, answer, params)
 
     verdict = F.when(answered, _by_relation(tests, RELATION, build, F.lit(None).cast("boolean")))
-    return df.withColumn("verdict", verdict).drop("_similarity", *helper_columns.values())
+    return df.withColumn("verdict", verdict).drop("_similarity", "_source", "_followup", *helper_columns.values())
 
 
 LONG_COLUMNS = [

@@ -87,7 +87,7 @@ def random_names(vertex_set: Column, row: Column, seed: int) -> Column:
     """One mention per entity; the entity's place takes part in the draw."""
     return F.transform(
         vertex_set,
-        lambda v, i: F.get(v, (draw(row, i + 1, seed) % F.size(v)).cast("int"))["name"],
+        lambda v, i: F.get(v, (draw(row, i + 1, seed) % F.greatest(F.size(v), F.lit(1))).cast("int"))["name"],
     )
 
 
@@ -111,7 +111,8 @@ def random_pair(names: Column, row: Column, seed: int) -> Column:
 
 
 def random_relation(labels: Column, row: Column, seed: int) -> Column:
-    return F.get(labels, (draw(row, F.lit(1), seed) % F.size(labels)).cast("int"))
+    # Optimised plans may evaluate this before the filter on empty lists: never divide by zero.
+    return let(labels, lambda b: F.get(b, (draw(row, F.lit(1), seed) % F.greatest(F.size(b), F.lit(1))).cast("int")))
 
 
 def entity_pairs(raw: DataFrame, size: int | None = SAMPLE_SIZE, seed: int = DATA_SEED) -> DataFrame:
