@@ -1,7 +1,4 @@
 """Imports every module that registers queries."""
 
-from . import q_edits, q_judging, q_rewrites, q_sources, q_text  # noqa: F401
-
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from . import q_edits, q_judging, q_rewrites, q_run, q_sources, q_text  # noqa: F401
+from .q_run import flagship  # noqa: F401

@@ -11,14 +11,13 @@ from . import sqltext as S
 from .registry import query
 from .views import (
     documents,
-    inference_raw,
-    relation_raw,
+    inference_rows,
+    relation_rows,
     sentence_pool,
     text_rows,
     word_pool,
     word_values,
 )
-from driftline.sources import tasks as T
 
 SEED = 42
 
@@ -82,7 +81,7 @@ def re_rows_sql() -> str:
     S.with_views("SELECT row_id, text, tail AS second, head AS third FROM re_rows", "re_raw", re_rows=re_rows_sql()),
 )
 def i4(spark, sf):
-    rows = T.relation_extraction(relation_raw(spark, sf), size=None)
+    rows = relation_rows(spark, sf)
     swapped = TRANSFORMS["permute"](rows, Edit(arity=3), {"permute_to": "[0,2,1]"})
     one = F.get("variants", F.lit(0))
     return swapped.select(
@@ -442,6 +441,6 @@ def i44(spark, sf):
     ),
 )
 def p5(spark, sf):
-    rows = T.inference(inference_raw(spark, sf), size=None)
+    rows = inference_rows(spark, sf)
     edit = Edit(relation=102, indices=((0,), (1,), (0, 1)), arity=2)
     return variant_texts(TRANSFORMS["upper"](rows, edit, {}))

@@ -13,7 +13,7 @@ from . import sqltext as S
 from .doubles import ENCODER, HELPER, _answer_question, _infer, _rate, _relate
 from .q_edits import re_rows_sql
 from .registry import query
-from .views import documents, inference_raw, question_raw, relation_raw
+from .views import documents, inference_raw, question_raw, relation_rows
 
 # Pairs of answers: numbers for premise and hypothesis, labels both ways round, an answer and its question.
 NUMBERS_SQL = f"SELECT row_id, {S.rate('premise')} AS a, {S.rate('hypothesis')} AS b FROM nli_raw"
@@ -39,7 +39,7 @@ def answers(spark, sf):
 
 
 def related(spark, sf):
-    rows = T.relation_extraction(relation_raw(spark, sf), size=None)
+    rows = relation_rows(spark, sf)
     text, head, tail = (F.get("inputs", F.lit(i)) for i in range(3))
     return rows.select("row_id", _relate(text, head, tail).alias("a"), _relate(text, tail, head).alias("b"))
 

@@ -8,34 +8,21 @@ from driftline.operators.answer_checks import sentiment_word
 from driftline.operators.registry import TRANSFORMS
 from driftline.operators.rewrites import Edit
 from driftline.plans.templates import template
-from driftline.sources import tasks as T
 
 from . import sqltext as S
 from .doubles import HELPER
 from .q_edits import re_rows_sql, variant_texts
 from .registry import query
-from .views import documents, inference_raw, question_raw, relation_raw, text_rows, word_pool
+from .views import documents, inference_rows, question_rows, relation_rows, text_rows, word_pool
 
 SEED = 42
 
 
-def nli_rows(spark, sf):
-    return T.inference(inference_raw(spark, sf), size=None)
-
-
-def qa_rows(spark, sf):
-    return T.question_answering(question_raw(spark, sf), size=None)
-
-
-def re_rows(spark, sf):
-    return T.relation_extraction(relation_raw(spark, sf), size=None)
-
-
 KINDS = {
     "docs": (text_rows, 1, ("docs",), {}, ("text",), "docs"),
-    "nli": (nli_rows, 2, ("nli_raw",), {}, ("premise", "hypothesis"), "nli_raw"),
-    "qa": (qa_rows, 2, ("qa_raw",), {}, ("context", "question"), "qa_raw"),
-    "re": (re_rows, 3, ("re_raw",), {"re_rows": re_rows_sql()}, ("text", "head", "tail"), "re_rows"),
+    "nli": (inference_rows, 2, ("nli_raw",), {}, ("premise", "hypothesis"), "nli_raw"),
+    "qa": (question_rows, 2, ("qa_raw",), {}, ("context", "question"), "qa_raw"),
+    "re": (relation_rows, 3, ("re_raw",), {"re_rows": re_rows_sql()}, ("text", "head", "tail"), "re_rows"),
 }
 
 
@@ -196,7 +183,7 @@ rewritten("i36_replace_synonym", "docs", "replace_synonym", kw_rules("docs", "te
     ),
 )
 def i37(spark, sf):
-    rows = W.entity_keywords(re_rows(spark, sf), Edit(helper=HELPER, arity=3), "kw")
+    rows = W.entity_keywords(relation_rows(spark, sf), Edit(helper=HELPER, arity=3), "kw")
     return rows.select("row_id", F.posexplode("kw").alias("pos", "keyword")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -313,7 +300,7 @@ rewritten(
 def p6(spark, sf):
     """A prompt sees the input that is changed, or the whole row if it is a multi-input prompt."""
     edit = Edit(helper=HELPER, indices=((1,),), arity=2)
-    df = W.rewrite(nli_rows(spark, sf), edit, "it_prompt:paraphrasing").withColumnRenamed("variants", "one")
+    df = W.rewrite(inference_rows(spark, sf), edit, "it_prompt:paraphrasing").withColumnRenamed("variants", "one")
     df = W.rewrite(df, edit, template(f"it_prompt:{FROM_P}").key)
     seen = [F.struct(F.lit(n).alias("seen"), F.get(F.get(c, F.lit(0)), F.lit(1)).alias("text")) for n, c in (("one", "one"), ("all", "variants"))]
     return df.select("row_id", F.inline(F.array(*seen)))

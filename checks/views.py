@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from driftline.functions.draws import let
 from driftline.functions.text import sentences, words
 from driftline.operators.pools import Pool
+from driftline.session import work_folder
+from driftline.sources import tasks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,3 +108,25 @@ def sentence_pool(spark: SparkSession, sf_dir: str) -> Pool:
 
 def word_pool(spark: SparkSession, sf_dir: str) -> Pool:
     return Pool.of(word_values(spark, sf_dir), "word")
+
+
+def staged(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Source inputs as a run keeps them: written once, then read by every transformation.
+
+    Expressions that derive inputs from raw data are costly and would be inlined wherever an input is used.
+    """
+    path = work_folder(spark, "source_inputs")
+    df.write.parquet(path)
+    return spread(spark.read.parquet(path))
+
+
+def question_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.question_answering(question_raw(spark, sf_dir), size=None)
+
+
+def inference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, tasks.inference(inference_raw(spark, sf_dir), size=None))
+
+
+def relation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, tasks.relation_extraction(relation_raw(spark, sf_dir), size=None))

@@ -59,13 +59,12 @@ class Pool:
     @classmethod
     def of(cls, values: DataFrame, column: str, literal_entries: int = LITERAL_ENTRIES) -> "Pool":
         table = indexed_pool(values, column)
-        counted = table.agg(F.count("*"), F.coalesce(F.sum(F.length("value")), F.lit(0))).first()
-        if not counted[0]:
+        few = table.limit(literal_entries + 1).collect()
+        if not few:
             raise ValueError("a pool needs at least one value")
-        constant = None
-        if counted[0] <= literal_entries and counted[1] <= LITERAL_CHARACTERS:
-            constant = tuple(r["value"] for r in table.orderBy("idx").collect())
-        return cls(table, counted[0], constant)
+        if len(few) <= literal_entries and sum(len(r["value"]) for r in few) <= LITERAL_CHARACTERS:
+            return cls(table, len(few), tuple(r["value"] for r in sorted(few)))
+        return cls(table, table.count(), None)
 
     def pick(self, df: DataFrame, index: Column, out: str) -> DataFrame:
         """Add the value at ``index`` (a null index gives a null)."""
