@@ -6,9 +6,6 @@ from driftline.operators.model_calls import (
     FILTERED_TEXT,
     REPETITIVE_TEXT,
     AnswerStore,
-    BatchModel,
-    ContentFiltered,
-    RepetitivePrompt,
     ask,
 )
 from driftline.operators.prompts import fill, messages
@@ -18,7 +15,9 @@ from driftline.plans.templates import ALL_TEMPLATES, SYSTEM_LINE, template
 from driftline.session import work_folder
 from driftline.sources import tasks as T
 
+from . import q_rewrites  # noqa: F401  (its oracles are used below)
 from . import sqltext as S
+from .batch_doubles import AnswerSecondTime, batch_model, length_of_question, rate_chats, refuse_some
 from .doubles import ENCODER, HELPER, MODEL, SECOND_MODEL
 from .q_edits import re_rows_sql
 from .registry import ORACLES, query
@@ -30,6 +29,8 @@ from .views import (
     question_rows,
     relation_rows,
     sentence_pool,
+    spread,
+    table,
     text_rows,
     word_pool,
 )
@@ -101,14 +102,6 @@ def m2(spark, sf):
     return rows.select("row_id", F.col("pos").cast("bigint").alias("pos"), "m.role", "m.content")
 
 
-def _length_of_question(chats):
-    return [f"n={len(chat[-1]['content'])}" for chat in chats]
-
-
-def batch_model(name, answer, **more):
-    return BatchModel(name, answer, parallelism=8, wait_seconds=0.0, **more)
-
-
 @query(
     "m3_model_under_test",
     f"SELECT doc_id AS row_id, 'n=' || length({filled(template('sut_prompt:sentiment_analysis_continuous').prompt, 'text')}) AS output FROM documents",
@@ -116,7 +109,7 @@ def batch_model(name, answer, **more):
 def m3(spark, sf):
     """A batch function is asked each distinct question once; copies of a document share the answer."""
     res = R.Resources(HELPER, ENCODER)
-    out = R.source_outputs(text_rows(spark, sf), batch_model("length", _length_of_question), SENTIMENT, res)
+    out = R.source_outputs(text_rows(spark, sf), batch_model("length", length_of_question), SENTIMENT, res)
     return out.select("row_id", F.col("source_output").alias("output"))
 
 
@@ -125,18 +118,10 @@ def m3(spark, sf):
     f"SELECT doc_id AS row_id, 'n=' || length({filled(template('it_prompt:paraphrasing').prompt, 'text')}) AS output FROM documents",
 )
 def m4(spark, sf):
-    helper = batch_model("length", _length_of_question)
+    helper = batch_model("length", length_of_question)
     return ask(documents(spark, sf), helper, template("it_prompt:paraphrasing"), [F.col("text")], "output").select("row_id", "output")
 
 
-def _refuse_some(chats):
-    def one(chat):
-        n = len(chat[-1]["content"])
-        return {0: ContentFiltered(), 1: RepetitivePrompt()}.get(n % 3, f"n={n}")
-
-    return [one(chat) for chat in chats]
-
-
 PARAPHRASE_LENGTH = f"length({filled(template('it_prompt:paraphrasing').prompt, 'text')})"
 
 
@@ -148,26 +133,12 @@ PARAPHRASE_LENGTH = f"length({filled(template('it_prompt:paraphrasing').prompt,
 )
 def m5(spark, sf):
     df = ask(
-        documents(spark, sf), batch_model("refusing", _refuse_some), template("it_prompt:paraphrasing"), [F.col("text")], "output",
+        documents(spark, sf), batch_model("refusing", refuse_some), template("it_prompt:paraphrasing"), [F.col("text")], "output",
         keep_status=True,
     )
     return df.select("row_id", "output", "output_status")
 
 
-def _answer_second_time():
-    seen = set()
-
-    def answer(chats):
-        out = []
-        for chat in chats:
-            text = chat[-1]["content"]
-            out.append(f"n={len(text)}" if text in seen and len(text) % 5 else RuntimeError("try again"))
-            seen.add(text)
-        return out
-
-    return answer
-
-
 @query(
     "m6_bounded_retry",
     f"""SELECT row_id, CASE WHEN n % 5 <> 0 THEN 'n=' || n END AS output, CASE WHEN n % 5 <> 0 THEN 'ok' ELSE 'error' END AS output_status
@@ -175,7 +146,7 @@ def _answer_second_time():
 )
 def m6(spark, sf):
     """Every first try fails; some questions fail always, end as errors and do not stop the job."""
-    model = batch_model("unsteady", _answer_second_time(), max_retries=3)
+    model = batch_model("unsteady", AnswerSecondTime(), max_retries=3)
     df = ask(documents(spark, sf), model, template("it_prompt:paraphrasing"), [F.col("text")], "output", keep_status=True)
     return df.select("row_id", "output", "output_status")
 
@@ -564,24 +535,13 @@ def e5(spark, sf):
 # Batch calls. Copies of a document are one question; MR 49 asks its own question again.
 
 
-def _rate_chats(chats):
-    """The rating rule of the double, as a batch function on the text between the quotes of the prompt."""
-    out = []
-    for chat in chats:
-        text = chat[-1]["content"].split('"', 1)[1].rsplit('"', 1)[0].lower()
-        letters = sum("a" <= c <= "z" for c in text)
-        half = sum("a" <= c <= "m" for c in text)
-        out.append(f"0.{min(99, half * 100 // letters):02d}" if letters else "n/a")
-    return out
-
-
 @query(
     "e6_batch_calls",
     "WITH judged AS (" + sentiment_sql([49, 102, 150]) + ") SELECT mr, row_id, source_output, followup_output, verdict, failed FROM judged",
 )
 def e6(spark, sf):
     res = R.Resources(HELPER, ENCODER, store=AnswerStore(spark), seed=SEED)
-    model = batch_model("rating", _rate_chats, chunks=2)
+    model = batch_model("rating", rate_chats, chunks=2)
     long = R.run_task(text_rows(spark, sf), [model], SENTIMENT, tests_of(spark, SENTIMENT, [49, 102, 150]), res)
     return long.select("mr", "row_id", "source_output", "followup_output", "verdict", "failed")
 
@@ -595,7 +555,7 @@ def e6(spark, sf):
 def e6_asked(spark, sf):
     """What the store holds after two runs: one answer per distinct question, whatever the number of copies and runs."""
     res = R.Resources(HELPER, ENCODER, store=AnswerStore(spark), seed=SEED)
-    model = batch_model("rating", _rate_chats)
+    model = batch_model("rating", rate_chats)
     for _ in range(2):
         R.run_task(text_rows(spark, sf), [model], SENTIMENT, tests_of(spark, SENTIMENT, [49, 102]), res)
     return res.store.read().groupBy("purpose").agg(F.count("*").alias("asked"))
@@ -604,10 +564,8 @@ def e6_asked(spark, sf):
 @query("e6_hot_questions", f"SELECT doc_id AS row_id, 'n=' || length({filled(template('it_prompt:paraphrasing').prompt, 'lang')}) AS output FROM documents")
 def e6_hot(spark, sf):
     """Four questions hold all rows: their answers are broadcast and their rows leave the hot partitions."""
-    from .views import spread, table
-
     rows = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "lang"))
-    helper = batch_model("length", _length_of_question)
+    helper = batch_model("length", length_of_question)
     return ask(rows, helper, template("it_prompt:paraphrasing"), [F.col("lang")], "output", hot_minimum=2).select("row_id", "output")
 
 
@@ -652,13 +610,18 @@ def e15(spark, sf):
     return record_rows(R.records(long))
 
 
+def labelled(spark, sf, rows):
+    """The rows whose document has a label, a part of the table to start with."""
+    return rows.join(table(spark, sf, "labels").select(F.col("doc_id").alias("row_id")), "row_id", "left_semi")
+
+
 @query("e9_lazy_fill", f"SELECT doc_id AS row_id, {S.rate('text')} AS output FROM documents")
 def e9(spark, sf):
-    """Answers of a cache with holes are used, the holes are asked: half of the rows have a cached answer."""
+    """Answers of a cache with holes are used, the holes are asked: the labelled documents have a cached answer."""
     rows = text_rows(spark, sf)
     store = AnswerStore(spark)
-    res, model = R.Resources(HELPER, ENCODER, store=store), batch_model("rating", _rate_chats)
-    R.source_outputs(rows.where(F.length(F.get("inputs", F.lit(0))) % 2 == 0), model, SENTIMENT, res)
+    res, model = R.Resources(HELPER, ENCODER, store=store), batch_model("rating", rate_chats)
+    R.source_outputs(labelled(spark, sf, rows), model, SENTIMENT, res)
     return R.source_outputs(rows, model, SENTIMENT, res).select("row_id", F.col("source_output").alias("output"))
 
 
@@ -669,8 +632,6 @@ GAPS_SQL = """SELECT 'stage' AS side, count(*) AS n FROM documents WHERE doc_id
 @query("e10_alignment", GAPS_SQL)
 def e10(spark, sf):
     """Rows that one side of a stage join lacks: documents without a label, labels without a document."""
-    from .views import table
-
     ids = [table(spark, sf, n).select(F.col("doc_id").alias("row_id")) for n in ("documents", "labels")]
     return R.alignment_gaps(*ids)
 
@@ -685,10 +646,10 @@ def e11(spark, sf):
 
 
 def resumed(spark, sf):
-    """The even rows first, then everything, then everything again into the same log."""
+    """The labelled documents first, then everything, then everything again into the same log."""
     rows, res = text_rows(spark, sf), resources(spark, sf)
     tests, path = tests_of(spark, SENTIMENT, [49, 102, 150]), work_folder(spark, "results")
-    R.run_resumable(rows.where("row_id % 2 = 0"), MODEL, SENTIMENT, tests, res, path, "run-1")
+    R.run_resumable(labelled(spark, sf, rows), MODEL, SENTIMENT, tests, res, path, "run-1")
     R.run_resumable(rows, MODEL, SENTIMENT, tests, res, path, "run-2", chunks=2)
     return R.run_resumable(rows, MODEL, SENTIMENT, tests, res, path, "run-3")
 
@@ -710,7 +671,11 @@ def e13(spark, sf):
     return R.latest_run(log)
 
 
-@query("e14_skip_finished", "SELECT run, n FROM (SELECT 'run-1' AS run, count(*) FILTER (doc_id % 2 = 0) * 3 AS n FROM documents UNION ALL SELECT 'run-2', count(*) FILTER (doc_id % 2 <> 0) * 3 FROM documents)")
+@query(
+    "e14_skip_finished",
+    """SELECT 'run-1' AS run, 3 * count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
+    UNION ALL SELECT 'run-2', 3 * count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
+)
 def e14(spark, sf):
     """How many records each run added: the second only the missing ones, the third none."""
     return resumed(spark, sf).groupBy(F.substring("run_id", 1, 5).alias("run")).agg(F.count("*").alias("n"))
@@ -730,9 +695,9 @@ def s27(spark, sf):
     "violation_rates",
     sentiment_sql(
         [49, 102, 150, 151, 154],
-        """SELECT CASE WHEN grouping(task) = 0 THEN 'double-a' WHEN grouping(llm) = 0 THEN llm END AS llm, task, mr, count(*) AS judged,
+        """SELECT llm, task, mr, count(verdict) AS judged,
         (count(*) FILTER (NOT verdict))::BIGINT AS violations
-        FROM (SELECT 'double-a' AS llm, 'sentiment_analysis_continuous' AS task, * FROM judged WHERE verdict IS NOT NULL) GROUP BY ROLLUP (llm, task, mr)""",
+        FROM (SELECT 'double-a' AS llm, 'sentiment_analysis_continuous' AS task, * FROM judged) GROUP BY ROLLUP (llm, task, mr)""",
     ),
 )
 def rates(spark, sf):

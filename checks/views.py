@@ -121,7 +121,7 @@ def staged(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 def question_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.question_answering(question_raw(spark, sf_dir), size=None)
+    return staged(spark, tasks.question_answering(question_raw(spark, sf_dir), size=None))
 
 
 def inference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

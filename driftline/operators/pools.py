@@ -48,7 +48,10 @@ def next_prime(n: int) -> int:
     return candidate
 
 
-@dataclass(frozen=True)
+_LITERALS: dict["Pool", Column] = {}
+
+
+@dataclass(frozen=True, eq=False)
 class Pool:
     """An indexed table (idx, value), its size, and its values as a constant when it is small."""
 
@@ -66,10 +69,16 @@ class Pool:
             return cls(table, len(few), tuple(r["value"] for r in sorted(few)))
         return cls(table, table.count(), None)
 
+    def values(self) -> Column:
+        """The constant as an array column; built once, as it takes one literal per value."""
+        if self not in _LITERALS:
+            _LITERALS[self] = F.lit(list(self.constant))
+        return _LITERALS[self]
+
     def pick(self, df: DataFrame, index: Column, out: str) -> DataFrame:
         """Add the value at ``index`` (a null index gives a null)."""
         if self.constant is not None:
-            return df.withColumn(out, F.get(F.lit(list(self.constant)), index.cast("int")))
+            return df.withColumn(out, F.get(self.values(), index.cast("int")))
         taken = self.table.select(F.col("idx").alias("_idx"), F.col("value").alias(out))
         # Catalyst broadcasts the pool where its size allows; draws are even, so a shuffle has no hot key.
         return df.withColumn("_pick", index).join(taken, F.col("_pick") == F.col("_idx"), "left").drop("_pick", "_idx")
@@ -77,7 +86,7 @@ class Pool:
     def pick_many(self, df: DataFrame, indices: Column, out: str, key: str) -> DataFrame:
         """Add an array of values for an array of indices, in order. ``key`` names the row."""
         if self.constant is not None:
-            values = F.lit(list(self.constant))
+            values = self.values()
             return df.withColumn(out, F.transform(indices, lambda i: F.get(values, i.cast("int"))))
         taken = (
             df.select(key, F.posexplode(indices).alias("_pos", "_idx"))

@@ -326,10 +326,14 @@ def latest_run(log: DataFrame) -> DataFrame:
 
 
 def violation_rates(long: DataFrame) -> DataFrame:
-    """Judged variants and violations by (llm, task, mr), with sub-totals."""
-    judged = long.where("verdict IS NOT NULL")
-    return judged.rollup("llm", "task", "mr").agg(
-        F.count("*").alias("judged"), F.sum(F.when(~F.col("verdict"), 1).otherwise(0)).alias("violations")
+    """Judged variants and violations by (llm, task, mr), with sub-totals.
+
+    Counted conditionally: a filter on the verdict would be pushed down through the projections and have every
+    expression that leads to it computed again in the filter. For the same reason, filter the written log of a run
+    rather than the plan that makes it.
+    """
+    return long.rollup("llm", "task", "mr").agg(
+        F.count("verdict").alias("judged"), F.sum(F.when(~F.col("verdict"), 1).otherwise(0)).alias("violations")
     )
 
 
