@@ -39,7 +39,7 @@ def rate_chats(chats):
     out = []
     for chat in chats:
         text = chat[-1]["content"].split('"', 1)[1].rsplit('"', 1)[0].lower()
-        letters = sum("a" <= c <= "z" for c in text)
-        half = sum("a" <= c <= "m" for c in text)
+        half = sum(map(text.count, "abcdefghijklm"))
+        letters = half + sum(map(text.count, "nopqrstuvwxyz"))
         out.append(f"0.{min(99, half * 100 // letters):02d}" if letters else "n/a")
     return out

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from driftline.functions.draws import KEY_SHIFT, seed_for
+from driftline.functions.text import rows_of
 from driftline.operators.local_edits import KEYBOARD, OCR
 from driftline.operators.registry import TRANSFORMS
 from driftline.operators.rewrites import Edit
@@ -24,10 +25,12 @@ SEED = 42
 
 def variant_texts(df, column="variants"):
     """(row_id, variant, place, text): the long, scalar form of an array of variants."""
-    rows = df.select("row_id", F.posexplode(column).alias("variant", "inputs"))
-    return rows.select(
-        "row_id", F.col("variant").cast("bigint").alias("variant"), F.posexplode("inputs").alias("place", "text")
-    ).withColumn("place", F.col("place").cast("bigint"))
+    rows = df.select("row_id", rows_of(F.col(column)).alias("variant", "inputs")).where("variant IS NOT NULL")
+    return (
+        rows.select("row_id", F.col("variant").cast("bigint").alias("variant"), rows_of(F.col("inputs")).alias("place", "text"))
+        .where("place IS NOT NULL")
+        .withColumn("place", F.col("place").cast("bigint"))
+    )
 
 
 def edited(spark, sf, name, params=None, relation=0, **more):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from driftline.functions.draws import seed_for
+from driftline.functions.text import rows_of
 from driftline.operators import rewrites as W
 from driftline.operators.answer_checks import sentiment_word
 from driftline.operators.registry import TRANSFORMS
@@ -115,7 +116,7 @@ rewritten("i23_back_translate", "docs", "back_translate", {}, [["'to_english: to
 )
 def i30(spark, sf):
     rows = W.keywords(text_rows(spark, sf), Edit(helper=HELPER), W.input_at(0), "kw")
-    return rows.select("row_id", F.posexplode("kw").alias("pos", "keyword")).withColumn("pos", F.col("pos").cast("bigint"))
+    return rows.select("row_id", rows_of(F.col("kw")).alias("pos", "keyword")).where("pos IS NOT NULL").withColumn("pos", F.col("pos").cast("bigint"))
 
 
 # Keywords replaced
@@ -184,7 +185,7 @@ rewritten("i36_replace_synonym", "docs", "replace_synonym", kw_rules("docs", "te
 )
 def i37(spark, sf):
     rows = W.entity_keywords(relation_rows(spark, sf), Edit(helper=HELPER, arity=3), "kw")
-    return rows.select("row_id", F.posexplode("kw").alias("pos", "keyword")).withColumn("pos", F.col("pos").cast("bigint"))
+    return rows.select("row_id", rows_of(F.col("kw")).alias("pos", "keyword")).where("pos IS NOT NULL").withColumn("pos", F.col("pos").cast("bigint"))
 
 
 TWO_TEXTS = {

@@ -14,6 +14,7 @@ from driftline.plans.catalog import NLI, QA, RE, SENTIMENT, TRANSFORM, Property,
 from driftline.plans.templates import ALL_TEMPLATES, SYSTEM_LINE, template
 from driftline.session import work_folder
 from driftline.sources import tasks as T
+from driftline.streaming.arrivals import run_arrivals
 
 from . import q_rewrites  # noqa: F401  (its oracles are used below)
 from . import sqltext as S
@@ -681,6 +682,20 @@ def e14(spark, sf):
     return resumed(spark, sf).groupBy(F.substring("run_id", 1, 5).alias("run")).agg(F.count("*").alias("n"))
 
 
+@query("e12_arrivals", sentiment_sql([49, 102, 150], records_tail("s0")))
+def e12_arrivals(spark, sf):
+    """The same run over rows that arrive as files, in two calls of an available-now stream."""
+    rows, res = text_rows(spark, sf), resources(spark, sf)
+    tests = tests_of(spark, SENTIMENT, [49, 102, 150])
+    source, results, state = (work_folder(spark, n) for n in ("arrivals", "results", "stream"))
+    first = labelled(spark, sf, rows)
+    first.write.parquet(source)
+    run_arrivals(spark, source, results, state, MODEL, SENTIMENT, tests, res)
+    rows.join(first.select("row_id"), "row_id", "left_anti").write.mode("append").parquet(source)
+    log = run_arrivals(spark, source, results, state, MODEL, SENTIMENT, tests, res)
+    return record_rows(log.withColumn("mr", F.col("mr").cast("int")))
+
+
 @query("s27_result_log", sentiment_sql([49, 102], "SELECT mr, row_id, verdict FROM judged"))
 def s27(spark, sf):
     from driftline.sources.files import append_results

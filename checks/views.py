@@ -129,4 +129,4 @@ def inference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(spark, tasks.relation_extraction(relation_raw(spark, sf_dir), size=None))
+    return staged(spark, tasks.relation_extraction(staged(spark, relation_raw(spark, sf_dir)), size=None))

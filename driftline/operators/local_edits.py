@@ -10,6 +10,7 @@ from ..functions.text import (
     is_word,
     join_words,
     pieces,
+    rows_of,
     sentences,
     words,
 )
@@ -229,7 +230,7 @@ def misspell(
         lambda s, k: F.struct(s["piece"].alias("piece"), F.lower(s["piece"]).alias("word")),
         eligible=lambda s: is_word(s["piece"]),
     )
-    exploded = df.select(key, F.posexplode(flagged).alias("pos", "s")).select(key, "pos", "s.piece", "s.word")
+    exploded = df.select(key, rows_of(flagged).alias("pos", "s")).where("pos IS NOT NULL").select(key, "pos", "s.piece", "s.word")
     looked_up = exploded.join(dictionary, "word", "left")
     rebuilt = (
         looked_up.groupBy(key)

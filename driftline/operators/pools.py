@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import rows_of
+
 # Up to this many entries a pool is read once and used as a constant of the plan; beyond it rows join it.
 LITERAL_ENTRIES = 4096
 LITERAL_CHARACTERS = 4_000_000
@@ -89,7 +91,8 @@ class Pool:
             values = self.values()
             return df.withColumn(out, F.transform(indices, lambda i: F.get(values, i.cast("int"))))
         taken = (
-            df.select(key, F.posexplode(indices).alias("_pos", "_idx"))
+            df.select(key, rows_of(indices).alias("_pos", "_idx"))
+            .where("_pos IS NOT NULL")
             .join(self.table.withColumnRenamed("idx", "_idx"), "_idx")
             .groupBy(key)
             .agg(F.sort_array(F.collect_list(F.struct("_pos", "value"))).alias("_taken"))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.draws import draw, let, seed_for
-from ..functions.text import clean_text, join_inputs, parse_keywords, sentences, strip
+from ..functions.text import clean_text, join_inputs, parse_keywords, rows_of, sentences, strip
 from ..plans.templates import Template, template
 from .model_calls import AnswerStore, ColumnModel, Model, ask
 from .pools import Pool, next_prime
@@ -102,7 +102,7 @@ def _per_sentence(df: DataFrame, edit: Edit, key: str, text: Column, more: list[
         )
         return df.withColumn(out, F.array_join(answers, " "))
     df = df.withColumn("_more", F.array(*more).cast("array<string>"))
-    rows = df.select(ROW, "_more", F.posexplode(sentences(text)).alias("_pos", "_sentence"))
+    rows = df.select(ROW, "_more", rows_of(sentences(text)).alias("_pos", "_sentence")).where("_pos IS NOT NULL")
     question = [F.col("_sentence"), *[F.get("_more", F.lit(i)) for i in range(len(more))]]
     answered = _ask(rows, edit, key, question, "_answer")
     joined = (
@@ -165,7 +165,7 @@ def group_by_sentiment(df: DataFrame, edit: Edit) -> DataFrame:
             )
             df = df.withColumn("_pairs", pairs)
         else:
-            rows = df.select(ROW, F.posexplode(distinct).alias("_pos", "_s"))
+            rows = df.select(ROW, rows_of(distinct).alias("_pos", "_s")).where("_pos IS NOT NULL")
             rows = _ask(rows, edit, "helper:sentiment_word", [F.col("_s")], "_mood")
             mood = clean_text(F.col("_mood"))
             pairs = (
@@ -183,19 +183,52 @@ def group_by_sentiment(df: DataFrame, edit: Edit) -> DataFrame:
 # Keywords
 
 
-def keywords(df: DataFrame, edit: Edit, text: Column, out: str) -> DataFrame:
+def shared_keywords(index: int) -> str:
+    return f"_keywords_{index}"
+
+
+ENTITY_KEYWORDS = "_entity_keywords"
+
+
+def keywords(df: DataFrame, edit: Edit, text: Column, out: str, index: int | None = None) -> DataFrame:
+    """Keywords of a text. Several relations ask for those of the same input (``index``): a column that
+    ``with_shared_keywords`` has added is used instead of asking again."""
+    if index is not None and shared_keywords(index) in df.columns:
+        return df.withColumn(out, F.col(shared_keywords(index)))
     df = _ask(df, edit, "helper:keywords", [text], "_found")
     return df.withColumn(out, parse_keywords(F.col("_found"))).drop("_found")
 
 
 def entity_keywords(df: DataFrame, edit: Edit, out: str) -> DataFrame:
     """Keywords tied to the two entities of a row, without the entities themselves. Repeats stay."""
+    if ENTITY_KEYWORDS in df.columns:
+        return df.withColumn(out, F.col(ENTITY_KEYWORDS))
     df = _ask(df, edit, "helper:entity_keywords", [input_at(0), input_at(1), input_at(2)], "_found")
     entities = F.array(clean_text(input_at(1)), clean_text(input_at(2)))
     kept = let(entities, lambda e: F.filter(parse_keywords(F.col("_found")), lambda k: ~F.array_contains(e, k)))
     return df.withColumn(out, kept).drop("_found")
 
 
+def with_shared_keywords(df: DataFrame, edit: Edit, uses: list[tuple[str, list[int]]]) -> DataFrame:
+    """Add the keyword columns that two or more of the given (transformation, changed inputs) ask for."""
+    counts: dict[int, int] = {}
+    for name, indices in uses:
+        for i in [1] if name in QUESTION_KEYWORDS else indices if name in INPUT_KEYWORDS else []:
+            counts[i] = counts.get(i, 0) + 1
+    for i, n in counts.items():
+        if n > 1:
+            df = keywords(df, edit, input_at(i), shared_keywords(i))
+    if sum(name in RELATED_KEYWORDS for name, _ in uses) > 1:
+        df = entity_keywords(df, edit, ENTITY_KEYWORDS)
+    return df
+
+
+# Which transformations ask for keywords of the changed inputs, of the question, of text and entities.
+INPUT_KEYWORDS = {"replace_synonym", "replace_antonym", "replace_random", "remove_keywords"}
+QUESTION_KEYWORDS = {"replace_category_qa", "replace_antonym_qa", "replace_random_qa", "remove_keywords_qa"}
+RELATED_KEYWORDS = {"replace_antonym_re", "replace_random_re", "remove_keywords_re"}
+
+
 def _word_for_word(df: DataFrame, edit: Edit, key: str, kws: str, context: Column | None, out: str) -> DataFrame:
     """Ask for a partner of every keyword; cleaned, in the order of the keywords."""
     if isinstance(edit.helper, ColumnModel):
@@ -205,7 +238,7 @@ def _word_for_word(df: DataFrame, edit: Edit, key: str, kws: str, context: Colum
             F.transform(kws, lambda k: clean_text(edit.helper.rule(prompt, [k] if context is None else [context, k]))),
         )
     shown = F.lit(None).cast("string") if context is None else context
-    rows = df.select(ROW, shown.alias("_context"), F.posexplode(kws).alias("_pos", "_kw"))
+    rows = df.select(ROW, shown.alias("_context"), rows_of(kws).alias("_pos", "_kw")).where("_pos IS NOT NULL")
     question = [F.col("_kw")] if context is None else [F.col("_context"), F.col("_kw")]
     answered = _ask(rows, edit, key, question, "_word")
     gathered = (
@@ -226,12 +259,13 @@ def _replace(df: DataFrame, edit: Edit, text: Column, words_from: str, words_to:
 
 def replace_category(df: DataFrame, edit: Edit) -> DataFrame:
     """Keywords of all inputs together, replaced in every input; one variant."""
-    return _category(keywords(df, edit, join_inputs(F.col("inputs"), "\n\n"), "_kw"), edit)
+    only = 0 if edit.arity == 1 else None
+    return _category(keywords(df, edit, join_inputs(F.col("inputs"), "\n\n"), "_kw", only), edit)
 
 
 def replace_category_qa(df: DataFrame, edit: Edit) -> DataFrame:
     """Keywords of the question, replaced in both inputs."""
-    return _category(keywords(df, edit, input_at(1), "_kw"), edit)
+    return _category(keywords(df, edit, input_at(1), "_kw", 1), edit)
 
 
 def _category(df: DataFrame, edit: Edit) -> DataFrame:
@@ -255,7 +289,7 @@ def _replace_in_context(df: DataFrame, edit: Edit, key: str) -> DataFrame:
     new = {}
     for index in changed_indices(edit):
         new[index] = f"_{edit.out}_{index}"
-        df = keywords(df, edit, input_at(index), "_kw")
+        df = keywords(df, edit, input_at(index), "_kw", index)
         df = _word_for_word(df, edit, key, "_kw", input_at(index), "_to")
         df = _replace(df, edit, input_at(index), "_kw", "_to", new[index]).drop("_kw", "_to")
     return _finish(df, new, edit)
@@ -271,7 +305,7 @@ def replace_antonym(df: DataFrame, edit: Edit) -> DataFrame:
 
 def replace_antonym_qa(df: DataFrame, edit: Edit) -> DataFrame:
     """Question keywords; context or question changes, not both."""
-    df = keywords(df, edit, input_at(1), "_kw")
+    df = keywords(df, edit, input_at(1), "_kw", 1)
     df = _word_for_word(df, edit, "helper:antonym_word", "_kw", input_at(1), "_to")
     df = _replace(df, edit, input_at(0), "_kw", "_to", "_c")
     df = _replace(df, edit, input_at(1), "_kw", "_to", "_q")
@@ -317,7 +351,7 @@ def replace_random(df: DataFrame, edit: Edit) -> DataFrame:
     new = {}
     for index in changed_indices(edit):
         new[index] = f"_{edit.out}_{index}"
-        df = keywords(df, edit, input_at(index), "_kw")
+        df = keywords(df, edit, input_at(index), "_kw", index)
         df = _random_partners(df, edit, "_kw", index, 1, "_to")
         df = _replace(df, edit, input_at(index), "_kw", "_to", new[index]).drop("_kw", "_to")
     return _finish(df, new, edit)
@@ -330,7 +364,7 @@ def _three_ways(context: str, question: str) -> Column:
 
 def replace_random_qa(df: DataFrame, edit: Edit) -> DataFrame:
     """Question keywords, separate words for context and question; context, question, both."""
-    df = keywords(df, edit, input_at(1), "_kw")
+    df = keywords(df, edit, input_at(1), "_kw", 1)
     df = _random_partners(df, edit, "_kw", 0, 1, "_to_c")
     df = _random_partners(df, edit, "_kw", 1, 2, "_to_q")
     df = _replace(df, edit, input_at(0), "_kw", "_to_c", "_c")
@@ -360,13 +394,13 @@ def remove_keywords(df: DataFrame, edit: Edit, by_sentence: bool = True) -> Data
     new = {}
     for index in changed_indices(edit):
         new[index] = f"_{edit.out}_{index}"
-        df = keywords(df, edit, input_at(index), "_kw")
+        df = keywords(df, edit, input_at(index), "_kw", index)
         df = _remove(df, edit, input_at(index), "_kw", new[index], by_sentence).drop("_kw")
     return _finish(df, new, edit)
 
 
 def remove_keywords_qa(df: DataFrame, edit: Edit, by_sentence: bool = True) -> DataFrame:
-    df = keywords(df, edit, input_at(1), "_kw")
+    df = keywords(df, edit, input_at(1), "_kw", 1)
     df = _remove(df, edit, input_at(0), "_kw", "_c", by_sentence)
     df = _remove(df, edit, input_at(1), "_kw", "_q", by_sentence)
     return df.withColumn(edit.out, _three_ways("_c", "_q")).drop("_kw", "_c", "_q")

@@ -27,7 +27,7 @@ from ..operators.registry import (
     differs_at_gate,
     helper_check_needed,
 )
-from ..operators.rewrites import Edit
+from ..operators.rewrites import Edit, with_shared_keywords
 from ..session import work_folder
 from ..sources.files import append_results, read_if_exists
 from .catalog import ARITY, CHECK_FOLLOWUP, CHECK_INPUT, CHECK_OUTPUT, RELATION, SUT_TEMPLATE, TRANSFORM, Test
@@ -75,7 +75,8 @@ def followup_inputs(src: DataFrame, tests: list[Test], res: Resources) -> DataFr
     kept = src.columns
     if isinstance(res.helper, ColumnModel):
         # Everything is an expression: one scan for all relations.
-        df = src
+        uses = [(t.props[TRANSFORM].fn, sorted({i for s in t.props[TRANSFORM].indices for i in s})) for t in tests]
+        df = with_shared_keywords(src, Edit(helper=res.helper, store=res.store), uses)
         for test in tests:
             df = transform_rows(df, test, res, f"v{test.mr}")
         stacked = F.array(
