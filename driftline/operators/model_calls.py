@@ -228,7 +228,11 @@ def ask(
         answers = answers.withColumns({"output": F.lit(None).cast("string"), "status": F.lit("error")})
     else:
         answers = answers.join(known, "key", "left").withColumn("status", F.coalesce("status", F.lit("error")))
-    result = join_answers(keyed, answers, out, hot_minimum)
+    # This stage's answers are written to a folder of their own. Two reads of the growing store in one plan would be
+    # taken for the same scan (equal root path) and the later one answered with the files of the earlier one.
+    answers_path = work_folder(spark, "stage-answers")
+    answers.write.parquet(answers_path)
+    result = join_answers(keyed, spark.read.parquet(answers_path), out, hot_minimum)
     return result if keep_status else result.drop(f"{out}_status")
 
 
