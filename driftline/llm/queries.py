@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftline.session import ship_packages
 
-from . import bpe_codec, chat_format, exact_dedup, packing, quality, secret_scan, token_counts
+from . import bpe_codec, chat_format, exact_dedup, ngram_join, packing, quality, secret_scan, token_counts
 from .common import table, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,28 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query(
+    "op1_ngram_join",
+    r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0b\f\r]+'), lambda w: w <> '') AS w FROM documents
+    ), grams AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+               ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+        FROM words
+    ), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (
+        SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE common.n >= 0.8 * (x.n + y.n - common.n) - 1e-9
+    ), reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+    classes AS (SELECT doc_id, least(doc_id, coalesce(min(b), doc_id)) AS class_id FROM documents LEFT JOIN reach ON a = doc_id GROUP BY doc_id)
+    SELECT doc_id, class_id, (SELECT count(*) FROM links WHERE a = doc_id) AS n_links, doc_id = class_id AS kept FROM classes
+    """,
+)
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op2_exact_dedup",
     """
