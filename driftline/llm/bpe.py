@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import cached_property
 from heapq import heapify, heappop, heappush
 
@@ -106,7 +106,7 @@ class UnitEncoder:
     `most_known` units seen first; others are encoded again in each batch they occur in, with the same result.
     """
 
-    def __init__(self, encode_units: Callable[[list[str]], list[list[int]]], most_known: int = 800_000):
+    def __init__(self, encode_units: Callable[[list[str]], Iterable[list[int]]], most_known: int = 300_000):
         self.encode_units, self.most_known = encode_units, most_known
         #: unit -> its ids, packed as unsigned 32-bit integers
         self.known: dict[str, bytes] = {}
@@ -169,7 +169,7 @@ class BatchBpe:
 
     def __init__(self, content: str):
         self.bpe = Bpe(content)
-        self.units = UnitEncoder(lambda units: [self.bpe.encode(u) for u in units])
+        self.units = UnitEncoder(lambda units: map(self.bpe.encode, units))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(texts):

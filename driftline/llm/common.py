@@ -27,7 +27,7 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def slices(texts: pa.Array, most_bytes: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of an Arrow batch that hold about `most_bytes` of text each, so that temporary arrays stay small."""
     start, held = 0, 0
     for i, n in enumerate(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)):

@@ -47,7 +47,10 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_str(content)
-        self.units = UnitEncoder(lambda words: [e.ids for e in library.encode_batch(words, add_special_tokens=False)])
+        # The library's encodings are large beside their ids, so few are held at a time.
+        self.units = UnitEncoder(
+            lambda words: (e.ids for i in range(0, len(words), 2000) for e in library.encode_batch(words[i : i + 2000], add_special_tokens=False))
+        )
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
