@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftline.session import ship_packages
 
-from . import bpe_codec, chat_format, exact_dedup, ngram_join, packing, quality, secret_scan, token_counts
+from . import bpe_codec, chat_format, embedding_dedup, exact_dedup, ngram_join, packing, quality, secret_scan, token_counts
 from .common import table, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,27 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@query(
+    "op8_embedding_dedup",
+    """
+    WITH RECURSIVE good AS (
+        SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+        WHERE label IS NOT NULL AND len(embedding) > 0
+          AND list_sum(list_transform(embedding, lambda x: (x IS NULL OR NOT isfinite(x))::INT)) = 0
+          AND list_sum(list_transform(embedding, lambda x: (x <> 0)::INT)) > 0
+    ), links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+        WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+    ), reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+    smallest AS (SELECT a, min(b) AS b FROM reach GROUP BY a), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, vec_id <= coalesce(b, vec_id) AS kept
+    FROM embeddings LEFT JOIN smallest ON smallest.a = vec_id LEFT JOIN counts ON counts.a = vec_id
+    """,
+)
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 @query("op9_secret_scan")
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
