@@ -24,13 +24,11 @@ def encode_text(content) -> callable:
     @F.arrow_udf("binary")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = BatchBpe(content.value)
-        for texts in batches:
-            out = []
-            for a, b in slices(texts):
-                ids, starts = codec.encode(texts.slice(a, b - a).fill_null(""))
-                raw = ids.astype("<u4").tobytes()
-                out += [raw[4 * x : 4 * y] for x, y in zip(starts[:-1], starts[1:])]
-            yield pa.array(out, pa.binary())
+        for texts in slices(batches):
+            ids, starts = codec.encode(texts.fill_null(""))
+            yield pa.Array.from_buffers(
+                pa.binary(), len(texts), [None, pa.py_buffer((starts * 4).astype("<i4")), pa.py_buffer(ids.astype("<u4"))]
+            )
 
     return encode
 
@@ -41,13 +39,10 @@ def decode_ids(content) -> callable:
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = BatchBpe(content.value)
-        for packed in batches:
-            out = []
-            for a, b in slices(packed):
-                part = packed.slice(a, b - a).fill_null(b"").to_pylist()
-                starts = np.concatenate([[0], np.cumsum([len(p) // 4 for p in part], dtype=np.int64)])
-                out += codec.decode(np.frombuffer(b"".join(part), "<u4"), starts)
-            yield pa.array(out, pa.string())
+        for packed in slices(batches):
+            part = packed.fill_null(b"").to_pylist()
+            starts = np.concatenate([[0], np.cumsum([len(p) // 4 for p in part], dtype=np.int64)])
+            yield pa.array(codec.decode(np.frombuffer(b"".join(part), "<u4"), starts), pa.string())
 
     return decode
 

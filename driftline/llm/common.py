@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftline.session import work_folder
@@ -27,16 +27,20 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def slices(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of an Arrow batch that hold about `most_bytes` of text each, so that temporary arrays stay small."""
-    start, held = 0, 0
-    for i, n in enumerate(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)):
-        if held and held + n > most_bytes:
-            yield start, i
-            start, held = i, 0
-        held += int(n)
-    if start < len(texts):
-        yield start, len(texts)
+def slices(batches: Iterable, most_bytes: int = 4 << 20) -> Iterator:
+    """The rows of Arrow batches again, in slices that hold about `most_bytes` of text each (of the first column).
+
+    So temporary arrays stay small, whatever the session's batch size. A batch is one array or a tuple of columns.
+    """
+    for batch in batches:
+        columns = batch if isinstance(batch, tuple) else (batch,)
+        start, held = 0, 0
+        for i, n in enumerate(pc.binary_length(columns[0]).fill_null(0).to_pylist() + [most_bytes]):
+            if i > start and held + n > most_bytes:
+                part = tuple(c.slice(start, i - start) for c in columns)
+                yield part if isinstance(batch, tuple) else part[0]
+                start, held = i, 0
+            held += n
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

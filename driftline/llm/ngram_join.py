@@ -187,15 +187,13 @@ def ngram_join(
 
     @F.arrow_udf("struct<node:binary,bands:array<bigint>,grams:bigint>")
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            parts = [signatures(texts.slice(a, b - a), n, bands, rows) for a, b in slices(texts)]
-            yield pa.concat_arrays(parts) if parts else signatures(texts, n, bands, rows)
+        for texts in slices(batches):
+            yield signatures(texts, n, bands, rows)
 
     @F.arrow_udf("struct<node:binary,set:binary>")
     def grams_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            parts = [gram_sets(texts.slice(a, b - a), n) for a, b in slices(texts)]
-            yield pa.concat_arrays(parts) if parts else gram_sets(texts, n)
+        for texts in slices(batches):
+            yield gram_sets(texts, n)
 
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     signed = staged(texts.select("id", F.spark_partition_id().alias("run"), sign("text").alias("s")).select("id", "run", "s.*"), "signatures")

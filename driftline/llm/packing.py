@@ -65,19 +65,18 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, text_col:
     @F.arrow_udf(PIECES)
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = WordTokens(content.value)
-        for texts in batches:
+        for texts in slices(batches):
             out = []
-            for a, b in slices(texts):
-                flat, at = tokens.encode(texts.slice(a, b - a).fill_null(""))
-                for x, y in zip(at[:-1], at[1:]):
-                    raw = np.append(flat[x:y], end_id).astype("<u4")
-                    cuts = [(i, raw[i : i + capacity]) for i in range(0, len(raw), capacity)]
-                    out.append(
-                        [
-                            {"piece": k, "start": i, "length": len(p), "ids_crc32": zlib.crc32(p), "ids": p.tobytes() if ids else None}
-                            for k, (i, p) in enumerate(cuts)
-                        ]
-                    )
+            flat, at = tokens.encode(texts.fill_null(""))
+            for x, y in zip(at[:-1], at[1:]):
+                raw = np.append(flat[x:y], end_id).astype("<u4")
+                cuts = [(i, raw[i : i + capacity]) for i in range(0, len(raw), capacity)]
+                out.append(
+                    [
+                        {"piece": k, "start": i, "length": len(p), "ids_crc32": zlib.crc32(p), "ids": p.tobytes() if ids else None}
+                        for k, (i, p) in enumerate(cuts)
+                    ]
+                )
             yield pa.array(out, pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])))
 
     return docs.withColumn("pieces", cut(whole(text_col)))

@@ -210,8 +210,8 @@ def quality_score(model: LineCrf, text: str | Column = "text") -> Column:
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array(np.concatenate([np.zeros(0), *(model.scores(texts.slice(a, b - a)) for a, b in slices(texts))]))
+        for texts in slices(batches):
+            yield pa.array(model.scores(texts))
 
     return score(whole(text))
 

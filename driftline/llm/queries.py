@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from driftline.session import ship_packages
 
 from . import bpe_codec, chat_format, embedding_dedup, exact_dedup, ngram_join, packing, quality, secret_scan, token_counts
-from .common import table, whole
+from .common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,7 +91,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = bpe_codec.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    both = bpe_codec.decoded(docs.select("doc_id", "ids"), path)
+    # Written in between: each task then has one Python process with a vocabulary, not two.
+    both = bpe_codec.decoded(staged(docs.select("doc_id", "ids"), "ids"), path)
     return both.select(
         "doc_id", bpe_codec.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

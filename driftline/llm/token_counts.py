@@ -88,11 +88,8 @@ def section_tokens(
     @F.arrow_udf(SECTIONS)
     def count(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         codec = BatchBpe(content.value)
-        for texts, sizes in batches:
-            if parts := [count_batch(codec, texts.slice(a, b - a), sizes.slice(a, b - a).to_pylist(), rule) for a, b in slices(texts)]:
-                yield pa.concat_arrays(parts)
-            else:
-                yield pa.array([], pa.list_(pa.struct([(n, pa.int32()) for n in ("field", "section", "char_start", "char_end", "n_tokens")])))
+        for texts, sizes in slices(batches):
+            yield count_batch(codec, texts, sizes.to_pylist(), rule)
 
     given = [whole(f) for f in fields]
     return docs.withColumn(into, count(F.concat_ws("\n", *given), F.array(*map(F.octet_length, given))))
