@@ -34,11 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 
 
-def look_up(rows: DataFrame, found: DataFrame, key: str, run: str = "run") -> DataFrame:
+def look_up(rows: DataFrame, found: DataFrame, *key: str, run: str = "run") -> DataFrame:
     """rows LEFT JOIN found USING (key), for a key that a third of all rows may share; found has one row per key.
 
     `run` tells which of many runs of a written table a row belongs to. Each run asks once for each of its keys, and the
     answer then meets the rows of that run only, so that no task gets more rows of a key than a run has.
     """
-    asked = rows.select(run, key).distinct().join(found, key)
-    return rows.join(asked, [run, key], "left")
+    asked = rows.select(run, *key).distinct().join(found, [*key])
+    return rows.join(asked, [run, *key], "left")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftline.session import ship_packages
 
-from . import bpe_codec, chat_format, embedding_dedup, exact_dedup, ngram_join, packing, quality, secret_scan, token_counts
+from . import bpe_codec, chat_format, embedding_dedup, exact_dedup, line_dedup, ngram_join, packing, quality, secret_scan, token_counts
 from .common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,32 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count("assign"), count("access"), count("hex"),
         F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"),
     )
+
+
+@query(
+    "op10_line_dedup",
+    r"""
+    WITH lines AS (
+        SELECT doc_id, generate_subscripts(l, 1) AS no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+    ), sets AS (
+        SELECT doc_id, no, list_sort(list_distinct(list_filter(string_split(translate(line, chr(9) || chr(13), '  '), ' '), lambda t: t <> ''))) AS s
+        FROM lines
+    ), known AS (SELECT s, len(s) AS n, min((doc_id, no)) AS at, row_number() OVER () AS id FROM sets WHERE len(s) >= 5 GROUP BY s),
+    tokens AS (SELECT id, n, unnest(s) AS t FROM known), rarity AS (SELECT t, count(*) AS c FROM tokens GROUP BY t),
+    ordered AS (SELECT id, n, t, row_number() OVER (PARTITION BY id ORDER BY c, t) AS place FROM tokens JOIN rarity USING (t)),
+    firsts AS (SELECT * FROM ordered WHERE place <= n - ceil(0.8 * n - 1e-9) + 1),
+    pairs AS (SELECT DISTINCT a.id AS a, b.id AS b FROM firsts a JOIN firsts b ON a.t = b.t AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n AND a.id <> b.id),
+    late AS (
+        SELECT DISTINCT x.s FROM pairs JOIN known x ON x.id = a JOIN known y ON y.id = b WHERE x.at > y.at
+        AND len(list_intersect(x.s, y.s)) >= 0.8 * (x.n + y.n - len(list_intersect(x.s, y.s))) - 1e-9
+    ), fate AS (
+        SELECT sets.doc_id, sets.no, known.s IS NOT NULL AND (late.s IS NOT NULL OR (sets.doc_id, sets.no) > known.at) AS gone
+        FROM sets LEFT JOIN known ON known.s = sets.s LEFT JOIN late ON late.s = sets.s
+    )
+    SELECT doc_id, sum(gone::INT)::BIGINT AS removed_lines, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '') AS text
+    FROM lines JOIN fate USING (doc_id, no) GROUP BY doc_id
+    UNION ALL SELECT doc_id, 0, NULL FROM documents WHERE text IS NULL
+    """,
+)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "removed_lines", "text")
