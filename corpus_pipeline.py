@@ -1,15 +1,77 @@
-"""Stages that make packed training data of the documents; filled in as its operators come."""
+"""From raw documents to packed training sequences: quality, repeated lines, near copies, secrets, packing.
+
+Every stage works on all that the one before it kept. All but the last return the columns of `documents`; where a stage
+changes texts, `n_chars` follows. Between stages the rows are written to the cluster's shared folder and read again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from driftline.llm import line_dedup, ngram_join, packing, quality, secret_scan
+from driftline.llm.common import staged, whole
+from driftline.session import ship_packages
+
+#: A document whose chance of being good is lower goes.
+LEAST_QUALITY = 0.3
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the line field takes for good. It learns from four of five labelled documents."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~quality.held_out())
+    model = quality.train_quality(docs, labels)
+    return docs.withColumn("__score", quality.quality_score(model)).filter(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove lines that are like an earlier one. A document goes only if it had text and no line of it is left."""
+    cut = line_dedup.line_dedup(docs, removed="__removed").filter((F.col("__removed") == 0) | (F.trim(F.col("text")) != ""))
+    return _with_length(cut, docs)
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each class of near copies, the one with the smallest identifier."""
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    named = keyed.select(F.struct("doc_id", "__row").alias("__id"), "text")
+    kept = ngram_join.ngram_join(named, id_col="__id").filter("kept").select("__id.__row").distinct()
+    return keyed.join(kept, "__row").dropDuplicates(["__row"]).select(*docs.columns)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put a mask in the place of every secret; no document goes."""
+    model = secret_scan.train_markov(secret_scan.labelled_by_patterns(docs))
+    scanned = secret_scan.scan_secrets(docs, model, base="__base", spans="__spans")
+    masked = F.when(F.col("text").isNotNull(), secret_scan.redact(F.col("text"), F.col("__spans")))
+    return _with_length(scanned.withColumn("text", masked), docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place all documents in as few sequences as possible; one row per piece."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _with_length(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    return changed.withColumn("n_chars", F.length(whole("text")).cast("long")).select(*docs.columns)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_dedup_stage),
+    ("n-gram Jaccard join", near_copies_stage),
+    ("secret scans", secrets_stage),
+    ("best-fit packing", packing_stage),
+]
 
-STAGES: list = []
+#: A trained field decides in the first stage, which SQL can't express; tests compare with brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_packages(spark, "driftline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for place, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if place < len(STAGES) - 1:
+            docs = staged(docs, f"stage-{place + 1}")
     return docs
