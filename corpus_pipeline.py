@@ -6,6 +6,8 @@ changes texts, `n_chars` follows. Between stages the rows are written to the clu
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,6 +19,18 @@ from driftline.session import ship_packages
 LEAST_QUALITY = 0.3
 
 
+def stage(fn):
+    """A stage that works wherever it is called: the executors get the package first."""
+
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_packages(spark, "driftline")
+        return fn(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the line field takes for good. It learns from four of five labelled documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~quality.held_out())
@@ -24,12 +38,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.withColumn("__score", quality.quality_score(model)).filter(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
 
 
+@stage
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove lines that are like an earlier one. A document goes only if it had text and no line of it is left."""
     cut = line_dedup.line_dedup(docs, removed="__removed").filter((F.col("__removed") == 0) | (F.trim(F.col("text")) != ""))
     return _with_length(cut, docs)
 
 
+@stage
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near copies, the one with the smallest identifier."""
     keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
@@ -38,6 +54,7 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return keyed.join(kept, "__row").dropDuplicates(["__row"]).select(*docs.columns)
 
 
+@stage
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put a mask in the place of every secret; no document goes."""
     model = secret_scan.train_markov(secret_scan.labelled_by_patterns(docs))
@@ -46,6 +63,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _with_length(scanned.withColumn("text", masked), docs)
 
 
+@stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place all documents in as few sequences as possible; one row per piece."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -68,10 +86,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_packages(spark, "driftline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for place, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for place, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
         if place < len(STAGES) - 1:
             docs = staged(docs, f"stage-{place + 1}")
     return docs
