@@ -46,11 +46,18 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core already
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_str(content)
-        # The library's encodings are large beside their ids, so few are held at a time.
-        self.units = UnitEncoder(
-            lambda words: (e.ids for i in range(0, len(words), 2000) for e in library.encode_batch(words[i : i + 2000], add_special_tokens=False))
-        )
+        self.library = Tokenizer.from_str(content)
+        self.units = UnitEncoder(self.encode_words)
+
+    def encode_words(self, words: list[str], at_once: int = 1000) -> Iterator[list[int]]:
+        """The ids of each word. Words are encoded together, with blanks between them, and told apart by their offsets."""
+        for i in range(0, len(words), at_once):
+            some = words[i : i + at_once]
+            found = self.library.encode(" ".join(some), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(w) + 1 for w in some)])
+            ends = np.searchsorted(np.array([a for a, _ in found.offsets], np.int64), starts, "left").tolist()
+            ids = found.ids
+            yield from (ids[a:b] for a, b in zip(ends[:-1], ends[1:]))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
