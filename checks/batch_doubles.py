@@ -43,3 +43,17 @@ def rate_chats(chats):
         letters = half + sum(map(text.count, "nopqrstuvwxyz"))
         out.append(f"0.{min(99, half * 100 // letters):02d}" if letters else "n/a")
     return out
+
+
+def fail_some(chats):
+    """A question whose length is a multiple of five fails."""
+    sizes = [len(chat[-1]["content"]) for chat in chats]
+    return [f"n={n}" if n % 5 else RuntimeError("down") for n in sizes]
+
+
+def length_of_last_quote(chats):
+    return [f"n={len(chat[-1]['content'].split(chr(34), 1)[1].rsplit(chr(34), 1)[0])}" for chat in chats]
+
+
+def one_reply_less(chats):
+    return ["reply"] * (len(chats) - 1)

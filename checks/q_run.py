@@ -9,16 +9,28 @@ from driftline.operators.model_calls import (
     ask,
 )
 from driftline.operators.prompts import fill, messages
+from driftline.functions.relations import says_true
+from driftline.operators.registry import VERIFIERS
 from driftline.plans import run as R
 from driftline.plans.catalog import NLI, QA, RE, SENTIMENT, TRANSFORM, Property, Test, load_tests, merged_catalog
 from driftline.plans.templates import ALL_TEMPLATES, SYSTEM_LINE, template
 from driftline.session import work_folder
 from driftline.sources import tasks as T
+from driftline.sources.files import append_results, read_results
 from driftline.streaming.arrivals import run_arrivals
 
 from . import q_rewrites  # noqa: F401  (its oracles are used below)
 from . import sqltext as S
-from .batch_doubles import AnswerSecondTime, batch_model, length_of_question, rate_chats, refuse_some
+from .batch_doubles import (
+    AnswerSecondTime,
+    batch_model,
+    fail_some,
+    length_of_last_quote,
+    length_of_question,
+    one_reply_less,
+    rate_chats,
+    refuse_some,
+)
 from .doubles import ENCODER, HELPER, MODEL, SECOND_MODEL
 from .q_edits import re_rows_sql
 from .registry import ORACLES, query
@@ -152,6 +164,50 @@ def m6(spark, sf):
     return df.select("row_id", "output", "output_status")
 
 
+# A helper that fails for some questions: nothing that depends on such a call is judged, asked about or let through.
+DOWN = batch_model("down-for-some", fail_some, max_retries=1)
+
+
+@query(
+    "m6_helper_down_transform",
+    f"SELECT row_id, n % 5 <> 0 AS asked, CASE WHEN n % 5 <> 0 THEN 'n=' || length('n=' || n) END AS output FROM (SELECT doc_id AS row_id, {PARAPHRASE_LENGTH} AS n FROM documents)",
+)
+def m6_transform(spark, sf):
+    """A follow-up that a failed call should have made is no question to the model, not even an empty one."""
+    df = ask(documents(spark, sf), DOWN, template("it_prompt:paraphrasing"), [F.col("text")], "followup")
+    echo = batch_model("bare-length", length_of_last_quote)
+    df = ask(df, echo, template("helper:sentiment_word"), [F.col("followup")], "output", keep_status=True)
+    return df.select("row_id", F.col("output_status").isNotNull().alias("asked"), "output")
+
+
+@query(
+    "m6_helper_down_judge",
+    f"SELECT row_id, CASE WHEN n % 5 <> 0 THEN false END AS verdict, CASE WHEN n % 5 <> 0 THEN known END AS known FROM (SELECT doc_id AS row_id, {PARAPHRASE_LENGTH} AS n, 'unknown' AS known FROM documents)",
+)
+def m6_judge(spark, sf):
+    df = ask(documents(spark, sf), DOWN, template("it_prompt:paraphrasing"), [F.col("text")], "said")
+    return df.select("row_id", says_true(F.col("said")).alias("verdict"), F.when(~says_true(F.col("said")), "unknown").alias("known"))
+
+
+@query(
+    "m6_helper_down_gate",
+    f"SELECT row_id, false AS is_true, n % 5 <> 0 AS is_not_true FROM (SELECT doc_id AS row_id, {PARAPHRASE_LENGTH} AS n FROM documents)",
+)
+def m6_gate(spark, sf):
+    """A gate lets a row through only if the helper's reply says so."""
+    df = ask(documents(spark, sf), DOWN, template("it_prompt:paraphrasing"), [F.col("text")], "said")
+    passes = lambda fn: F.coalesce(VERIFIERS[fn](F.col("text"), F.col("said"), {}), F.lit(False))
+    return df.select("row_id", passes("helper_true").alias("is_true"), passes("helper_not_true").alias("is_not_true"))
+
+
+@query("m6_short_reply", "SELECT doc_id AS row_id, NULL::VARCHAR AS output, 'error' AS output_status FROM documents")
+def m6_short(spark, sf):
+    """A list of replies that is not as long as that of the questions answers none of them."""
+    model = batch_model("short", one_reply_less, max_retries=1)
+    df = ask(documents(spark, sf), model, template("it_prompt:paraphrasing"), [F.col("text")], "output", keep_status=True)
+    return df.select("row_id", "output", "output_status")
+
+
 def _prompt_catalog(name, category):
     """Every prompt of a category, filled with question answering rows."""
     chosen = [t for t in ALL_TEMPLATES.values() if t.category == category]
@@ -662,14 +718,15 @@ def e12(spark, sf):
 
 @query(
     "e13_latest_checkpoint",
-    "SELECT 'run-1-0' AS run_id, 3 * count(*) AS n FROM documents",
+    "SELECT 'a-second-run' AS run_id, 11 AS part, count(*) > 0 AS some FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 )
 def e13(spark, sf):
-    """The newest part of a result log."""
-    path = work_folder(spark, "results")
-    tests = tests_of(spark, SENTIMENT, [49, 102, 150])
-    log = R.run_resumable(text_rows(spark, sf), MODEL, SENTIMENT, tests, resources(spark, sf), path, "run-1")
-    return R.latest_run(log)
+    """The newest part of a log of two runs, the second with twelve parts; neither names nor digits are in the order of time."""
+    path, res = work_folder(spark, "results"), resources(spark, sf)
+    tests, rows = tests_of(spark, SENTIMENT, [49]), text_rows(spark, sf)
+    R.run_resumable(labelled(spark, sf, rows), MODEL, SENTIMENT, tests, res, path, "the-first-run", chunks=2)
+    log = R.run_resumable(rows, MODEL, SENTIMENT, tests, res, path, "a-second-run", chunks=12)
+    return R.latest_run(log).select("run_id", "part", (F.col("n") > 0).alias("some"))
 
 
 @query(
@@ -696,14 +753,13 @@ def e12_arrivals(spark, sf):
     return record_rows(log.withColumn("mr", F.col("mr").cast("int")))
 
 
-@query("s27_result_log", sentiment_sql([49, 102], "SELECT mr, row_id, verdict FROM judged"))
+@query("s27_result_log", sentiment_sql([49, 102], "SELECT '007' AS llm, mr, row_id, verdict FROM judged"))
 def s27(spark, sf):
-    from driftline.sources.files import append_results
-
+    """A model's name stays a text, though it names a folder and looks like a number."""
     path = work_folder(spark, "results")
-    append_results(run_sentiment(spark, sf, [49, 102], pools=False), path, "run-1")
-    back = spark.read.parquet(path).where((F.col("llm") == MODEL.name) & (F.col("task") == SENTIMENT) & (F.col("run_id") == "run-1"))
-    return back.select(F.col("mr").cast("int").alias("mr"), "row_id", "verdict")
+    append_results(R.records(run_sentiment(spark, sf, [49, 102], pools=False)).withColumn("llm", F.lit("007")), path, "run-1")
+    back = read_results(spark, path).where((F.col("task") == SENTIMENT) & (F.col("run_id") == "run-1"))
+    return back.select("llm", "mr", "row_id", F.explode("relations").alias("verdict"))
 
 
 @query(

@@ -29,8 +29,34 @@ def stored(spark, sf):
     return staged(spark, relation_raw(spark, sf))
 
 
-@query("s1_read_inputs", "SELECT 0::BIGINT AS pos, text FROM documents")
+IN_FILE = 100
+
+
+def as_json_files(spark, rows, name):
+    """Files that each hold one JSON array with the texts of IN_FILE consecutive rows."""
+    file = F.floor(F.col("row_id") / IN_FILE)
+    arrays = rows.groupBy(file.alias("file")).agg(F.sort_array(F.collect_list(F.struct("row_id", "text"))).alias("rows"))
+    path = work_folder(spark, name)
+    lines = arrays.select(F.to_json(F.transform("rows", lambda r: r["text"])).alias("value"))
+    lines.write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def placed(inputs):
+    """(file number, place in the file, text) of what was read."""
+    return inputs.select(
+        F.shiftright("row_id", 32).alias("file"), F.col("row_id").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), F.get("inputs", F.lit(0)).alias("text")
+    )
+
+
+@query("s1_read_inputs", f"SELECT doc_id % {IN_FILE} AS pos, text FROM documents")
 def s1(spark, sf):
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    return placed(files.read_inputs(spark, as_json_files(spark, rows, "inputs"))).select("pos", "text")
+
+
+@query("s1_read_input_lines", "SELECT 0::BIGINT AS pos, text FROM documents")
+def s1_lines(spark, sf):
     path = work_folder(spark, "inputs")
     files.write_input_lines(text_rows(spark, sf), path)
     rows = files.read_input_lines(spark, path)
@@ -50,13 +76,12 @@ def both_splits(spark, sf):
 
 @query("s2_union_sample", S.with_views(S.sampled("splits"), splits=SPLITS_SQL))
 def s2(spark, sf):
-    return sampling.seeded_sample(both_splits(spark, sf), "row_id")
+    return sampling.seeded_sample(both_splits(spark, sf), "row_id", size=sampling.SAMPLE_SIZE)
 
 
-@query("s2_large_sample", S.with_views(S.sampled("splits"), splits=SPLITS_SQL))
+@query("s2_large_sample", S.with_views(S.sampled("splits", size=1400), splits=SPLITS_SQL))
 def s2_large(spark, sf):
-    """The histogram form, which larger samples use."""
-    return sampling.seeded_sample(both_splits(spark, sf), "row_id", top_n_limit=0)
+    return sampling.seeded_sample(both_splits(spark, sf), "row_id", size=1400)
 
 
 @query("s2_keep_all", SPLITS_SQL)
@@ -73,7 +98,7 @@ def two(df, *more):
     return df.select("row_id", F.get("inputs", F.lit(0)).alias("a"), F.get("inputs", F.lit(1)).alias("b"), *more)
 
 
-@query("s4_question_answering", S.with_views(f"SELECT row_id, context AS a, question AS b FROM ({S.sampled('qa_raw')})", "qa_raw"))
+@query("s4_question_answering", S.with_views(f"SELECT row_id, context AS a, question AS b FROM qa_raw", "qa_raw"))
 def s4(spark, sf):
     return two(T.question_answering(question_raw(spark, sf)))
 
@@ -81,34 +106,34 @@ def s4(spark, sf):
 @query(
     "s5_question_answering_labelled",
     S.with_views(
-        f"SELECT row_id, context AS a, question AS b, coalesce(answers[1], 'unknown') AS label FROM ({S.sampled('qa_raw')})", "qa_raw"
+        f"SELECT row_id, context AS a, question AS b, coalesce(answers[1], 'unknown') AS label FROM qa_raw", "qa_raw"
     ),
 )
 def s5(spark, sf):
     return two(T.question_answering_labelled(question_raw(spark, sf)), "label")
 
 
-@query("s6_inference", S.with_views(f"SELECT row_id, premise AS a, hypothesis AS b FROM ({S.sampled('nli_raw')})", "nli_raw"))
+@query("s6_inference", S.with_views(f"SELECT row_id, premise AS a, hypothesis AS b FROM nli_raw", "nli_raw"))
 def s6(spark, sf):
     return two(T.inference(inference_raw(spark, sf)))
 
 
 @query(
     "s7_inference_labelled",
-    S.with_views(f"SELECT row_id, premise AS a, hypothesis AS b, label::VARCHAR AS label FROM ({S.sampled('nli_raw')})", "nli_raw"),
+    S.with_views(f"SELECT row_id, premise AS a, hypothesis AS b, label::VARCHAR AS label FROM nli_raw", "nli_raw"),
 )
 def s7(spark, sf):
     return two(T.inference_labelled(inference_raw(spark, sf)), "label")
 
 
-@query("s8_sentiment", S.with_views(f"SELECT row_id, sentence AS a FROM ({S.sampled('sst_raw')})", "sst_raw"))
+@query("s8_sentiment", S.with_views(f"SELECT row_id, sentence AS a FROM sst_raw", "sst_raw"))
 def s8(spark, sf):
     return T.sentiment(sentiment_raw(spark, sf)).select("row_id", F.get("inputs", F.lit(0)).alias("a"))
 
 
 @query(
     "s9_sentiment_labelled",
-    S.with_views(f"SELECT row_id, sentence AS a, label::VARCHAR AS label FROM ({S.sampled('sst_raw')})", "sst_raw"),
+    S.with_views(f"SELECT row_id, sentence AS a, label::VARCHAR AS label FROM sst_raw", "sst_raw"),
 )
 def s9(spark, sf):
     return T.sentiment_labelled(sentiment_raw(spark, sf)).select("row_id", F.get("inputs", F.lit(0)).alias("a"), "label")
@@ -178,7 +203,7 @@ def three(df, *more):
     ),
 )
 def s15(spark, sf):
-    return three(T.entity_pairs(relation_raw(spark, sf)))
+    return three(T.entity_pairs(relation_raw(spark, sf), size=sampling.SAMPLE_SIZE))
 
 
 @query(
@@ -199,8 +224,23 @@ def s17(spark, sf):
     return three(T.relation_extraction(stored(spark, sf), size=None))
 
 
-@query("s18_files_in_order", SPLITS_SQL)
+@query(
+    "s18_files_in_order",
+    f"""SELECT 0 AS argument, page_id % {IN_FILE} AS pos, url AS text FROM pages
+    UNION ALL SELECT 1, doc_id % {IN_FILE}, text FROM documents""",
+)
 def s18(spark, sf):
+    """Files are numbered in the order of the arguments, whatever their names; rows by their place in the file."""
+    first = table(spark, sf, "pages").select(F.col("page_id").alias("row_id"), F.col("url").alias("text"))
+    second = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    paths = [as_json_files(spark, second, "a"), as_json_files(spark, first, "z")][::-1]
+    n_first = len(spark.read.text(paths[0]).inputFiles())
+    rows = placed(files.read_inputs(spark, *paths))
+    return rows.select((F.col("file") >= n_first).cast("int").alias("argument"), "pos", "text")
+
+
+@query("s18_json_files", SPLITS_SQL)
+def s18_json(spark, sf):
     paths = []
     docs = table(spark, sf, "documents").select((F.col("doc_id") * 2).alias("row_id"), "text")
     turns = table(spark, sf, "conversations").select(
@@ -215,7 +255,7 @@ def s18(spark, sf):
 @query("s19_seeded_sample", S.with_views(S.sampled("turns"), turns="SELECT o_orderkey AS row_id, o_orderpriority AS priority FROM orders"))
 def s19(spark, sf):
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("priority"))
-    return sampling.seeded_sample(orders, "row_id")
+    return sampling.seeded_sample(orders, "row_id", size=sampling.SAMPLE_SIZE)
 
 
 SAMPLED_RE = S.with_views(
@@ -225,7 +265,7 @@ SAMPLED_RE = S.with_views(
 
 @query("s20_relation_extraction", SAMPLED_RE)
 def s20(spark, sf):
-    return three(T.relation_extraction(stored(spark, sf)))
+    return three(T.relation_extraction(stored(spark, sf), size=sampling.SAMPLE_SIZE))
 
 
 def labelled_sql(view: str) -> str:
@@ -244,7 +284,7 @@ def s21(spark, sf):
 
 @query("s22_relation_extraction_labelled", labelled_sql(S.sampled("re_rows")))
 def s22(spark, sf):
-    return three(T.relation_extraction_labelled(stored(spark, sf), relation_names(spark, sf)), "label")
+    return three(T.relation_extraction_labelled(stored(spark, sf), relation_names(spark, sf), size=sampling.SAMPLE_SIZE), "label")
 
 
 @query(
@@ -267,7 +307,8 @@ def s23(spark, sf):
         "sentiment": T.sentiment_labelled(sentiment_raw(spark, sf), size=None),
         "relation_extraction": T.relation_extraction_labelled(stored(spark, sf), relation_names(spark, sf), size=None),
     }
-    files.export_labelled(sets, path)
+    for _ in range(2):  # the second export replaces the first
+        files.export_labelled(sets, path)
     back = spark.read.parquet(path)
     return back.select("dataset", "row_id", "label", F.array_join("inputs", "\n").alias("inputs"))
 
@@ -286,7 +327,7 @@ def s25(spark, sf):
     return files.read_csv(spark, path)
 
 
-@query("s26_input_cache", S.with_views(f"SELECT row_id, context AS a, question AS b FROM ({S.sampled('qa_raw')})", "qa_raw"))
+@query("s26_input_cache", S.with_views(f"SELECT row_id, context AS a, question AS b FROM qa_raw", "qa_raw"))
 def s26(spark, sf):
     path = work_folder(spark, "source_inputs")
 

@@ -63,5 +63,5 @@ def not_similar(source: Column, followup: Column, similarity: Column, threshold:
 
 
 def says_true(answer: Column) -> Column:
-    """A helper's yes: exactly "true" once cleaned; anything else is no."""
-    return F.coalesce(clean_text(answer) == "true", F.lit(False))
+    """A helper's yes: exactly "true" once cleaned; anything else is no. Without an answer nothing is known (null)."""
+    return clean_text(answer) == "true"

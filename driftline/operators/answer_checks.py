@@ -15,14 +15,16 @@ def known_or_unknown(
 ) -> DataFrame:
     """An answer that says it does not know, in whatever words, becomes "unknown".
 
-    Answers with "unknown" in them are told without a question; the helper is asked about the others.
+    Answers with "unknown" in them are told without a question; the helper is asked about the others. Where that call
+    fails nothing can be said of the answer, and it becomes null.
     """
     text = F.col(column)
     plain = is_subset(text, F.lit("unknown"))
     asked = ~plain if when is None else when & ~plain
     df = ask(df, helper, template("helper:answers_question"), [text], "_said", "helper", asked, store)
-    unknown = plain | ~says_true(F.col("_said"))
-    return df.withColumn(column, F.when(text.isNull(), text).when(unknown, "unknown").otherwise(text)).drop("_said")
+    failed = F.coalesce(asked, F.lit(False)) & F.col("_said").isNull()
+    told = F.when(plain | ~says_true(F.col("_said")), "unknown").when(~failed, text)
+    return df.withColumn(column, told).drop("_said")
 
 
 def question_of_answer(df: DataFrame, column: str, out: str, helper: Model, store: AnswerStore | None = None) -> DataFrame:

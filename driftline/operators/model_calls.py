@@ -17,10 +17,10 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..plans.templates import Template
 from ..session import work_folder
+from ..sources.files import read_if_exists
 from .prompts import messages
 
 # Answers that stand for two kinds of refusal, so that the row survives and is judged.
@@ -28,10 +28,9 @@ FILTERED_TEXT = "The response was filtered because of the content of the prompt.
 REPETITIVE_TEXT = "The prompt was refused because of repeated patterns."
 MANY_RETRIES = 9_999_999
 
-# Answers to the most frequent questions are broadcast: at most this many, each at most this long.
-HOT_QUESTIONS = 1000
-HOT_ANSWER_BYTES = 16_384
+# A question is hot from so many rows on, and from this share of all rows on. So there are 10,000 hot ones at most.
 HOT_MINIMUM = 10_000
+HOT_SHARE = 1 / 10_000
 
 ANSWER_SCHEMA = "key string, purpose string, output string, status string"
 STORE_SCHEMA = "key string, output string, status string, model string, purpose string"
@@ -83,12 +82,7 @@ class AnswerStore:
         self.path = self.path or work_folder(self.spark, "answers")
 
     def read(self) -> DataFrame | None:
-        try:
-            # The schema is given, so an empty or missing folder is the only thing that can fail here.
-            table = self.spark.read.schema(STORE_SCHEMA).parquet(self.path)
-        except AnalysisException:
-            return None
-        return table
+        return read_if_exists(self.spark, self.path, STORE_SCHEMA)
 
     def append(self, answers: DataFrame) -> None:
         answers.write.mode("append").partitionBy("model", "purpose").parquet(self.path)
@@ -111,7 +105,9 @@ def _call_with_retries(model: BatchModel, chats: list[list[dict]]) -> list[tuple
     attempts = model.max_retries if model.max_retries and model.max_retries > 0 else MANY_RETRIES
     for attempt in range(attempts):
         try:
-            answers = model.answer([chats[i] for i in waiting])
+            answers = list(model.answer([chats[i] for i in waiting]))
+            if len(answers) != len(waiting):
+                raise ValueError(f"{len(answers)} replies to {len(waiting)} questions: nobody knows which belongs to which")
         except Exception as error:  # the whole batch failed
             answers = [error] * len(waiting)
         again = []
@@ -120,7 +116,7 @@ def _call_with_retries(model: BatchModel, chats: list[list[dict]]) -> list[tuple
                 results[i] = (FILTERED_TEXT, "filtered")
             elif isinstance(answer, RepetitivePrompt):
                 results[i] = (REPETITIVE_TEXT, "repetitive")
-            elif isinstance(answer, Exception):
+            elif answer is None or isinstance(answer, Exception):
                 again.append(i)
             else:
                 results[i] = (str(answer), "ok")
@@ -149,30 +145,28 @@ def call_batches(questions: DataFrame, model: BatchModel) -> DataFrame:
 def join_answers(df: DataFrame, answers: DataFrame, out: str, hot_minimum: int = HOT_MINIMUM) -> DataFrame:
     """Join (key, n, output, status) back on ``_key`` where a few keys may hold most of the rows.
 
-    The answers to the most frequent questions (a bounded number of bounded size) are broadcast. Their
-    rows then leave the shuffle's hot partitions: they carry a key of their own that meets no answer.
+    Hot keys, those with ``HOT_SHARE`` of the rows or more, are split: the answer is copied once for every
+    ``hot_minimum`` rows, and each row meets one of the copies. Only hot keys and their numbers of copies are broadcast,
+    never answers. Rows without a question (null key) get keys of their own that meet no answer.
     """
-    hot = (
-        answers.where((F.col("n") >= hot_minimum) & (F.coalesce(F.octet_length("output"), F.lit(0)) <= HOT_ANSWER_BYTES))
-        .orderBy(F.desc("n"), "key")
-        .limit(HOT_QUESTIONS)
-        .select(F.col("key").alias("_key"), F.col("output").alias("_hot_output"), F.col("status").alias("_hot_status"))
-    )
-    cold = answers.select(
-        F.col("key").alias("_cold_key"), F.col("output").alias("_cold_output"), F.col("status").alias("_cold_status")
-    )
-    is_hot = F.col("_hot_status").isNotNull()
-    scattered = F.concat(F.lit("~"), F.xxhash64(*[F.col(c) for c in df.columns if c != "_key"]).cast("string"))
-    first = df.join(F.broadcast(hot), "_key", "left").withColumn(
-        "_cold_key", F.when(is_hot, scattered).otherwise(F.col("_key"))
-    )
-    joined = first.join(cold, "_cold_key", "left")
-    return joined.withColumns(
+    total = answers.agg(F.sum("n")).first()[0] or 0
+    least = max(hot_minimum, total * HOT_SHARE)
+    copies = F.ceil(F.col("n") / hot_minimum).cast("int")
+    split = answers.where(F.col("n") >= least).select(F.col("key").alias("_key"), copies.alias("_copies"))
+    scattered = F.xxhash64(*[F.col(c) for c in df.columns if c != "_key"])
+    first = df.join(F.broadcast(split), "_key", "left").withColumns(
         {
-            out: F.when(is_hot, F.col("_hot_output")).otherwise(F.col("_cold_output")),
-            f"{out}_status": F.coalesce("_hot_status", "_cold_status"),
+            "_copy": F.coalesce(F.pmod(scattered, F.col("_copies").cast("bigint")), F.lit(0).cast("bigint")),
+            "_key": F.coalesce("_key", F.concat(F.lit("~"), scattered.cast("string"))),
         }
-    ).drop("_key", "_cold_key", "_hot_output", "_hot_status", "_cold_output", "_cold_status")
+    )
+    zero = F.lit(0).cast("bigint")
+    numbers = F.when(F.col("n") >= least, F.sequence(zero, copies.cast("bigint") - 1)).otherwise(F.array(zero))
+    copied = answers.select("key", "output", "status", F.explode(numbers).alias("copy"))
+    told = copied.select(
+        F.col("key").alias("_key"), F.col("copy").alias("_copy"), F.col("output").alias(out), F.col("status").alias(f"{out}_status")
+    )
+    return first.join(told, ["_key", "_copy"], "left").drop("_key", "_copy", "_copies")
 
 
 def ask(
@@ -187,8 +181,14 @@ def ask(
     keep_status: bool = False,
     hot_minimum: int = HOT_MINIMUM,
 ) -> DataFrame:
-    """Add the model's answer as column ``out``; rows where ``when`` is not true are not asked and get null."""
+    """Add the model's answer as column ``out``; rows where ``when`` is not true are not asked and get null.
+
+    Nor is a row asked that lacks one of the inputs: it may come from a call that failed, and a question about an empty
+    text would get an answer that looks real.
+    """
     when = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
+    for i in inputs:
+        when = when & i.isNotNull()
     if isinstance(model, ColumnModel):
         df = df.withColumn(out, F.when(when, model.rule(template, inputs)))
         return df.withColumn(f"{out}_status", F.when(when, F.lit("ok"))) if keep_status else df

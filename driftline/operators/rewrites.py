@@ -78,6 +78,11 @@ def _prompt_inputs(prompt: Template, index: int, edit: Edit) -> list[Column]:
 # Rewriting a text, a sentence at a time, or adding to it
 
 
+def join_whole(parts: Column, separator: str) -> Column:
+    """Joined parts; null if one of them is missing, as a text that lacks a part is another text."""
+    return let(parts, lambda p: F.when(F.forall(p, lambda x: x.isNotNull()), F.array_join(p, separator)))
+
+
 def rewrite(df: DataFrame, edit: Edit, key: str) -> DataFrame:
     new = {}
     for index in changed_indices(edit):
@@ -100,7 +105,7 @@ def _per_sentence(df: DataFrame, edit: Edit, key: str, text: Column, more: list[
                 b["s"], lambda s: edit.helper.rule(template(key), [s, *[b[f"m{i}"] for i in range(len(more))]])
             ),
         )
-        return df.withColumn(out, F.array_join(answers, " "))
+        return df.withColumn(out, join_whole(answers, " "))
     df = df.withColumn("_more", F.array(*more).cast("array<string>"))
     rows = df.select(ROW, "_more", rows_of(sentences(text)).alias("_pos", "_sentence")).where("_pos IS NOT NULL")
     question = [F.col("_sentence"), *[F.get("_more", F.lit(i)) for i in range(len(more))]]
@@ -108,9 +113,10 @@ def _per_sentence(df: DataFrame, edit: Edit, key: str, text: Column, more: list[
     joined = (
         answered.groupBy(ROW)
         .agg(F.sort_array(F.collect_list(F.struct("_pos", "_answer"))).alias("_a"))
-        .select(ROW, F.array_join(F.transform("_a", lambda a: a["_answer"]), " ").alias(out))
+        .select(ROW, F.transform("_a", lambda a: a["_answer"]).alias("_parts"))
     )
-    return df.join(joined, ROW, "left").withColumn(out, F.coalesce(out, F.lit(""))).drop("_more")
+    known = F.when(text.isNotNull() & F.forall(F.array(*more), lambda m: m.isNotNull()), F.coalesce("_parts", F.array())) if more else F.when(text.isNotNull(), F.coalesce("_parts", F.array()))
+    return df.join(joined, ROW, "left").withColumn(out, join_whole(known, " ")).drop("_more", "_parts")
 
 
 def rewrite_sentences(df: DataFrame, edit: Edit, key: str) -> DataFrame:
@@ -145,12 +151,18 @@ def _open_end(dotted: Column, closed: Column) -> Column:
     return F.when(closed | (count == 0), dotted).otherwise(F.concat(F.slice(dotted, F.lit(1), count - 1), F.array(last)))
 
 
+MOODS = ("positive", "negative", "neutral")
+
+
 def _sentences_of_mood(mood: str) -> Column:
     return F.array_join(F.transform(F.filter("_pairs", lambda p: p["mood"] == mood), lambda p: p["s"]), " ")
 
 
 def group_by_sentiment(df: DataFrame, edit: Edit) -> DataFrame:
-    """Sentences (cut at full stops) in the order positive, negative, neutral; repeated ones stay once."""
+    """Sentences (cut at full stops) in the order positive, negative, neutral; repeated ones stay once.
+
+    With a sentence of no known mood (another word, or a call that failed) the text can't be grouped and is null.
+    """
     new = {}
     for index in changed_indices(edit):
         text = input_at(index)
@@ -174,9 +186,11 @@ def group_by_sentiment(df: DataFrame, edit: Edit) -> DataFrame:
                 .select(ROW, F.transform("_p", lambda p: F.struct(p["mood"].alias("mood"), p["s"].alias("s"))).alias("_pairs"))
             )
             df = df.join(pairs, ROW, "left")
-        groups = [_sentences_of_mood(m) for m in ("positive", "negative", "neutral")]
+        groups = [_sentences_of_mood(m) for m in MOODS]
         parts = F.filter(F.array(*groups), lambda g: g != "")
-        df = df.withColumn(new[index], F.coalesce(F.array_join(parts, " "), F.lit(""))).drop("_pairs")
+        told = F.forall("_pairs", lambda p: F.coalesce(p["mood"].isin(*MOODS), F.lit(False)))
+        grouped = F.when(F.col("_pairs").isNull(), "").when(told, F.array_join(parts, " "))
+        df = df.withColumn(new[index], F.when(text.isNotNull(), grouped)).drop("_pairs")
     return _finish(df, new, edit)
 
 
@@ -246,11 +260,14 @@ def _word_for_word(df: DataFrame, edit: Edit, key: str, kws: str, context: Colum
         .agg(F.sort_array(F.collect_list(F.struct("_pos", clean_text(F.col("_word")).alias("w")))).alias("_w"))
         .select(ROW, F.transform("_w", lambda w: w["w"]).alias(out))
     )
-    return df.join(gathered, ROW, "left").withColumn(out, F.coalesce(out, F.lit([]).cast("array<string>")))
+    # Without keywords there is nothing to ask; without an answer about the keywords nothing is known.
+    none = F.when(F.col(kws).isNotNull(), F.array().cast("array<string>"))
+    return df.join(gathered, ROW, "left").withColumn(out, F.coalesce(out, none))
 
 
 def rules_text(words_from: Column, words_to: Column) -> Column:
-    return F.array_join(F.zip_with(words_from, words_to, lambda a, b: F.concat(a, F.lit(" -> "), b)), "\n")
+    """One rule per line; null if a keyword lacks its partner, as a rule must not go unnoticed."""
+    return join_whole(F.zip_with(words_from, words_to, lambda a, b: F.concat(a, F.lit(" -> "), b)), "\n")
 
 
 def _replace(df: DataFrame, edit: Edit, text: Column, words_from: str, words_to: str, out: str) -> DataFrame:

@@ -29,7 +29,7 @@ from ..operators.registry import (
 )
 from ..operators.rewrites import Edit, with_shared_keywords
 from ..session import work_folder
-from ..sources.files import append_results, read_if_exists
+from ..sources.files import append_results, read_results
 from .catalog import ARITY, CHECK_FOLLOWUP, CHECK_INPUT, CHECK_OUTPUT, RELATION, SUT_TEMPLATE, TRANSFORM, Test
 from .templates import template
 
@@ -301,8 +301,9 @@ def finished_rows(done: DataFrame, model: str, task: str, tests: list[Test]) ->
 
 
 def run_resumable(
-    src: DataFrame, model: Model, task: str, tests: list[Test], res: Resources, path: str, run_id: str, chunks: int = 1
-) -> DataFrame:
+    src: DataFrame, model: Model, task: str, tests: list[Test], res: Resources, path: str, run_id: str, chunks: int = 1,
+    first_part: int = 0,
+) -> DataFrame:
     """Run in separately committed parts of the rows and skip what the result log at ``path`` already holds.
 
     A crash loses at most one part. A part that was committed by half is completed: records are left out
@@ -311,19 +312,20 @@ def run_resumable(
     spark = src.sparkSession
     for chunk in range(chunks):
         part = src.where(F.pmod(F.xxhash64("row_id"), F.lit(chunks)) == chunk)
-        done = read_if_exists(spark, path)
+        done = read_results(spark, path)
         if done is not None:
             part = part.join(finished_rows(done, model.name, task, tests), "row_id", "left_anti")
         fresh = records(run_task(part, [model], task, tests, res))
         if done is not None:
             fresh = fresh.join(done.select(*RECORD_KEYS), RECORD_KEYS, "left_anti")
-        append_results(fresh, path, f"{run_id}-{chunk}")
-    return spark.read.parquet(path)
+        append_results(fresh, path, run_id, first_part + chunk)
+    return read_results(spark, path)
 
 
 def latest_run(log: DataFrame) -> DataFrame:
-    """The last committed part of a result log and its size, by run id order."""
-    return log.groupBy("run_id").agg(F.count("*").alias("n")).orderBy(F.desc("run_id")).limit(1)
+    """(run_id, part, n): the part of a result log that was committed last, and its size."""
+    parts = log.groupBy("run_id", "part").agg(F.max("committed_at").alias("at"), F.count("*").alias("n"))
+    return parts.agg(F.max_by(F.struct("run_id", "part", "n"), F.struct("at", "part", "run_id")).alias("last")).select("last.*")
 
 
 def violation_rates(long: DataFrame) -> DataFrame:

@@ -35,9 +35,12 @@ def build_session(app_name: str = "driftline", master: str | None = None, **conf
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for one stage table, below the cluster's shared checkpoint folder.
 
-    Only where the session names no such folder (tests on one machine) a temporary one is used.
+    Only where the session names no such folder and runs on one machine, as tests do, a temporary one is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not base and not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         app = spark.sparkContext.applicationId
         if app not in _OWN_FOLDERS:

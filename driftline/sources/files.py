@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -16,14 +18,15 @@ def _parse_inputs(text):
 
 
 def read_inputs(spark: SparkSession, *paths: str) -> DataFrame:
-    """Files that each hold one JSON array of inputs: (row_id, inputs), in file and array order.
+    """Files that each hold one JSON array of inputs: (row_id, inputs), in the order of the
+    arguments, of the file names within one, and of the array.
 
     A JSON array cannot be split, so one file is one task's work: large data belongs in many files,
     in lines (``read_input_lines``) or in parquet. ``row_id`` leaves room for 2^32 rows per file.
     """
-    text = spark.read.text(list(paths), wholetext=True)
-    files = spark.createDataFrame(list(enumerate(sorted(text.inputFiles()))), "file_no bigint, file string")
-    rows = text.withColumn("file", F.input_file_name()).join(files, "file")
+    in_order = [file for path in paths for file in sorted(spark.read.text(path, wholetext=True).inputFiles())]
+    files = spark.createDataFrame(list(enumerate(dict.fromkeys(in_order))), "file_no bigint, file string")
+    rows = spark.read.text(list(paths), wholetext=True).withColumn("file", F.input_file_name()).join(files, "file")
     parsed = rows.select("file_no", F.posexplode(_parse_inputs(F.col("value"))).alias("pos", "inputs"))
     return parsed.select((F.shiftleft("file_no", 32) + F.col("pos")).alias("row_id"), "inputs")
 
@@ -62,11 +65,18 @@ def write_csv(df: DataFrame, path: str, fieldnames: list[str] | None = None) ->
     )
 
 
-def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
+MISSING = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+def read_if_exists(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The table, or None where there is none; a table that can't be read is an error."""
+    reader = spark.read.schema(schema) if schema else spark.read
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+        return reader.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in MISSING:
+            return None
+        raise
 
 
 def cached_inputs(spark: SparkSession, path: str, compute) -> DataFrame:
@@ -87,12 +97,25 @@ def existing_inputs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_labelled(datasets: dict[str, DataFrame], path: str) -> None:
-    """All labelled data sets as one table partitioned by data set name."""
+    """All labelled data sets as one table partitioned by data set name; exporting a set again replaces it."""
     for name, df in datasets.items():
-        part = df.select("row_id", "inputs", "label", F.lit(name).alias("dataset"))
-        part.write.mode("append").partitionBy("dataset").parquet(path)
+        df.select("row_id", "inputs", "label").write.mode("overwrite").parquet(f"{path}/dataset={name}")
+
+
+#: Columns that name folders are given their types: a model called 007 is no number.
+LOG_SCHEMA = (
+    "row_id bigint, source_input array<string>, source_output string, followup_inputs array<array<string>>, "
+    "followup_outputs array<string>, relations array<boolean>, verif_failure string, run_id string, part int, "
+    "committed_at timestamp, llm string, task string, mr int"
+)
+
+
+def append_results(results: DataFrame, path: str, run_id: str, part: int = 0) -> None:
+    """The result log: one folder per (llm, task, mr); a run has numbered parts, each with the time it was written."""
+    now = F.lit(datetime.now(timezone.utc))
+    marked = results.withColumns({"run_id": F.lit(run_id), "part": F.lit(part), "committed_at": now})
+    marked.write.mode("append").partitionBy("llm", "task", "mr").parquet(path)
 
 
-def append_results(results: DataFrame, path: str, run_id: str) -> None:
-    """The result log: one folder per (llm, task, mr), runs told apart by ``run_id``."""
-    results.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("llm", "task", "mr").parquet(path)
+def read_results(spark: SparkSession, path: str) -> DataFrame | None:
+    return read_if_exists(spark, path, LOG_SCHEMA)

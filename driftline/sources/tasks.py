@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.draws import draw, draw_keys, let, seed_for
-from .sampling import SAMPLE_SIZE, seeded_sample
+from .sampling import seeded_sample
 
 DATA_SEED = 42
 
@@ -25,11 +25,11 @@ def check_arity(df: DataFrame, arity: int) -> DataFrame:
 # Question answering: (row_id, context, question, answers.text)
 
 
-def question_answering(raw: DataFrame, size: int | None = SAMPLE_SIZE, seed: int = DATA_SEED) -> DataFrame:
+def question_answering(raw: DataFrame, size: int | None = None, seed: int = DATA_SEED) -> DataFrame:
     return seeded_sample(raw, "row_id", size, seed).select("row_id", F.array("context", "question").alias("inputs"))
 
 
-def question_answering_labelled(raw: DataFrame, size: int | None = SAMPLE_SIZE, seed: int = DATA_SEED) -> DataFrame:
+def question_answering_labelled(raw: DataFrame, size: int | None = None, seed: int = DATA_SEED) -> DataFrame:
     """The first answer is the label; a question without answers is "unknown"."""
     label = F.coalesce(F.get("answers.text", F.lit(0)), F.lit("unknown"))
     return seeded_sample(raw, "row_id", size, seed).select(
@@ -40,11 +40,11 @@ def question_answering_labelled(raw: DataFrame, size: int | None = SAMPLE_SIZE,
 # Inference: (row_id, premise, hypothesis, label)
 
 
-def inference(raw: DataFrame, size: int | None = SAMPLE_SIZE, seed: int = DATA_SEED) -> DataFrame:
+def inference(raw: DataFrame, size: int | None = None, seed: int = DATA_SEED) -> DataFrame:
     return inference_labelled(raw, size, seed).drop("label")
 
 
-def inference_labelled(raw: DataFrame, size: int | None = SAMPLE_SIZE, seed: int = DATA_SEED) -> DataFrame:
+def inference_labelled(raw: DataFrame, size: int | None = None, seed: int = DATA_SEED) -> DataFrame:
     return seeded_sample(raw, "row_id", size, seed).select(
         "row_id", F.array("premise", "hypothesis").alias("inputs"), F.col("label").cast("string").alias("label")
     )
@@ -53,11 +53,11 @@ def inference_labelled(raw: DataFrame, size: int | None = SAMPLE_SIZE, seed: int
 # Sentiment: (row_id, sentence, label)
 
 
-def sentiment(raw: DataFrame, size: int | None = SAMPLE_SIZE, seed: int = DATA_SEED) -> DataFrame:
+def sentiment(raw: DataFrame, size: int | None = None, seed: int = DATA_SEED) -> DataFrame:
     return sentiment_labelled(raw, size, seed).drop("label")
 
 
-def sentiment_labelled(raw: DataFrame, size: int | None = SAMPLE_SIZE, seed: int = DATA_SEED) -> DataFrame:
+def sentiment_labelled(raw: DataFrame, size: int | None = None, seed: int = DATA_SEED) -> DataFrame:
     return seeded_sample(raw, "row_id", size, seed).select(
         "row_id", as_inputs(F.col("sentence")).alias("inputs"), F.col("label").cast("string").alias("label")
     )
@@ -115,7 +115,7 @@ def random_relation(labels: Column, row: Column, seed: int) -> Column:
     return let(labels, lambda b: F.get(b, (draw(row, F.lit(1), seed) % F.greatest(F.size(b), F.lit(1))).cast("int")))
 
 
-def entity_pairs(raw: DataFrame, size: int | None = SAMPLE_SIZE, seed: int = DATA_SEED) -> DataFrame:
+def entity_pairs(raw: DataFrame, size: int | None = None, seed: int = DATA_SEED) -> DataFrame:
     """Text with a random pair of entities, by their first names."""
     pair = random_pair(first_names(F.col("vertexSet")), F.col("row_id"), seed_for(seed, salt=1))
     return (
@@ -141,13 +141,13 @@ def viable_relations(raw: DataFrame) -> DataFrame:
     return raw.where(F.size("labels") > 0)
 
 
-def relation_extraction(raw: DataFrame, size: int | None = SAMPLE_SIZE, seed: int = DATA_SEED) -> DataFrame:
+def relation_extraction(raw: DataFrame, size: int | None = None, seed: int = DATA_SEED) -> DataFrame:
     """Text, head and tail of a random labelled relation."""
     return _labelled_relation(seeded_sample(viable_relations(raw), "row_id", size, seed), seed).select("row_id", "inputs")
 
 
 def relation_extraction_labelled(
-    raw: DataFrame, names: DataFrame, size: int | None = SAMPLE_SIZE, seed: int = DATA_SEED
+    raw: DataFrame, names: DataFrame, size: int | None = None, seed: int = DATA_SEED
 ) -> DataFrame:
     """As above with the relation's name from a table (code, name); an unknown code gives a null label."""
     rows = _labelled_relation(seeded_sample(viable_relations(raw), "row_id", size, seed), seed)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.model_calls import Model
 from ..plans.catalog import Test
 from ..plans.run import Resources, run_resumable
+from ..sources.files import read_results
 
 SOURCE_SCHEMA = "row_id bigint, inputs array<string>"
 
@@ -25,7 +26,7 @@ def run_arrivals(
         reader = reader.option("maxFilesPerTrigger", max_files)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        run_resumable(batch, model, task, tests, res, results_path, f"batch-{batch_id:09d}")
+        run_resumable(batch, model, task, tests, res, results_path, "arrivals", first_part=batch_id)
 
     query = (
         reader.parquet(input_path)
@@ -35,4 +36,4 @@ def run_arrivals(
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(results_path)
+    return read_results(spark, results_path)
