@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -41,6 +42,7 @@ def slices(batches: Iterable, most_bytes: int = 4 << 20) -> Iterator:
                 yield part if isinstance(batch, tuple) else part[0]
                 start, held = i, 0
             held += n
+        pa.default_memory_pool().release_unused()
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

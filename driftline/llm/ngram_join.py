@@ -24,7 +24,7 @@ from .common import slices, staged, whole
 from .components import components, look_up
 
 #: Members and n-grams that one chunk of a class may have, and n-grams of small classes verified in one call.
-CHUNK_MEMBERS, CHUNK_GRAMS, CALL_GRAMS = 512, 1_000_000, 500_000
+CHUNK_MEMBERS, CHUNK_GRAMS, CALL_GRAMS = 512, 250_000, 200_000
 
 
 def banding(threshold: float, recall: float, most_hashes: int = 128) -> tuple[int, int]:
@@ -120,7 +120,7 @@ def linked(sets: list[np.ndarray], threshold: float, split: int = 0) -> np.ndarr
     shared = np.bincount(number) > 1
     column = (np.cumsum(shared) - 1)[number]
     owner, column = owner[shared[number]], column[shared[number]]
-    common, width = np.zeros((k, k)), max(256, (8 << 20) // k)
+    common, width = np.zeros((k, k)), max(256, (2 << 20) // k)
     for low in range(0, int(shared.sum()), width):
         a, b = np.searchsorted(column, [low, low + width])
         part = np.zeros((k, width), np.float32)
@@ -187,12 +187,12 @@ def ngram_join(
 
     @F.arrow_udf("struct<node:binary,bands:array<bigint>,grams:bigint>")
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in slices(batches):
+        for texts in slices(batches, 2 << 20):
             yield signatures(texts, n, bands, rows)
 
     @F.arrow_udf("struct<node:binary,set:binary>")
     def grams_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in slices(batches):
+        for texts in slices(batches, 2 << 20):
             yield gram_sets(texts, n)
 
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
