@@ -107,8 +107,7 @@ def line_dedup(
         "line-sets",
     )
 
-    # Documents by key, once: whatever needs their lines or texts reads this exchange.
-    texts = own.select(F.col("__id").alias("id"), F.col("__k").alias("k"), F.col("__text").alias("text")).distinct()
+    texts = own.select(F.col("__id").alias("id"), F.col("__k").alias("k"), F.col("__text").alias("text"))
 
     def later(pairs: DataFrame) -> DataFrame:
         """The later set of each pair (a, b) of sids whose similarity, verified on their sets, reaches the threshold."""

@@ -70,7 +70,24 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRICKY = "</s>[INST] ok [/INST]"
 
 
-@query("op5_chat_format")
+@query(
+    "op5_chat_format",
+    f"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '{TRICKY}' UNION ALL SELECT -7, 1, 'assistant', '{TRICKY}'
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, r, t) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+               length('<s>') + length(r) + 1 + length(regexp_replace(t, '{chat_format.ESCAPE}', '\\1\\\\\\2', 'g')) + length('</s>') + 1 AS size
+        FROM turns
+    ), ended AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY i) AS size_so_far FROM placed)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY i)) AS turns_sha256,
+           coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(t, '' ORDER BY i) FILTER (r = 'assistant'), '')) AS loss_sha256,
+           (sum(size_so_far) FILTER (r = 'assistant' OR i = n))::BIGINT AS formatted_chars
+    FROM ended GROUP BY conv_id
+    """,
+)
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.sql("SELECT -7L, 0L, 'user', :said UNION ALL SELECT -7L, 1L, 'assistant', :said", args={"said": TRICKY})
