@@ -111,17 +111,18 @@ class UnitEncoder:
         #: unit -> its ids, packed as unsigned 32-bit integers
         self.known: dict[str, bytes] = {}
 
-    def encode(self, units: pa.Array, unit_offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts behind each other, and where each text starts; text i has units[unit_offsets[i]:unit_offsets[i+1]]."""
-        coded = pc.dictionary_encode(units)
-        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        found = [*map(self.known.get, distinct)]
+    def encode(self, units: list[str], codes: np.ndarray, unit_offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts behind each other, and where each text starts.
+
+        Text i is made of the units that codes[unit_offsets[i] : unit_offsets[i + 1]] name.
+        """
+        found = [*map(self.known.get, units)]
         new = [i for i, ids in enumerate(found) if ids is None]
         room = self.most_known - len(self.known)
-        for k, (i, ids) in enumerate(zip(new, self.encode_units([distinct[i] for i in new]))):
+        for k, (i, ids) in enumerate(zip(new, self.encode_units([units[i] for i in new]))):
             found[i] = array("I", ids).tobytes()
             if k < room:
-                self.known[distinct[i]] = found[i]
+                self.known[units[i]] = found[i]
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), np.uint32)
         per_unit = lengths[codes]
@@ -130,38 +131,38 @@ class UnitEncoder:
         return ids, ends[unit_offsets]
 
 
-def spaced_units(texts: pa.Array, words: Callable[[str], list[str]]) -> tuple[pa.Array, np.ndarray]:
-    """Units of a byte-level vocabulary: the text up to its first space, then each space with what follows it.
-
-    A space between two characters that aren't white space always begins a new word, so such units are independent. A
-    text with any other space (double, at the ends, beside a line break) is cut into its words instead.
-    """
+def split_at_blanks(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct parts of all texts between blanks, the code of each part in order, and where each text's parts start."""
     parts = pc.split_pattern(texts, " ")
     offsets = parts.offsets.to_numpy().astype(np.int64)
-    offsets, flat = offsets - offsets[0], parts.flatten()
-    coded = pc.dictionary_encode(flat)
-    distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-    odd = np.array([not p or p[0].isspace() or p[-1].isspace() for p in distinct], bool)[codes]
-    first = np.zeros(len(codes), bool)
-    first[offsets[:-1]] = True
-    single = np.diff(offsets) == 1
-    bad = np.add.reduceat(odd, offsets[:-1]) > 0 if len(texts) else np.zeros(0, bool)
-    bad &= ~single
-    dictionary = pa.array(distinct + [" " + p for p in distinct], pa.string())
-    units = pa.DictionaryArray.from_arrays(pa.array(np.where(first, codes, codes + len(distinct)).astype(np.int32)), dictionary)
-    if not bad.any():
-        return units.dictionary_decode(), offsets
-    plain, out, counts = units.dictionary_decode(), [], np.diff(offsets)
-    for i in np.flatnonzero(bad):
-        cut = words(texts[int(i)].as_py())
-        out.append((int(i), pa.array(cut, pa.string())))
-        counts[i] = len(cut)
-    chunks, at = [], 0
-    for i, cut in out:
-        chunks += [plain.slice(offsets[at], offsets[i] - offsets[at]), cut]
-        at = i + 1
-    chunks.append(plain.slice(offsets[at]))
-    return pa.concat_arrays(chunks), np.concatenate([[0], np.cumsum(counts)])
+    coded = pc.dictionary_encode(parts.flatten())
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), offsets - offsets[0]
+
+
+def spaced_units(texts: pa.Array, words: Callable[[str], list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Units of a byte-level vocabulary: the text up to its first blank, then each blank with what follows it.
+
+    A blank between two characters that aren't white space always begins a new word, so such units are independent. A
+    text with any other blank (double, at the ends, beside a line break) is cut into its words instead.
+    """
+    parts, codes, offsets = split_at_blanks(texts)
+    n, sizes = len(parts), np.diff(offsets)
+    odd = pc.or_(pc.equal(parts, ""), pc.not_equal(parts, pc.utf8_trim_whitespace(parts))).to_numpy(zero_copy_only=False)
+    bad = (np.add.reduceat(odd[codes].astype(np.int64), offsets[:-1]) > 0) & (sizes > 1)
+    # Codes below n are parts as they are, those from n on are parts behind a blank, those from 2n on are words.
+    codes = codes.astype(np.int64) + n
+    codes[offsets[:-1]] -= n
+    names: dict[str, int] = {}
+    if bad.any():
+        cut = {int(i): [names.setdefault(w, 2 * n + len(names)) for w in words(texts[int(i)].as_py())] for i in np.flatnonzero(bad)}
+        codes = np.concatenate([cut[i] if bad[i] else codes[offsets[i] : offsets[i + 1]] for i in range(len(sizes))]).astype(np.int64)
+        sizes = np.array([len(cut[i]) if bad[i] else sizes[i] for i in range(len(sizes))], np.int64)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+    used = np.flatnonzero(np.bincount(codes, minlength=2 * n + len(names)))
+    place = np.zeros(2 * n + len(names), np.int64)
+    place[used] = np.arange(len(used))
+    plain, behind = (parts.take(pa.array(u)).to_pylist() for u in (used[used < n], used[(used >= n) & (used < 2 * n)] - n))
+    return plain + [" " + p for p in behind] + [*names], place[codes], offsets
 
 
 class BatchBpe:

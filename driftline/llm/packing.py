@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .bpe import UnitEncoder
+from .bpe import UnitEncoder, split_at_blanks
 from .bpe_codec import vocabulary
 from .common import slices, staged, whole
 
@@ -60,9 +60,8 @@ class WordTokens:
             yield from (ids[a:b] for a, b in zip(ends[:-1], ends[1:]))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        offsets = parts.offsets.to_numpy().astype(np.int64)
-        return self.units.encode(parts.flatten(), offsets - offsets[0])
+        parts, codes, offsets = split_at_blanks(pc.replace_substring(texts, "\n", " "))
+        return self.units.encode(parts.to_pylist(), codes, offsets)
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, text_col: str = "text", ids: bool = False) -> DataFrame:
