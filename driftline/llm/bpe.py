@@ -29,7 +29,10 @@ def byte_letters() -> dict[int, str]:
 class Bpe:
     """A byte-level vocabulary with its merges, from the JSON text of a `tokenizers` file."""
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, most_merged: int = 150_000):
+        #: Words merged before; beyond the bound words are merged again, with the same result.
+        self.merged: dict[str, list[int]] = {}
+        self.most_merged = most_merged
         spec = json.loads(content)
         vocab, merges = spec["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         letters = byte_letters()
@@ -87,7 +90,15 @@ class Bpe:
         return [i for i in ids if i >= 0]
 
     def encode(self, text: str) -> list[int]:
-        return [i for word in self.words(text) for i in self.merge(word)]
+        out: list[int] = []
+        for word in self.words(text):
+            ids = self.merged.get(word)
+            if ids is None:
+                ids = self.merge(word)
+                if len(self.merged) < self.most_merged:
+                    self.merged[word] = ids
+            out += ids
+        return out
 
     def decode(self, ids) -> str:
         return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
