@@ -1,5 +1,7 @@
 """Prompts, model calls and the test run itself, with test doubles as models."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from driftline.operators.model_calls import (
@@ -12,7 +14,7 @@ from driftline.operators.prompts import fill, messages
 from driftline.functions.relations import says_true
 from driftline.operators.registry import VERIFIERS
 from driftline.plans import run as R
-from driftline.plans.catalog import NLI, QA, RE, SENTIMENT, TRANSFORM, Property, Test, load_tests, merged_catalog
+from driftline.plans.catalog import NLI, QA, RE, SENTIMENT, TRANSFORM, Property, RunOptions, Test, load_tests, merged_catalog
 from driftline.plans.templates import ALL_TEMPLATES, SYSTEM_LINE, template
 from driftline.session import work_folder
 from driftline.sources import tasks as T
@@ -693,6 +695,26 @@ def e10(spark, sf):
     return R.alignment_gaps(*ids)
 
 
+@query(
+    "p8_run_selected",
+    sentiment_sql(
+        [49, 102],
+        """SELECT llm, mr, row_id, verdict, '9999' AS unknown FROM judged, (VALUES ('double-a'), ('double-b')) m(llm)
+        WHERE row_id >= 100 AND row_id < 700""",
+    ),
+)
+def p8_run(spark, sf):
+    """Two models, a range of rows, named relations and one that doesn't exist, all through a run's options."""
+    base = work_folder(spark, "run")
+    options = RunOptions(
+        tasks={SENTIMENT: [49, 102, 9999]}, models=("double-a", "double-b"), start_row=100, end_row=700, chunks=2, base_folder=base
+    )
+    models = {"double-a": MODEL, "double-b": replace(MODEL, name="double-b")}
+    log, unknown = R.run_all(spark, options, {SENTIMENT: text_rows(spark, sf)}, models, resources(spark, sf), merged_catalog(spark))
+    rows = log.select("llm", "mr", "row_id", F.explode("relations").alias("verdict"))
+    return rows.withColumn("unknown", F.lit(",".join(str(mr) for _, mr in unknown)))
+
+
 @query("e11_cached_slice", f"SELECT doc_id AS row_id, {S.rate('text')} AS output FROM documents WHERE doc_id >= 100")
 def e11(spark, sf):
     """Outputs cached for all rows serve a part of them: rows meet by id, not by place."""

@@ -30,7 +30,20 @@ from ..operators.registry import (
 from ..operators.rewrites import Edit, with_shared_keywords
 from ..session import work_folder
 from ..sources.files import append_results, read_results
-from .catalog import ARITY, CHECK_FOLLOWUP, CHECK_INPUT, CHECK_OUTPUT, RELATION, SUT_TEMPLATE, TRANSFORM, Test
+from .catalog import (
+    ARITY,
+    CHECK_FOLLOWUP,
+    CHECK_INPUT,
+    CHECK_OUTPUT,
+    RELATION,
+    SUT_TEMPLATE,
+    TRANSFORM,
+    RunOptions,
+    Test,
+    load_tests,
+    select_tests,
+    test_pairs,
+)
 from .templates import template
 
 RECORD_KEYS = ["llm", "task", "mr", "row_id"]
@@ -344,11 +357,28 @@ def with_seed(res: Resources, seed: int) -> Resources:
     return replace(res, seed=seed)
 
 
-def run_all(spark: SparkSession, sources: dict[str, DataFrame], models: list[Model], tests: list[Test], res: Resources) -> DataFrame:
-    """Every requested test of every task with a source."""
-    parts = []
+def run_all(
+    spark: SparkSession, options: RunOptions, sources: dict[str, DataFrame], models: dict[str, Model], res: Resources,
+    catalog: DataFrame, run_id: str = "run",
+) -> tuple[DataFrame | None, list[tuple[str, int | None]]]:
+    """Run the requested tests of every task with a source for every model, as the options say, and resume what a log holds.
+
+    ``models`` gives a model for each name in the options. Gives the result log and the requests that match no test: these
+    are reported and left out. The log is None where nothing was run.
+    """
+    chosen, unknown = select_tests(test_pairs(catalog), options.requested(spark))
+    tests, path = load_tests(catalog, chosen), options.folder("results")
+    store = AnswerStore(spark, options.folder("answers"))
+    res = replace(res, helper=_with_retries(models[options.helper], options), store=store, seed=options.seed)
     for task, src in sources.items():
         mine = [t for t in tests if t.task == task]
-        if mine:
-            parts.append(run_task(src, models, task, mine, res))
-    return reduce(DataFrame.unionByName, parts)
+        for name in options.models if mine else ():
+            rows, model = row_range(src, options.start_row, options.end_row), _with_retries(models[name], options)
+            run_resumable(rows, model, task, mine, res, path, run_id, options.chunks)
+    return read_results(spark, path), [(r["task"], r["mr"]) for r in unknown.collect()]
+
+
+def _with_retries(model: Model, options: RunOptions) -> Model:
+    if isinstance(model, ColumnModel):
+        return model
+    return replace(model, max_retries=options.max_retries, wait_seconds=options.wait_seconds)
