@@ -16,6 +16,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a stage table to the cluster's shared folder and read it back: lineage ends here, on all executors."""
     folder = work_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(folder)
+    # What was shuffled for this table goes when the driver next collects its garbage, which may be long in coming.
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

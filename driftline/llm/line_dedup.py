@@ -111,6 +111,7 @@ def line_dedup(
 
     def later(pairs: DataFrame) -> DataFrame:
         """The later set of each pair (a, b) of sids whose similarity, verified on their sets, reaches the threshold."""
+        pairs = staged(pairs, "line-pairs")
         asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         places = sets.select(*SET, "at").join(asked, "sid").select("at.id", "at.k", F.struct("at.no", "at", *SET).alias("want"))
         wanted = places.groupBy("id", "k").agg(F.collect_list("want").alias("wants"))
@@ -137,7 +138,12 @@ def line_dedup(
 
     # The prefix join, for pairs with a set that is still open.
     marked = sets.join(closed.withColumn("closed", F.lit(True)), [*SET], "left").withColumn("open", F.col("closed").isNull())
-    prefix = marked.select("sid", "n", "bits", "open", F.posexplode("prefix").alias("place", "token")).repartition("token")
+    # A row has few and small fields, as these rows are most of what is shuffled: size, place and mark are one number.
+    packed = F.col("n").cast("long") * (1 << 25) + F.col("place") * 2 + F.col("open").cast("int")
+    rows = marked.select("sid", "n", "bits", "open", F.posexplode("prefix").alias("place", "token"))
+    rows = rows.select("token", "sid", "bits", packed.alias("packed")).repartition("token")
+    size, place = F.shiftright("packed", 25).alias("n"), F.shiftright(F.col("packed").bitwiseAND(F.lit((1 << 25) - 1)), 1).alias("place")
+    prefix = rows.select("token", "sid", "bits", size, place, (F.col("packed").bitwiseAND(F.lit(1)) == 1).alias("open"))
     left, right = prefix.alias("p"), prefix.alias("q")
     after = F.least(F.col("p.n") - F.col("p.place"), F.col("q.n") - F.col("q.place"))
     met = left.join(
@@ -145,7 +151,8 @@ def line_dedup(
         (F.col("p.token") == F.col("q.token")) & (F.col("p.sid") < F.col("q.sid")) & (F.col("p.open") | F.col("q.open"))
         & _may_match("p", "q", threshold) & (after >= _common_needed(F.col("p.n"), F.col("q.n"), threshold)),
     )
-    gone = closed.union(later(met.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")).distinct())).distinct()
+    more = staged(later(met.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")).distinct()), "more-sets")
+    gone = closed.union(more).distinct()
 
     # Lines that go: all but the first of a set, and the first too where the set has an earlier match.
     fate = sets.join(gone.withColumn("gone", F.lit(True)), [*SET], "left").filter("lines > 1 OR gone").select(*SET, F.col("at").alias("first"), "gone")
