@@ -620,9 +620,22 @@ def e6_asked(spark, sf):
     return res.store.read().groupBy("purpose").agg(F.count("*").alias("asked"))
 
 
+@query(
+    "e6_each_row_asked",
+    "SELECT p AS purpose, count(*) AS asked FROM documents, (VALUES ('source'), ('followup:49'), ('followup:102')) v(p) GROUP BY p",
+)
+def e6_each(spark, sf):
+    """Without dedup every row is asked for itself, and a second run still asks nothing again."""
+    res = R.Resources(HELPER, ENCODER, store=AnswerStore(spark), seed=SEED, dedup=False)
+    model = batch_model("rating", rate_chats)
+    for _ in range(2):
+        R.run_task(text_rows(spark, sf), [model], SENTIMENT, tests_of(spark, SENTIMENT, [49, 102]), res).write.format("noop").mode("overwrite").save()
+    return res.store.read().groupBy("purpose").agg(F.count("*").alias("asked"))
+
+
 @query("e6_hot_questions", f"SELECT doc_id AS row_id, 'n=' || length({filled(template('it_prompt:paraphrasing').prompt, 'lang')}) AS output FROM documents")
 def e6_hot(spark, sf):
-    """Four questions hold all rows: their answers are broadcast and their rows leave the hot partitions."""
+    """Four questions hold all rows: each answer is copied and every row meets one of the copies."""
     rows = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "lang"))
     helper = batch_model("length", length_of_question)
     return ask(rows, helper, template("it_prompt:paraphrasing"), [F.col("lang")], "output", hot_minimum=2).select("row_id", "output")

@@ -88,13 +88,14 @@ class AnswerStore:
         answers.write.mode("append").partitionBy("model", "purpose").parquet(self.path)
 
 
-def question_key(model: str, purpose: Column, template: Template, inputs: list[Column]) -> Column:
-    """One key per (model, purpose, prompt, inputs). The purpose keeps a repeated question a new call."""
+def question_key(model: str, purpose: Column, template: Template, inputs: list[Column], each: Column | None = None) -> Column:
+    """One key per (model, purpose, prompt, inputs). The purpose keeps a repeated question a new call; so does ``each``."""
     parts = F.struct(
         F.lit(model).alias("m"),
         purpose.alias("p"),
         F.lit(template.key).alias("t"),
         F.array(*[F.coalesce(i, F.lit("")) for i in inputs]).alias("i"),
+        *([] if each is None else [each.cast("string").alias("e")]),
     )
     return F.sha2(F.to_json(parts), 256)
 
@@ -180,11 +181,12 @@ def ask(
     store: AnswerStore | None = None,
     keep_status: bool = False,
     hot_minimum: int = HOT_MINIMUM,
+    each: Column | None = None,
 ) -> DataFrame:
     """Add the model's answer as column ``out``; rows where ``when`` is not true are not asked and get null.
 
     Nor is a row asked that lacks one of the inputs: it may come from a call that failed, and a question about an empty
-    text would get an answer that looks real.
+    text would get an answer that looks real. Equal questions are asked once; with ``each`` once for each of its values.
     """
     when = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
     for i in inputs:
@@ -196,7 +198,7 @@ def ask(
     spark = df.sparkSession
     store = store or AnswerStore(spark)
     purpose = F.lit(purpose) if isinstance(purpose, str) else purpose
-    keyed = df.withColumn("_key", F.when(when, question_key(model.name, purpose, template, inputs)))
+    keyed = df.withColumn("_key", F.when(when, question_key(model.name, purpose, template, inputs, each)))
 
     # One row per distinct question with its number of rows, written so that nothing below recomputes it.
     asked_path = work_folder(spark, "questions")

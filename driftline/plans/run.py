@@ -59,6 +59,8 @@ class Resources:
     sentences: Pool | None = None
     store: AnswerStore | None = None
     seed: int = 42
+    #: False: the model under test is asked for every row, even where another row has the same question.
+    dedup: bool = True
 
 
 def row_range(df: DataFrame, start: int | None, end: int | None) -> DataFrame:
@@ -74,7 +76,7 @@ def _inputs(task: str, column: str = "inputs") -> list[Column]:
 
 def source_outputs(src: DataFrame, model: Model, task: str, res: Resources) -> DataFrame:
     """One answer per source row; all relations of the task share it."""
-    return ask(src, model, template(SUT_TEMPLATE[task]), _inputs(task), "source_output", "source", store=res.store)
+    return ask(src, model, template(SUT_TEMPLATE[task]), _inputs(task), "source_output", "source", store=res.store, each=None if res.dedup else F.col("row_id"))
 
 
 def input_gate(test: Test) -> Column:
@@ -199,7 +201,8 @@ def followup_outputs(df: DataFrame, model: Model, task: str, res: Resources) ->
     purpose = F.concat(F.lit("followup:"), F.col("mr").cast("string"))
     when = F.col("failed").isNull() & F.col("followup_input").isNotNull()
     prompt = template(SUT_TEMPLATE[task])
-    return ask(df, model, prompt, _inputs(task, "followup_input"), "followup_output", purpose, when, res.store)
+    each = None if res.dedup else F.concat_ws(":", "row_id", "variant")
+    return ask(df, model, prompt, _inputs(task, "followup_input"), "followup_output", purpose, when, res.store, each=each)
 
 
 def verdicts(df: DataFrame, tests: list[Test], res: Resources) -> DataFrame:
