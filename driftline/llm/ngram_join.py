@@ -215,7 +215,7 @@ def ngram_join(
 
     # The members' n-gram sets, and the blocks in which they meet.
     sets = (
-        texts.join(sized, texts["id"].eqNullSafe(sized["rep"]))
+        texts.join(sized.hint("merge"), texts["id"].eqNullSafe(sized["rep"]))  # grows with the input: never broadcast
         .select("node", "candidate", "weight", "chunks", grams_of("text").alias("g"))
         .filter("g.node = node")  # rows that share an identifier may have other texts
         .select("node", "candidate", "weight", "chunks", "g.set", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int").alias("chunk"))
