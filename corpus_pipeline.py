@@ -51,7 +51,7 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
     named = keyed.select(F.struct("doc_id", "__row").alias("__id"), "text")
     kept = ngram_join.ngram_join(named, id_col="__id").filter("kept").select("__id.__row").distinct()
-    return keyed.join(kept, "__row").dropDuplicates(["__row"]).select(*docs.columns)
+    return keyed.join(kept.hint("merge"), "__row").dropDuplicates(["__row"]).select(*docs.columns)
 
 
 @stage

@@ -116,7 +116,7 @@ def line_dedup(
         places = sets.select(*SET, "at").join(asked, "sid").select("at.id", "at.k", F.struct("at.no", "at", *SET).alias("want"))
         wanted = places.groupBy("id", "k").agg(F.collect_list("want").alias("wants"))
         key = (F.col("t.id").eqNullSafe(F.col("w.id"))) & (F.col("t.k") == F.col("w.k"))
-        read = texts.alias("t").join(wanted.alias("w"), key).select(
+        read = texts.alias("t").join(wanted.alias("w").hint("merge"), key).select(
             F.explode(
                 let(F.split("t.text", "\n", -1), lambda ls: F.transform("wants", lambda w: F.struct(w["at"].alias("at"), w["sid"].alias("sid"), w["check"].alias("check"), token_keys(F.get(ls, w["no"]), table).alias("keys"))))
             ).alias("s")
@@ -159,7 +159,7 @@ def line_dedup(
     leaving = look_up(held.select("at", "run", *SET), fate, *SET).filter("first IS NOT NULL AND (gone OR at > first)")
     by_doc = leaving.groupBy(F.col("at.id").alias("__id"), F.col("at.k").alias("__k")).agg(F.collect_set("at.no").alias("__nos"))
     key = F.col("d.__id").eqNullSafe(F.col("r.__id")) & (F.col("d.__k") == F.col("r.__k"))
-    joined = own.alias("d").join(by_doc.alias("r"), key, "left")
+    joined = own.alias("d").join(by_doc.alias("r").hint("merge"), key, "left")
     left_over = let(F.col("r.__nos"), lambda nos: F.array_join(F.filter(F.split("d.__text", "\n", -1), lambda _, i: ~F.array_contains(nos, i)), "\n"))
     text = F.when(F.col("r.__nos").isNull(), F.col(f"d.{text_col}")).otherwise(left_over)
     kept = [F.col(f"d.`{c}`") for c in docs.columns if c not in (into, removed)]
