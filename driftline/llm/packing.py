@@ -224,7 +224,8 @@ def pack_documents(
     """
     spark = docs.sparkSession
     cut = pieces_of(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), path, capacity, end_id, "text", ids)
-    pieces = staged(cut.select("id", F.inline("pieces")), "pieces")
+    # An inner generator would have Catalyst filter on the array's size first, and so tokenise twice. No array is empty.
+    pieces = staged(cut.select("id", F.inline_outer("pieces")), "pieces")
     sizes = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in sizes.collect()}  # as many rows as there are lengths: the capacity at most
     slots = spark.sparkContext.broadcast(Slots.of(pack_plan(histogram, capacity)))
