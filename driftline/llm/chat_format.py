@@ -65,7 +65,7 @@ def chat_examples(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", r
         F.concat_ws("", F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE)))).alias("whole"),
         F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.get("parts", i)["target"] | (i == F.size("parts") - 1)).alias("stops"),
     )
-    one = talks.select("conv", "whole", "ends", "parts", F.posexplode("stops").alias("example", "i")).select(
+    one = talks.select("conv", "whole", "ends", "parts", F.posexplode_outer("stops").alias("example", "i")).select(
         "conv", "example", "whole", F.get("ends", "i").alias("end"), F.get("parts", "i").alias("part")
     )
     size = F.when(F.col("part.target"), F.length("part.body")).otherwise(0)

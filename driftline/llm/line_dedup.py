@@ -39,7 +39,7 @@ def _counter(token: Column) -> Column:
 
 def rarity_table(lines: DataFrame, line_col: str = "line") -> bytearray:
     """One byte for each counter: the logarithm of how many tokens it has counted, in half powers of two."""
-    counted = lines.select(F.explode(tokens_of(F.col(line_col))).alias("t")).groupBy(_counter(F.col("t")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    counted = lines.select(F.explode_outer(tokens_of(F.col(line_col))).alias("t")).filter("t IS NOT NULL").groupBy(_counter(F.col("t")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
     table = bytearray(COUNTERS)
     for row in counted.collect():  # COUNTERS rows at most
         table[row["c"]] = min(127, int(2 * math.log2(1 + row["n"])))
@@ -86,7 +86,7 @@ def line_dedup(
     """
     own = docs.withColumns({"__id": F.col(id_col), "__text": whole(text_col)}).withColumn("__k", F.xxhash64("__text"))
     split = F.split("__text", "\n", -1)
-    lines = own.select("__id", "__k", F.spark_partition_id().alias("run"), F.posexplode(split).alias("no", "line"))
+    lines = own.select("__id", "__k", F.spark_partition_id().alias("run"), F.posexplode_outer(split).alias("no", "line"))
     table = rarity_table(lines)
     plen = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
     low = lambda seed: F.array_min(F.transform("keys", lambda k: F.xxhash64(k.bitwiseAND(F.lit(LOW)), F.lit(seed))))
@@ -117,7 +117,7 @@ def line_dedup(
         wanted = places.groupBy("id", "k").agg(F.collect_list("want").alias("wants"))
         key = (F.col("t.id").eqNullSafe(F.col("w.id"))) & (F.col("t.k") == F.col("w.k"))
         read = texts.alias("t").join(wanted.alias("w").hint("merge"), key).select(
-            F.explode(
+            F.explode_outer(
                 let(F.split("t.text", "\n", -1), lambda ls: F.transform("wants", lambda w: F.struct(w["at"].alias("at"), w["sid"].alias("sid"), w["check"].alias("check"), token_keys(F.get(ls, w["no"]), table).alias("keys"))))
             ).alias("s")
         ).select("s.*")

@@ -195,6 +195,8 @@ def ngram_join(
         for texts in slices(batches, 2 << 20):
             yield gram_sets(texts, n)
 
+    # Deterministic ones would be computed a second time in the filter on their own result.
+    grams_of = grams_of.asNondeterministic()
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     signed = staged(texts.select("id", F.spark_partition_id().alias("run"), sign("text").alias("s")).select("id", "run", "s.*"), "signatures")
     nodes = staged(

@@ -130,9 +130,10 @@ def labelled_by_patterns(docs: DataFrame, text_col: str = "text", sample_docs: i
             F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " "), F.lit(IDENTIFIER), F.lit(0)
         ).alias("names"),
     )
-    return split.select(F.explode("secrets").alias("value"), F.lit(True).alias("is_random")).union(
-        split.select(F.explode("names").alias("value"), F.lit(False).alias("is_random"))
+    found = split.select(F.explode_outer("secrets").alias("value"), F.lit(True).alias("is_random")).union(
+        split.select(F.explode_outer("names").alias("value"), F.lit(False).alias("is_random"))
     )
+    return found.filter("value IS NOT NULL")
 
 
 def scan_secrets(docs: DataFrame, model: MarkovModel, text_col: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
