@@ -117,7 +117,7 @@ class UnitEncoder:
     `most_known` units seen first; others are encoded again in each batch they occur in, with the same result.
     """
 
-    def __init__(self, encode_units: Callable[[list[str]], Iterable[list[int]]], most_known: int = 300_000):
+    def __init__(self, encode_units: Callable[[list[str]], Iterable[list[int]]], most_known: int = 700_000):
         self.encode_units, self.most_known = encode_units, most_known
         #: unit -> its ids, packed as unsigned 32-bit integers
         self.known: dict[str, bytes] = {}
