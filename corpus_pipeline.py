@@ -40,8 +40,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @stage
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines that are like an earlier one. A document goes only if it had text and no line of it is left."""
-    cut = line_dedup.line_dedup(docs, removed="__removed").filter((F.col("__removed") == 0) | (F.trim(F.col("text")) != ""))
+    """Remove lines that are like an earlier one, however short they are. A document goes only if it had text and no line of it is left."""
+    cut = line_dedup.line_dedup(docs, least_tokens=1, removed="__removed").filter((F.col("__removed") == 0) | (F.trim(F.col("text")) != ""))
     return _with_length(cut, docs)
 
 

@@ -73,14 +73,14 @@ def _may_match(a: str, b: str, threshold: float) -> Column:
 
 def line_dedup(
     docs: DataFrame, threshold: float = 0.8, least_tokens: int = 5, id_col: str = "doc_id", text_col: str = "text",
-    into: str = "text", removed: str = "removed_lines",
+    into: str = "text", removed: str = "removed_lines", least_before: int = 1,
 ) -> DataFrame:
     """The input's rows and columns, with the text left of each document in `into` and the number of lines that went.
 
     Lines end at line feeds; tokens are what blanks, tabs and carriage returns separate. Lines are ordered by identifier,
     then by their place in the document. A line is removed if a line before it has a token set with a Jaccard similarity
-    of `threshold` or more, whether or not that one was removed too. Lines with fewer than `least_tokens` different tokens,
-    blank ones among them, always stay. A null text stays null, and an empty one empty. Null identifiers come first in
+    of `threshold` or more, whether or not that one was removed too. Lines with fewer than `least_tokens` different tokens
+    always stay, and so do blank ones; as lines before another, all count that have `least_before` tokens. A null text stays null, and an empty one empty. Null identifiers come first in
     order; rows with the same identifier and the same text are one document, treated alike. Columns of the input that have
     the names of new ones are replaced. An empty table gives an empty result.
     """
@@ -88,11 +88,12 @@ def line_dedup(
     split = F.split("__text", "\n", -1)
     lines = own.select("__id", "__k", F.spark_partition_id().alias("run"), F.posexplode_outer(split).alias("no", "line"))
     table = rarity_table(lines)
+    least = max(1, least_before, math.ceil(threshold * least_tokens - 1e-9))  # smaller sets are like none that may go
     plen = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
     low = lambda seed: F.array_min(F.transform("keys", lambda k: F.xxhash64(k.bitwiseAND(F.lit(LOW)), F.lit(seed))))
     keyed = lines.select("__id", "__k", "run", "no", token_keys(F.col("line"), table).alias("keys")).withColumn("n", F.size("keys"))
     held = staged(
-        keyed.filter(F.col("n") >= least_tokens).select(
+        keyed.filter(F.col("n") >= least).select(
             F.struct(F.col("__id").alias("id"), F.col("__k").alias("k"), "no").alias("at"), "run", "n", F.xxhash64("keys").alias("sid"),
             F.hash("keys").alias("check"), _bits(F.col("keys")).alias("bits"), F.array(low(1), low(2)).alias("lows"),
             F.transform(F.slice("keys", F.lit(1), plen), lambda k: F.hash(k)).alias("prefix"),
@@ -129,15 +130,18 @@ def line_dedup(
         ).filter(F.col("common") >= F.col("joined") * threshold - 1e-9)
         return alike.select("late.*").distinct()
 
+    # Sets that are so small that one more token makes another set are only like equal ones.
+    wide = F.col("n") >= (F.col("n") + 1) * threshold - 1e-9
+
     # Every set against the earliest one with the same min-hash.
-    lows = sets.select("sid", "check", "at", "n", "bits", F.posexplode("lows").alias("j", "low"))
+    lows = sets.filter(wide).select("sid", "check", "at", "n", "bits", F.posexplode("lows").alias("j", "low"))
     earliest = lows.groupBy("j", "low").agg(F.min(F.struct("at", "sid", "n", "bits")).alias("e"), F.count(F.lit(1)).alias("met")).filter("met > 1")
     near = lows.alias("s").join(earliest.select("j", "low", "e.sid", "e.n", "e.bits").alias("e"), ["j", "low"])
     near = near.filter((F.col("s.sid") != F.col("e.sid")) & _may_match("s", "e", threshold))
     closed = staged(later(near.select(F.col("s.sid").alias("a"), F.col("e.sid").alias("b")).distinct()), "closed-sets")
 
     # The prefix join, for pairs with a set that is still open.
-    marked = sets.join(closed.withColumn("closed", F.lit(True)), [*SET], "left").withColumn("open", F.col("closed").isNull())
+    marked = sets.filter(wide).join(closed.withColumn("closed", F.lit(True)), [*SET], "left").withColumn("open", F.col("closed").isNull())
     # A row has few and small fields, as these rows are most of what is shuffled: size, place and mark are one number.
     packed = F.col("n").cast("long") * (1 << 25) + F.col("place") * 2 + F.col("open").cast("int")
     rows = marked.select("sid", "n", "bits", "open", F.posexplode("prefix").alias("place", "token"))
@@ -155,7 +159,7 @@ def line_dedup(
     gone = closed.union(more).distinct()
 
     # Lines that go: all but the first of a set, and the first too where the set has an earlier match.
-    fate = sets.join(gone.withColumn("gone", F.lit(True)), [*SET], "left").filter("lines > 1 OR gone").select(*SET, F.col("at").alias("first"), "gone")
+    fate = sets.filter(F.col("n") >= least_tokens).join(gone.withColumn("gone", F.lit(True)), [*SET], "left").filter("lines > 1 OR gone").select(*SET, F.col("at").alias("first"), "gone")
     leaving = look_up(held.select("at", "run", *SET), fate, *SET).filter("first IS NOT NULL AND (gone OR at > first)")
     by_doc = leaving.groupBy(F.col("at.id").alias("__id"), F.col("at.k").alias("__k")).agg(F.collect_set("at.no").alias("__nos"))
     key = F.col("d.__id").eqNullSafe(F.col("r.__id")) & (F.col("d.__k") == F.col("r.__k"))

@@ -190,4 +190,5 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "removed_lines", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.line_dedup(docs, least_tokens=5, least_before=5).select("doc_id", "removed_lines", "text")

@@ -52,6 +52,15 @@ def test_other_thresholds(spark, threshold):
     assert found(spark, given, threshold=threshold, least_tokens=1) == brute(given, threshold, 1)
 
 
+def test_short_lines_before_longer_ones(spark):
+    """A line of five tokens is like an earlier one of four of them, which itself stays."""
+    given = [(1, "a b c d\na b c"), (2, "a b c d e\na b c d\na b c"), (3, "a b c d f\n \nx"), (4, "v w x y z"), (5, "v w x y\nx\n ")]
+    got = found(spark, given)
+    assert got == brute(given) and got[2, "a b c d\na b c", 1] == 1
+    assert found(spark, given, least_before=5) == Counter((*r, 0) for r in given)
+    assert found(spark, given, least_tokens=1) == brute(given, least=1)
+
+
 def test_one_line_that_all_documents_share(spark):
     given = [(i, prose(77, 9) + "\n" + prose(1000 + i, 9)) for i in range(80)]
     got = found(spark, given)
