@@ -152,6 +152,8 @@ def verify_block(block: pa.Table, threshold: float) -> pa.Table:
     weight, chunk = block["weight"].to_numpy(), block["chunk"].to_numpy()
     sets = [np.frombuffer(s, np.uint64) for s in block["set"].to_pylist()]
     out: dict[str, list] = {"node": [], "links": [], "tied": []}
+    at = block["block"][0].as_py()
+    across = at["c"] is not None and at["i"] != at["j"]
     order = sorted(range(len(node)), key=lambda i: (candidate[i], chunk[i], node[i]))
     i = 0
     while i < len(order):
@@ -162,8 +164,10 @@ def verify_block(block: pa.Table, threshold: float) -> pa.Table:
                 members.append(order[j])
             j += 1
         i = j
-        chunks = chunk[members]
-        links = linked([sets[m] for m in members], threshold, int((chunks == chunks[0]).sum()) if chunks[0] != chunks[-1] else 0)
+        split = int((chunk[members] == at["i"]).sum()) if across else 0
+        if across and split in (0, len(members)):  # the other chunk got no member; pairs within one count in its own block
+            continue
+        links = linked([sets[m] for m in members], threshold, split)
         for m, count, t in zip(members, links @ weight[members], smallest_tied(links)):
             if count:
                 out["node"].append(node[m])

@@ -56,6 +56,14 @@ def test_one_large_group_of_near_copies(spark, monkeypatch, members):
     assert found(documents(spark, given)) == brute(given)
 
 
+@pytest.mark.parametrize("n_grams", [10, 100])
+def test_more_chunks_than_members(spark, monkeypatch, n_grams):
+    """Long texts make many chunks, of which some get no member; no link counts once more for those."""
+    monkeypatch.setattr(J, "CHUNK_GRAMS", n_grams)
+    given = [(i, edited(prose(i % 5, 80), i)) for i in range(15)]
+    assert found(documents(spark, given)) == brute(given)
+
+
 def test_banding_reaches_the_recall():
     for threshold in (0.5, 0.8, 0.95):
         for recall in (0.9, 0.9995):
