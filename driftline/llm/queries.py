@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftline.session import ship_packages
 
-from . import bpe_codec, chat_format, embedding_dedup, exact_dedup, line_dedup, ngram_join, packing, quality, secret_scan, token_counts
+from . import bpe_codec, chat_format, embedding_dedup, exact_dedup, language_id, line_dedup, ngram_join, packing, prefix_trie, quality, secret_scan
+from . import token_alignment, token_counts
 from .common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +193,61 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.line_dedup(docs, least_tokens=5, least_before=5).select("doc_id", "removed_lines", "text")
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabularies = token_alignment.Vocabularies.read(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", token_alignment.align(spark, vocabularies).alias("a"))
+    aligned = staged(docs.select("doc_id", "a.*"), "aligned")
+    pairs = token_alignment.pair_counts(aligned, vocabularies)
+    links = aligned.withColumn("links", token_alignment.link_counts(spark, vocabularies, pairs))
+    return links.select("doc_id", "n_a", "n_b", "n_groups", "links.*", "groups_sha256")
+
+
+@query("op13_language_id")
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = language_id.train_languages(docs.filter(~language_id.held_out()))
+    said = docs.select("doc_id", language_id.held_out().alias("held_out"), language_id.language(spark, model).alias("p"))
+    return said.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
+
+
+@query(
+    "op12_prefix_trie",
+    r"""
+    WITH own AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                                  sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), codes AS (SELECT DISTINCT conv_id, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT) AS bytes FROM own),
+    sums AS (
+        SELECT conv_id, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda crc, b:
+               list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda c, z: xor(c >> 1, 3988292384::UBIGINT * (c & 1))))) AS crc
+        FROM codes
+    ), convs AS (SELECT conv_id, (crc % 6)::BIGINT AS h, conv_id - conv_id % 100 AS base FROM sums),
+    rebuilt AS (
+        SELECT c.conv_id, 0 AS side, o.pos, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.base AND o.pos < c.h
+        UNION ALL SELECT c.conv_id, 1, o.pos, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.pos >= c.h
+    ), lists AS (
+        SELECT conv_id, coalesce(list({'r': role, 't': text} ORDER BY side, pos) FILTER (role IS NOT NULL), []) AS turns
+        FROM convs LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id
+    ), members AS (SELECT conv_id, d, turns[1:d] AS p, len(turns) = d AS ends FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM lists)),
+    nodes AS (
+        SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(length(p[-1].t), 0) AS chars,
+               sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+        FROM members GROUP BY p, d
+    ), counted AS (
+        SELECT n.p, n.d, (SELECT count(*) FROM nodes c WHERE c.d = n.d + 1 AND c.p[1:n.d] = n.p) AS n_children, (n.n_convs - 1) * n.chars AS saved FROM nodes n
+    ), up AS (SELECT p[1:a] AS p, a AS d, (n_children = 0)::BIGINT AS leaf, saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM counted)),
+    subtrees AS (SELECT p, d, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY p, d)
+    SELECT n.conv_id, n.d::BIGINT AS depth, parent.conv_id AS parent_conv_id, n.n_convs, c.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+    FROM nodes n JOIN counted c ON c.p = n.p JOIN subtrees s ON s.p = n.p LEFT JOIN nodes parent ON parent.d = n.d - 1 AND parent.p = n.p[1:n.d - 1]
+    """,
+)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    rebuilt = staged(prefix_trie.with_shared_heads(turns), "rebuilt")
+    sizes = turns.select("conv_id").distinct().join(rebuilt.filter("pos = 0").select("conv_id", "n"), "conv_id", "left").fillna(0, ["n"])
+    return prefix_trie.prefix_trie(rebuilt, staged(sizes, "conversations")).drop("digest")
