@@ -1,8 +1,9 @@
 """Prompts, model calls and the test run itself, with test doubles as models."""
 
 from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from driftline.operators.model_calls import (
     FILTERED_TEXT,
@@ -15,10 +16,11 @@ from driftline.functions.relations import says_true
 from driftline.operators.registry import VERIFIERS
 from driftline.plans import run as R
 from driftline.plans.catalog import NLI, QA, RE, SENTIMENT, TRANSFORM, Property, RunOptions, Test, load_tests, merged_catalog
+from driftline.plans.stages import StageStore
 from driftline.plans.templates import ALL_TEMPLATES, SYSTEM_LINE, template
 from driftline.session import work_folder
 from driftline.sources import tasks as T
-from driftline.sources.files import append_results, read_results
+from driftline.sources.commits import append_results, read_results
 from driftline.streaming.arrivals import run_arrivals
 
 from . import q_rewrites  # noqa: F401  (its oracles are used below)
@@ -591,6 +593,60 @@ def e5(spark, sf):
     return R.followup_gates(df, [TWO_GATES]).select("row_id", "vfi")
 
 
+# Kept stage tables.
+
+
+@query("e1_stage_table", f"SELECT doc_id AS row_id, {S.rate('text')} AS output, 0::BIGINT AS asked_again FROM documents")
+def e1_stage(spark, sf):
+    """Source outputs from a table that another run has filled in two steps; the second run asks nothing."""
+    folder, rows = work_folder(spark, "stages"), text_rows(spark, sf)
+    model = batch_model("rating", rate_chats)
+    runs = [R.Resources(HELPER, ENCODER, store=AnswerStore(spark), stages=StageStore(spark, lambda s: f"{folder}/{s}")) for _ in range(2)]
+    R.source_outputs(labelled(spark, sf, rows), model, SENTIMENT, runs[0])
+    R.source_outputs(rows, model, SENTIMENT, runs[0])
+    again = R.source_outputs(rows, model, SENTIMENT, runs[1])
+    asked = runs[1].store.read()
+    return again.select("row_id", F.col("source_output").alias("output"), F.lit(0 if asked is None else asked.count()).alias("asked_again"))
+
+
+@query(
+    "e4_shared_by_models",
+    f"""SELECT llm, doc_id AS row_id, 'n=' || length({filled(template('it_prompt:paraphrasing').prompt, 'text')}) AS followup, u.n AS asked_first, 0::BIGINT AS asked_then
+    FROM documents, (VALUES ('double-a'), ('double-b')) m(llm), (SELECT count(DISTINCT text) AS n FROM documents) u""",
+)
+def e4_shared(spark, sf):
+    """Follow-ups that a helper makes: the first model's run asks it once per distinct text, the second model's not at all."""
+    folder, rows = work_folder(spark, "stages"), text_rows(spark, sf)
+    test = Test(SENTIMENT, 8, {"transform": Property("rewrite", {"template": "it_prompt:paraphrasing"}), "relation": Property("equivalent", {})})
+    helper, out, asked = batch_model("length", length_of_question), [], []
+    for model in (MODEL, replace(MODEL, name="double-b")):
+        res = R.Resources(helper, ENCODER, store=AnswerStore(spark), stages=StageStore(spark, lambda s: f"{folder}/{s}"), seed=SEED)
+        long = R.run_task(rows, [model], SENTIMENT, [test], res)
+        out.append(long.select("llm", "row_id", F.get("followup_input", F.lit(0)).alias("followup")))
+        helped = res.store.read()
+        asked.append(0 if helped is None else helped.where("purpose = 'helper'").count())
+    return out[0].union(out[1]).withColumns({"asked_first": F.lit(asked[0]), "asked_then": F.lit(asked[1])})
+
+
+@query(
+    "c7_stage_folders",
+    """SELECT stage, n FROM (SELECT count(*) FILTER (doc_id >= 100) AS few, count(*) AS everything FROM documents),
+    LATERAL (VALUES ('source_inputs', everything), ('source_outputs', 2 * few), ('followup_inputs', 2 * few), ('results', 4 * few)) v(stage, n)""",
+)
+def c7_folders(spark, sf):
+    """What a run of two models and two relations keeps in the folder of each stage: follow-ups once for both models."""
+    base = work_folder(spark, "run")
+    options = RunOptions(tasks={SENTIMENT: [49, 102]}, models=("double-a", "double-b"), start_row=100, end_row=10**9, base_folder=base)
+    models = {"double-a": MODEL, "double-b": replace(MODEL, name="double-b")}
+    log, _ = R.run_all(spark, options, {SENTIMENT: text_rows(spark, sf)}, models, resources(spark, sf), merged_catalog(spark))
+    stages = StageStore(spark, options.folder)
+    tables = {
+        "source_inputs": spark.read.parquet(f"{options.folder('source_inputs')}/{SENTIMENT}"), "source_outputs": stages.table("source_outputs").read(),
+        "followup_inputs": stages.table("followup_inputs").read(), "results": log,
+    }
+    return reduce(DataFrame.unionAll, [t.agg(F.lit(stage).alias("stage"), F.count(F.lit(1)).alias("n")) for stage, t in tables.items()])
+
+
 # Batch calls. Copies of a document are one question; MR 49 asks its own question again.
 
 

@@ -29,7 +29,8 @@ from ..operators.registry import (
 )
 from ..operators.rewrites import Edit, with_shared_keywords
 from ..session import work_folder
-from ..sources.files import append_results, read_results
+from ..sources.commits import Part, PartTable, append_results, read_results, result_log
+from ..sources.files import cached_inputs
 from .catalog import (
     ARITY,
     CHECK_FOLLOWUP,
@@ -44,6 +45,7 @@ from .catalog import (
     select_tests,
     test_pairs,
 )
+from .stages import StageStore, fingerprint, template_text, test_settings
 from .templates import template
 
 RECORD_KEYS = ["llm", "task", "mr", "row_id"]
@@ -58,6 +60,8 @@ class Resources:
     words: Pool | None = None
     sentences: Pool | None = None
     store: AnswerStore | None = None
+    #: Where source outputs and follow-up inputs are kept for other models and later runs; None keeps none.
+    stages: StageStore | None = None
     seed: int = 42
     #: False: the model under test is asked for every row, even where another row has the same question.
     dedup: bool = True
@@ -75,7 +79,10 @@ def _inputs(task: str, column: str = "inputs") -> list[Column]:
 
 
 def source_outputs(src: DataFrame, model: Model, task: str, res: Resources) -> DataFrame:
-    """One answer per source row; all relations of the task share it."""
+    """One answer per source row; all relations of the task share it. With a stage store, rows answered before are not asked."""
+    if res.stages is not None:
+        print_ = fingerprint(F.col("inputs"), model.name, template_text(template(SUT_TEMPLATE[task])), res.dedup)
+        return res.stages.source_outputs(src, model.name, task, print_, lambda rows: source_outputs(rows, model, task, replace(res, stages=None)))
     return ask(src, model, template(SUT_TEMPLATE[task]), _inputs(task), "source_output", "source", store=res.store, each=None if res.dedup else F.col("row_id"))
 
 
@@ -86,8 +93,18 @@ def input_gate(test: Test) -> Column:
 
 
 def followup_inputs(src: DataFrame, tests: list[Test], res: Resources) -> DataFrame:
-    """Rows (row_id, ..., mr, vsi, variants) for every source row and test; variants are null where vsi rejects."""
+    """Rows (row_id, ..., mr, vsi, variants) for every source row and test; variants are null where vsi rejects.
+
+    They depend on no model under test. With a stage store they are made once, for all models and runs.
+    """
     kept = src.columns
+    if res.stages is not None and tests:
+        others = [res.seed, res.helper.name, *(pool.fingerprint() if pool else None for pool in (res.words, res.sentences))]
+        made = res.stages.followup_inputs(
+            src.select("row_id", "inputs"), tests, lambda t: fingerprint(F.col("inputs"), test_settings(t), others),
+            lambda rows, some: followup_inputs(rows, some, replace(res, stages=None)),
+        )
+        return src.join(made, "row_id").select(*kept, "mr", "vsi", "variants")
     if isinstance(res.helper, ColumnModel):
         # Everything is an expression: one scan for all relations.
         uses = [(t.props[TRANSFORM].fn, sorted({i for s in t.props[TRANSFORM].indices for i in s})) for t in tests]
@@ -262,16 +279,19 @@ def judge(answered: DataFrame, model: Model, task: str, tests: list[Test], res:
 def run_task(src: DataFrame, models: list[Model], task: str, tests: list[Test], res: Resources) -> DataFrame:
     """All tests of one task for all models, in long form.
 
-    With one model everything flows through one plan. With several the follow-up inputs are written
+    With one model and no stage store everything flows through one plan. Otherwise the follow-up inputs are written
     once and joined to each model's source outputs by row: each row meets its own tests only.
     """
-    if len(models) == 1:
+    if len(models) == 1 and res.stages is None:
         answered = source_outputs(src, models[0], task, res)
         return judge(followup_inputs(answered, tests, res), models[0], task, tests, res)
     spark = src.sparkSession
-    path = work_folder(spark, "followup_inputs")
-    followup_inputs(src, tests, res).select("row_id", "mr", "vsi", "variants").write.parquet(path)
-    followups = spark.read.parquet(path)
+    if res.stages is None:
+        path = work_folder(spark, "followup_inputs")
+        followup_inputs(src, tests, res).select("row_id", "mr", "vsi", "variants").write.parquet(path)
+        followups = spark.read.parquet(path)
+    else:
+        followups = followup_inputs(src.select("row_id", "inputs"), tests, res).drop("inputs")
     results = [
         judge(source_outputs(src, m, task, res).join(followups, "row_id"), m, task, tests, res) for m in models
     ]
@@ -318,24 +338,51 @@ def finished_rows(done: DataFrame, model: str, task: str, tests: list[Test]) ->
 
 def run_resumable(
     src: DataFrame, model: Model, task: str, tests: list[Test], res: Resources, path: str, run_id: str, chunks: int = 1,
-    first_part: int = 0,
+    batch: int | None = None,
 ) -> DataFrame:
     """Run in separately committed parts of the rows and skip what the result log at ``path`` already holds.
 
-    A crash loses at most one part. A part that was committed by half is completed: records are left out
-    one by one, so none is written twice.
+    A crash loses at most one part, as a part shows up as a whole or not at all. The rows are dealt over the chunks once, by
+    a hash of their identifiers; a chunk then reads its own rows, and those parts of the log that may hold them. A ``batch``
+    that the run has committed before is left out without a look at its rows.
     """
-    spark = src.sparkSession
+    spark, log, mrs = src.sparkSession, result_log(src.sparkSession, path), sorted(t.mr for t in tests)
+    mine = {"llm": model.name, "task": task}
+    if batch is not None and any(p.labels == {**p.labels, **mine, "run_id": run_id, "batch": batch, "mrs": mrs} for p in log.parts()):
+        return log.read()
+    if chunks > 1:
+        dealt = work_folder(spark, "chunks")
+        src.withColumn("chunk", F.pmod(F.xxhash64("row_id"), F.lit(chunks)).cast("int")).write.partitionBy("chunk").parquet(dealt)
     for chunk in range(chunks):
-        part = src.where(F.pmod(F.xxhash64("row_id"), F.lit(chunks)) == chunk)
-        done = read_results(spark, path)
+        part = src if chunks == 1 else spark.read.schema(src.withColumn("chunk", F.lit(0)).schema).parquet(dealt).where(F.col("chunk") == chunk).drop("chunk")
+        done = records_of(log, part, mine, mrs, chunks, chunk)
         if done is not None:
             part = part.join(finished_rows(done, model.name, task, tests), "row_id", "left_anti")
         fresh = records(run_task(part, [model], task, tests, res))
         if done is not None:
             fresh = fresh.join(done.select(*RECORD_KEYS), RECORD_KEYS, "left_anti")
-        append_results(fresh, path, run_id, first_part + chunk)
-    return read_results(spark, path)
+        labels = {"chunks": chunks, "chunk": chunk, "mrs": mrs} | ({} if batch is None else {"batch": batch})
+        append_results(fresh, path, run_id, chunk if batch is None else batch, **mine, **labels)
+    return log.read()
+
+
+def records_of(log: PartTable, rows: DataFrame, mine: dict, mrs: list[int], chunks: int = 1, chunk: int = 0) -> DataFrame | None:
+    """The log's records of one model and task that may belong to the given rows, or None where no part can hold any.
+
+    Parts are chosen by their labels first. Only if some are left, the range of the rows' identifiers is found out and met
+    with the parts' ranges.
+    """
+    def fits(part: Part) -> bool:
+        known = part.labels
+        same = all(known.get(k, v) == v for k, v in mine.items()) and bool({*known.get("mrs", mrs)} & {*mrs})
+        return part.rows > 0 and same and part.shares_chunk(chunks, chunk)
+
+    if not (parts := [p for p in log.parts() if fits(p)]):
+        return None
+    least, most = rows.agg(F.min("row_id"), F.max("row_id")).first()
+    if not (parts := [p for p in parts if p.meets(least, most)]):
+        return None
+    return log.read(parts).where((F.col("llm") == mine["llm"]) & (F.col("task") == mine["task"]) & F.col("mr").isin(mrs))
 
 
 def latest_run(log: DataFrame) -> DataFrame:
@@ -368,15 +415,22 @@ def run_all(
 
     ``models`` gives a model for each name in the options. Gives the result log and the requests that match no test: these
     are reported and left out. The log is None where nothing was run.
+
+    Every stage has a table in its folder: the source inputs of each task, source outputs and follow-up inputs for all
+    models and later runs, answers, and results.
     """
     chosen, unknown = select_tests(test_pairs(catalog), options.requested(spark))
     tests, path = load_tests(catalog, chosen), options.folder("results")
     store = AnswerStore(spark, options.folder("answers"))
-    res = replace(res, helper=_with_retries(models[options.helper], options), store=store, seed=options.seed)
+    stages = StageStore(spark, options.folder)
+    res = replace(res, helper=_with_retries(models[options.helper], options), store=store, stages=stages, seed=options.seed)
     for task, src in sources.items():
         mine = [t for t in tests if t.task == task]
-        for name in options.models if mine else ():
-            rows, model = row_range(src, options.start_row, options.end_row), _with_retries(models[name], options)
+        if not mine:
+            continue
+        kept = cached_inputs(spark, f"{options.folder('source_inputs')}/{task}", lambda src=src: src)
+        for name in options.models:
+            rows, model = row_range(kept, options.start_row, options.end_row), _with_retries(models[name], options)
             run_resumable(rows, model, task, mine, res, path, run_id, options.chunks)
     return read_results(spark, path), [(r["task"], r["mr"]) for r in unknown.collect()]
 

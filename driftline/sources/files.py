@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -108,14 +106,3 @@ LOG_SCHEMA = (
     "followup_outputs array<string>, relations array<boolean>, verif_failure string, run_id string, part int, "
     "committed_at timestamp, llm string, task string, mr int"
 )
-
-
-def append_results(results: DataFrame, path: str, run_id: str, part: int = 0) -> None:
-    """The result log: one folder per (llm, task, mr); a run has numbered parts, each with the time it was written."""
-    now = F.lit(datetime.now(timezone.utc))
-    marked = results.withColumns({"run_id": F.lit(run_id), "part": F.lit(part), "committed_at": now})
-    marked.write.mode("append").partitionBy("llm", "task", "mr").parquet(path)
-
-
-def read_results(spark: SparkSession, path: str) -> DataFrame | None:
-    return read_if_exists(spark, path, LOG_SCHEMA)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.model_calls import Model
 from ..plans.catalog import Test
 from ..plans.run import Resources, run_resumable
-from ..sources.files import read_results
+from ..sources.commits import read_results
 
 SOURCE_SCHEMA = "row_id bigint, inputs array<string>"
 
@@ -18,15 +18,15 @@ def run_arrivals(
 ) -> DataFrame:
     """Process all files not seen before and stop (``availableNow``); call it again for later ones.
 
-    All steps are stateless, so no watermark or state store is needed. A micro-batch that is repeated after
-    a crash leaves out the records that its first try has already committed.
+    All steps are stateless, so no watermark or state store is needed. A micro-batch that is repeated after a crash is known
+    by its number if its first try was committed; otherwise it reads only parts of the log whose range of rows meets its own.
     """
     reader = spark.readStream.schema(SOURCE_SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        run_resumable(batch, model, task, tests, res, results_path, "arrivals", first_part=batch_id)
+        run_resumable(batch, model, task, tests, res, results_path, f"arrivals:{input_path}", batch=batch_id)
 
     query = (
         reader.parquet(input_path)
