@@ -38,7 +38,7 @@ def slices(batches: Iterable, most_bytes: int = 4 << 20) -> Iterator:
     for batch in batches:
         columns = batch if isinstance(batch, tuple) else (batch,)
         start, held = 0, 0
-        for i, n in enumerate(pc.binary_length(columns[0]).fill_null(0).to_pylist() + [most_bytes]):
+        for i, n in enumerate(pc.binary_length(columns[0]).fill_null(0).to_pylist() + [most_bytes + 1]):
             if i > start and held + n > most_bytes:
                 part = tuple(c.slice(start, i - start) for c in columns)
                 yield part if isinstance(batch, tuple) else part[0]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from driftline.llm import bpe_codec
+from driftline.llm.common import slices
 from driftline.llm.bpe import BatchBpe, UnitEncoder
 from driftline.llm.token_counts import RULES, count_batch, section_tokens
 
@@ -95,3 +96,10 @@ def test_fields(spark, library):
     assert section_tokens(df.limit(0), PATH).count() == 0
     with pytest.raises(ValueError):
         section_tokens(df, PATH, rule="half")
+
+
+@pytest.mark.parametrize("given", [[], [""], ["", None, ""], ["a", ""], ["", "ab", "c", ""]])
+def test_slices_hold_every_row(given):
+    batch = pa.array(given, pa.string())
+    assert [x for s in slices([batch], 2) for x in s.to_pylist()] == given
+    assert [x for s in slices([(batch, batch)], 2) for x in s[1].to_pylist()] == given

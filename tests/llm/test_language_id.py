@@ -77,7 +77,7 @@ def test_scores_like_brute_force(spark):
 
 def test_held_out_accuracy(spark, trained):
     docs, model = trained
-    found = docs.filter(L.held_out() & "lang IS NOT NULL AND text rlike '[a-zA-Z]'").select("lang", L.language(spark, model).alias("p")).collect()
+    found = docs.filter(L.held_out()).filter("lang IS NOT NULL AND text rlike '[a-zA-Z]'").select("lang", L.language(spark, model).alias("p")).collect()
     assert len(found) > 150 and np.mean([r["lang"] == r["p"]["lang"] for r in found]) > 0.97
 
 
