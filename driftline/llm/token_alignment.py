@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -21,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .bpe import byte_letters
+from .bpe import WORDS, byte_letters
 from .common import slices
 from .dense import blocks, count_parts, tree_sum
 from .perfect_hash import KeyTable
@@ -32,6 +31,7 @@ LINKS = "struct<n_links:bigint,n_best:bigint,count_sum:bigint>"
 BLOCK = 1 << 15
 #: Texts of more characters are encoded in parts, cut where neither vocabulary has a token across.
 PART = 1 << 18
+_ALIGNERS: dict[Vocabularies, Aligner] = {}
 
 
 @dataclass(frozen=True)
@@ -88,65 +88,89 @@ def _cuts(text: str) -> list[str]:
     return [*parts, text[start:]]
 
 
+@dataclass(frozen=True)
+class Tables:
+    """How many bytes the ids of A and of B have: all that is needed to align texts that are encoded."""
+
+    size_a: np.ndarray
+    size_b: np.ndarray
+
+    @classmethod
+    def of(cls, vocabularies: Vocabularies) -> "Tables":
+        return cls(*(np.array([len(t) for t in table], np.int64) for table in vocabularies.token_bytes()))
+
+    def cuts(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the tokens of A and of B that end at each cut. Texts lie behind each other in both.
+
+        No token is without bytes, so one token of each ends at a cut.
+        """
+        end_a, end_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        ends = np.zeros(1 + (end_b[-1] if len(end_b) else 0), bool)
+        ends[end_b] = True
+        at_a = np.flatnonzero(ends[end_a])
+        ends[:] = False
+        ends[end_a] = True
+        return at_a, np.flatnonzero(ends[end_b])
+
+    def link_codes(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both ids of every link as one number, and the place of its token of A."""
+        at_a, at_b = self.cuts(ids_a, ids_b)
+        return ids_a[at_a].astype(np.int64) * len(self.size_b) + ids_b[at_b], at_a
+
+
 class Aligner:
-    """Both encoders, and the tables that alignment needs; one for each worker."""
+    """Both encoders, and the tables that alignment needs."""
 
     def __init__(self, vocabularies: Vocabularies):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.bytes_a, self.bytes_b = vocabularies.token_bytes()
-        self.size_a, self.size_b = (np.array([len(t) for t in table], np.int64) for table in (self.bytes_a, self.bytes_b))
-        self.encoder_a = Tokenizer.from_str(vocabularies.a)
-        self.encoder_a.encode_special_tokens = True
-        self.encoder_a.no_padding()
-        self.encoder_a.no_truncation()
+        import tiktoken
+
+        bytes_a, self.bytes_b = vocabularies.token_bytes()
+        self.tables = Tables(*(np.array([len(t) for t in table], np.int64) for table in (bytes_a, self.bytes_b)))
+        # The merges of A are in the order of the ids they give, so its ids are ranks. Words are split as in its file, and no
+        # token is special: tests compare with the library that reads the file, which takes three times as long.
+        added = {t["id"] for t in json.loads(vocabularies.a)["added_tokens"]}
+        self.encoder_a = tiktoken.Encoding("a", pat_str=WORDS.pattern, mergeable_ranks={t: i for i, t in enumerate(bytes_a) if t and i not in added}, special_tokens={})
         self.encoder_b = sentencepiece.SentencePieceProcessor(model_proto=vocabularies.b)
         # A splits at such blanks before it merges; pieces of B with a blank behind something else would reach across them.
         self.may_cut = not any(b" " in t.lstrip(b" ") for t in self.bytes_b)
-        width = len(str(max(len(self.bytes_a), len(self.bytes_b)))) + 1
-        written = b"".join(str(i).rjust(width - 1, "\0").encode() + b"," for i in range(max(len(self.bytes_a), len(self.bytes_b))))
-        self.digits = np.frombuffer(written, np.uint8).reshape(-1, width)
+        most = max(len(bytes_a), len(self.bytes_b))
+        width = len(str(most)) + 1
+        self.digits = np.frombuffer(b"".join(str(i).rjust(width - 1, "\0").encode() + b"," for i in range(most)), np.uint8).reshape(-1, width)
         self.written = (self.digits != 0).sum(axis=1)
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    @classmethod
+    def shared(cls, content) -> "Aligner":
+        """One for each worker process and vocabulary, whatever the number of its tasks."""
+        if content.value not in _ALIGNERS:
+            _ALIGNERS.clear()
+            _ALIGNERS[content.value] = cls(content.value)
+        return _ALIGNERS[content.value]
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[list[int]]]:
         """Ids of A and of B of each text; none of either where a text is empty or a vocabulary doesn't give its bytes back."""
         parts = [_cuts(t) if self.may_cut and len(t) > PART else [t] for t in texts]
         flat = list(chain.from_iterable(parts))
-        found_a = [e.ids for e in self.encoder_a.encode_batch([" " + p for p in flat], add_special_tokens=False)]
+        found_a = [self.encoder_a.encode_to_numpy(" " + p) for p in flat]
         found_b = self.encoder_b.encode(flat, num_threads=1)
         ids_a, ids_b, at = [], [], 0
         for text, held in zip(texts, map(len, parts)):
-            a, b = (found[at] if held == 1 else list(chain.from_iterable(found[at : at + held])) for found in (found_a, found_b))
+            a = found_a[at] if held == 1 else np.concatenate(found_a[at : at + held])
+            b = found_b[at] if held == 1 else list(chain.from_iterable(found_b[at : at + held]))
             at += held
             want = b" " + text.encode()
-            same = text and b"".join([self.bytes_a[i] for i in a]) == want and b"".join([self.bytes_b[i] for i in b]) == want
-            ids_a.append(a if same else [])
+            # Words of A tile the text and tokens tile the words, so their bytes can only be missing, not others.
+            same = text and self.tables.size_a[a].sum() == len(want) and b"".join([self.bytes_b[i] for i in b]) == want
+            ids_a.append(a if same else a[:0])
             ids_b.append(b if same else [])
         return ids_a, ids_b
 
-    def cuts(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The places of the tokens of A and of B that end at each cut. Texts lie behind each other in both.
-
-        No token is without bytes, so one token of each ends at a cut.
-        """
-        end_a, end_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
-        at = np.searchsorted(end_b, end_a)
-        hit = np.flatnonzero(end_b[at] == end_a) if len(end_b) else np.zeros(0, np.int64)
-        return hit, at[hit]
-
-    def link_codes(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Both ids of every link as one number, and the place of its token of A."""
-        at_a, at_b = self.cuts(ids_a, ids_b)
-        return ids_a[at_a].astype(np.int64) * len(self.bytes_b) + ids_b[at_b], at_a
-
     def aligned(self, texts: list[str]) -> pa.Array:
         a, b = self.encode(texts)
         n_a, n_b = np.array([*map(len, a)], np.int64), np.array([*map(len, b)], np.int64)
-        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, n.sum()) for x, n in ((a, n_a), (b, n_b)))
+        ids_a, ids_b = np.concatenate([*a, np.zeros(0, np.int64)]).astype(np.int64), np.fromiter(chain.from_iterable(b), np.int64, n_b.sum())
         del a, b
-        at_a, at_b = self.cuts(ids_a, ids_b)
+        at_a, at_b = self.tables.cuts(ids_a, ids_b)
         ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
         groups_at = np.searchsorted(at_a, np.concatenate([[0], ends_a]))
         # Groups in order, the tokens of A before those of B: a token moves up by the other list's tokens before it.
@@ -161,7 +185,7 @@ class Aligner:
         text = rows[rows != 0]
         ends = np.concatenate([[0], np.cumsum(self.written[ids])])[np.concatenate([[0], ends_a + ends_b])]
         shas = [hashlib.sha256(text[s : e - 1]).hexdigest() if e > s else "" for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
-        packed = (_packed(ids_a, n_a, len(self.bytes_a)), _packed(ids_b, n_b, len(self.bytes_b)))
+        packed = (_packed(ids_a, n_a, len(self.tables.size_a)), _packed(ids_b, n_b, len(self.tables.size_b)))
         columns = [*packed, pa.array(n_a), pa.array(n_b), pa.array(np.diff(groups_at)), pa.array(shas, pa.string())]
         return pa.StructArray.from_arrays(columns, ["ids_a", "ids_b", "n_a", "n_b", "n_groups", "groups_sha256"])
 
@@ -195,17 +219,16 @@ def align(spark: SparkSession, vocabularies: Vocabularies, text: str | Column =
 
     @F.arrow_udf(ALIGNED)
     def aligned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        aligner = Aligner(content.value)
+        aligner = Aligner.shared(content)
         for texts in slices(batches, 1 << 20):
             yield aligner.aligned(texts.to_pylist())
 
     return aligned(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
-def _codes_of(content, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    aligner = Aligner(content.value)
+def _codes_of(tables: Tables, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for a, b in slices((batch.column(0), batch.column(1)) for batch in batches):
-        yield aligner.link_codes(_unpacked(a, len(aligner.bytes_a))[0], _unpacked(b, len(aligner.bytes_b))[0])[0]
+        yield tables.link_codes(_unpacked(a, len(tables.size_a))[0], _unpacked(b, len(tables.size_b))[0])[0]
 
 
 @dataclass(frozen=True)
@@ -223,11 +246,11 @@ def pair_counts(aligned: DataFrame, vocabularies: Vocabularies) -> PairCounts:
     What comes to the driver is one number for each different pair; the vocabularies bound how many there can be.
     """
     spark, ids = aligned.sparkSession, aligned.select("ids_a", "ids_b")
-    content = spark.sparkContext.broadcast(vocabularies)
+    sizes = spark.sparkContext.broadcast(Tables.of(vocabularies))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros(0, np.int64)
-        for codes in _codes_of(content, batches):
+        for codes in _codes_of(sizes.value, batches):
             known = np.union1d(known, codes)
         yield pa.RecordBatch.from_arrays([pa.array(known)], ["code"])
 
@@ -240,7 +263,7 @@ def pair_counts(aligned: DataFrame, vocabularies: Vocabularies) -> PairCounts:
 
     def count(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
         counts = np.zeros(len(shared.value), np.int64)
-        for codes in _codes_of(content, batches):
+        for codes in _codes_of(sizes.value, batches):
             slots = shared.value.slots(codes)
             if (slots < 0).any():
                 raise ValueError("a pair that wasn't there before: the table has changed meanwhile")
@@ -251,7 +274,7 @@ def pair_counts(aligned: DataFrame, vocabularies: Vocabularies) -> PairCounts:
     for row in tree_sum(count_parts(ids, count), ids.rdd.getNumPartitions()).collect():  # 8 bytes for each pair
         at = int(row["key"]) * BLOCK
         counts[at : at + BLOCK] = np.frombuffer(row["counts"], "<i8")
-    b = (table.keys[:, 0] % np.uint64(len(vocabularies.token_bytes()[1]))).astype(np.int64) if len(table) else np.zeros(0, np.int64)
+    b = (table.keys[:, 0] % np.uint64(len(sizes.value.size_b))).astype(np.int64) if len(table) else np.zeros(0, np.int64)
     most_of = np.zeros(1 + b.max(initial=0), np.int64)
     np.maximum.at(most_of, b, counts)
     return PairCounts(table, counts, counts == most_of[b])
@@ -262,14 +285,14 @@ def link_counts(spark: SparkSession, vocabularies: Vocabularies, pairs: PairCoun
 
     All pairs must have been counted; a text without tokens has no links.
     """
-    content, known = spark.sparkContext.broadcast(vocabularies), spark.sparkContext.broadcast(pairs)
+    sizes, known = spark.sparkContext.broadcast(Tables.of(vocabularies)), spark.sparkContext.broadcast(pairs)
 
     @F.arrow_udf(LINKS)
     def look_up(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        aligner, counted = Aligner(content.value), known.value
+        tables, counted = sizes.value, known.value
         for part_a, part_b in slices(batches):
-            (a, n_a), (b, _) = _unpacked(part_a, len(aligner.bytes_a)), _unpacked(part_b, len(aligner.bytes_b))
-            codes, at = aligner.link_codes(a, b)
+            (a, n_a), (b, _) = _unpacked(part_a, len(tables.size_a)), _unpacked(part_b, len(tables.size_b))
+            codes, at = tables.link_codes(a, b)
             slots = counted.table.slots(codes)
             if (slots < 0).any():
                 raise ValueError("a pair that was not counted")
