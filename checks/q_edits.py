@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from driftline.functions.draws import KEY_SHIFT, seed_for
 from driftline.functions.text import rows_of
 from driftline.operators.local_edits import KEYBOARD, OCR
+from driftline.operators.phrases import remove_phrases, replace_phrases
 from driftline.operators.registry import TRANSFORMS
 from driftline.operators.rewrites import Edit
+from driftline.operators.spelling import spelling_index
 
 from . import sqltext as S
 from .registry import query
@@ -15,6 +17,7 @@ from .views import (
     inference_rows,
     relation_rows,
     sentence_pool,
+    table,
     text_rows,
     word_pool,
     word_values,
@@ -400,6 +403,61 @@ def i23c(spark, sf):
 RULES = S.with_keywords("SELECT doc_id AS row_id, text FROM documents", "text", "f")
 
 
+@query(
+    "i23_spelling_index",
+    r"""
+    WITH words AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents),
+    counts AS (SELECT w, count(*) AS n FROM words WHERE length(w) BETWEEN 4 AND 40 GROUP BY w),
+    near AS (SELECT a.w AS word, b.w AS misspelling, a.n AS n_word, b.n AS n_misspelling FROM counts a JOIN counts b
+             ON a.n >= 50 AND b.n <= 2 AND abs(length(a.w) - length(b.w)) <= 1 AND CASE length(a.w) - length(b.w)
+             WHEN 0 THEN len(list_filter(range(1, length(a.w) + 1), lambda i: substr(a.w, i, 1) <> substr(b.w, i, 1))) = 1
+             WHEN 1 THEN list_contains(list_transform(range(1, length(a.w) + 1), lambda i: substr(a.w, 1, i - 1) || substr(a.w, i + 1)), b.w)
+             ELSE list_contains(list_transform(range(1, length(b.w) + 1), lambda i: substr(b.w, 1, i - 1) || substr(b.w, i + 1)), a.w) END)
+    SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY n_misspelling DESC, misspelling) = 1
+    """,
+)
+def i23_index(spark, sf):
+    return spelling_index(table(spark, sf, "documents"))
+
+
+def _first_words(joined: str) -> str:
+    """Three overlapping phrases of a text's own first words, the longest first, as one pattern."""
+    take = lambda *places: f"array_to_string([w[i] FOR i IN [{', '.join(map(str, places))}]], '{joined}')"
+    return f"{take(2, 3, 4)} || '|' || {take(1, 2)} || '|' || {take(1)}"
+
+
+def _phrase_sql(replacement: str) -> str:
+    return f"""
+    WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
+    told AS (SELECT doc_id, '  ' || array_to_string(w, '  ') || '  ' AS text, {_first_words('  ')} AS pattern FROM t WHERE len(w) >= 4)
+    SELECT doc_id AS row_id, trim(regexp_replace(regexp_replace(text, ' (' || pattern || ') ', '{replacement}', 'g'), ' +', ' ', 'g')) AS text FROM told
+    """
+
+
+def _phrase_rows(spark, sf):
+    w = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), w.alias("w")).where("size(w) >= 4")
+    part = lambda *places: F.array_join(F.array(*[F.get("w", F.lit(i)) for i in places]), " ")
+    return rows.select("row_id", F.array_join("w", " ").alias("text"), F.array(part(0), part(0, 1), part(1, 2, 3)).alias("phrases"))
+
+
+def _single_spaced(text):
+    return F.trim(F.regexp_replace(text, " +", " ")).alias("text")
+
+
+@query("i31_replace_phrases", _phrase_sql(r" [\1] "))
+def i31_phrases(spark, sf):
+    """Each text by rules of its own, which overlap: phrases of one, two and three of its first words."""
+    rows = _phrase_rows(spark, sf)
+    marked = F.transform("phrases", lambda p: F.concat(F.lit("["), p, F.lit("]")))
+    return rows.select("row_id", _single_spaced(replace_phrases(F.col("text"), F.col("phrases"), marked)))
+
+
+@query("i44_remove_phrases", _phrase_sql(" "))
+def i44_phrases(spark, sf):
+    return _phrase_rows(spark, sf).select("row_id", _single_spaced(remove_phrases(F.col("text"), F.col("phrases"))))
+
+
 @query(
     "i31_replace_words",
     f"""WITH d AS ({RULES})

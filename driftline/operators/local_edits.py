@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.draws import MODULUS, draw, edit_chosen, let, shuffle
@@ -16,8 +18,13 @@ from ..functions.text import (
 )
 from .pools import Pool
 
+#: Text -> its sentences; the rule or a trained model.
+Splitter = Callable[[Column], Column]
+
 MUTATED_SHARE = 0.1
 SHUFFLE_TRIES = 10
+#: Portions in which a frequent word asks a table for its entry.
+SPLITS = 128
 
 # Neighbours on a QWERTY keyboard.
 KEYBOARD = {
@@ -64,8 +71,8 @@ def permute(inputs: Column, permute_to: list[int]) -> Column:
 # Order of sentences and words
 
 
-def shuffle_sentences(text: Column, row: Column, seed: int) -> Column:
-    return F.array_join(shuffle(sentences(text), row, seed), " ")
+def shuffle_sentences(text: Column, row: Column, seed: int, split: Splitter = sentences) -> Column:
+    return F.array_join(shuffle(split(text), row, seed), " ")
 
 
 def _shuffle_words_only(tokens: Column, row: Column, seed: int) -> Column:
@@ -95,14 +102,14 @@ def shuffle_words(text: Column, row: Column, seed: int) -> Column:
     return join_words(_shuffle_words_only(words(text), row, seed))
 
 
-def shuffle_words_in_sentences(text: Column, row: Column, seed: int) -> Column:
+def shuffle_words_in_sentences(text: Column, row: Column, seed: int, split: Splitter = sentences) -> Column:
     """As ``shuffle_words`` but a word stays in its sentence: words are ordered by (sentence, draw)."""
 
     def one(sentence: Column, i: Column) -> Column:
         # The sentence number takes the place of a second seed.
         return join_words(_shuffle_words_only(words(sentence), F.pmod(row.cast("bigint"), F.lit(MODULUS).cast("bigint")) * F.lit(1009) + i, seed))
 
-    return F.array_join(F.transform(sentences(text), one), " ")
+    return F.array_join(F.transform(split(text), one), " ")
 
 
 # Chosen words and sentences
@@ -174,17 +181,18 @@ def insert_random_words(
     return df.withColumn(out, joined).drop("_marked", "_new")
 
 
-def delete_sentences(text: Column, row: Column, seed: int, share: float = MUTATED_SHARE) -> Column:
-    left = edit_chosen(sentences(text), row, seed, one_less_share(share), lambda s, k: F.lit(None).cast("string"))
+def delete_sentences(text: Column, row: Column, seed: int, share: float = MUTATED_SHARE, split: Splitter = sentences) -> Column:
+    left = edit_chosen(split(text), row, seed, one_less_share(share), lambda s, k: F.lit(None).cast("string"))
     return F.array_join(F.filter(left, lambda s: s.isNotNull()), " ")
 
 
 def replace_sentences(
-    df: DataFrame, text: Column, row: Column, seed: int, draw_seed: int, pool: Pool, out: str, share: float = MUTATED_SHARE
-) -> DataFrame:
+    df: DataFrame, text: Column, row: Column, seed: int, draw_seed: int, pool: Pool, out: str, share: float = MUTATED_SHARE,
+    split: Splitter = sentences,
+) -> DataFrame:
     """Chosen sentences all become the same random sentence."""
     df = pool.pick(df, draw(row, F.lit(1), draw_seed) % pool.size, "_sentence")
-    changed = edit_chosen(sentences(text), row, seed, one_less_share(share), lambda s, k: F.col("_sentence"))
+    changed = edit_chosen(split(text), row, seed, one_less_share(share), lambda s, k: F.col("_sentence"))
     return df.withColumn(out, F.array_join(changed, " ")).drop("_sentence")
 
 
@@ -217,10 +225,11 @@ def typos(text: Column, row: Column, kind: str, seed: int, draw_seed: int, share
 
 def misspell(
     df: DataFrame, text: Column, row: Column, seed: int, dictionary: DataFrame, out: str, key: str, share: float = MUTATED_SHARE
-) -> DataFrame:
+) -> DataFrame:
     """A share of the words, each looked up in a table (word, misspelling) with one entry per word.
 
-    The pieces of a text go through an equi-join with the table and are put together again by row.
+    Only chosen words leave their row. A word that a third of them are is asked for in SPLITS portions, each of which asks
+    the table once, so neither the table nor the rows of one word come to one task.
     """
     flagged = edit_chosen(
         F.transform(pieces(text), lambda p: F.struct(p.alias("piece"), F.lit(None).cast("string").alias("word"))),
@@ -230,14 +239,19 @@ def misspell(
         lambda s, k: F.struct(s["piece"].alias("piece"), F.lower(s["piece"]).alias("word")),
         eligible=lambda s: is_word(s["piece"]),
     )
-    exploded = df.select(key, rows_of(flagged).alias("pos", "s")).where("pos IS NOT NULL").select(key, "pos", "s.piece", "s.word")
-    looked_up = exploded.join(dictionary, "word", "left")
-    rebuilt = (
-        looked_up.groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("misspelling", "piece").alias("piece")))).alias("p"))
-        .select(key, F.array_join(F.transform("p", lambda s: s["piece"]), "").alias(out))
+    df = df.withColumn("_pieces", F.transform(flagged, lambda s, i: F.struct(i.alias("pos"), s["piece"].alias("piece"), s["word"].alias("word"))))
+    chosen = df.select(key, F.explode_outer(F.filter("_pieces", lambda s: s["word"].isNotNull())).alias("s")).select(key, "s.*").where("word IS NOT NULL")
+    chosen = chosen.withColumn("portion", F.pmod(F.xxhash64(key, "pos"), F.lit(SPLITS)))
+    asked = chosen.select("word", "portion").distinct().join(dictionary, "word")
+    changed = (
+        chosen.join(asked, ["word", "portion"], "left")
+        .groupBy(key)
+        .agg(F.collect_list(F.struct("pos", F.coalesce("misspelling", "piece").alias("piece"))).alias("_changed"))
     )
-    return df.join(rebuilt, key, "left").withColumn(out, F.coalesce(F.col(out), text))
+    others = F.transform(F.filter("_pieces", lambda s: s["word"].isNull()), lambda s: F.struct(s["pos"].alias("pos"), s["piece"].alias("piece")))
+    rebuilt = F.array_join(F.transform(F.sort_array(F.concat(others, "_changed")), lambda s: s["piece"]), "")
+    joined = df.join(changed, key, "left")
+    return joined.withColumn(out, F.when(F.col("_changed").isNull(), text).otherwise(rebuilt)).drop("_pieces", "_changed")
 
 
 # Whole-word replacement and removal by rule

@@ -76,10 +76,10 @@ TRANSFORMS.update(
         "append_random_sentence": _per_text_joined(
             lambda df, t, e, i, out: L.append_random_sentence(df, t, F.col(ROW), e.seed_at(i), e.sentences, out)
         ),
-        "shuffle_sentences": _per_text(lambda t, e, i, p: L.shuffle_sentences(t, F.col(ROW), e.seed_at(i))),
+        "shuffle_sentences": _per_text(lambda t, e, i, p: L.shuffle_sentences(t, F.col(ROW), e.seed_at(i), e.split)),
         "shuffle_words": _per_text(lambda t, e, i, p: L.shuffle_words(t, F.col(ROW), e.seed_at(i))),
         "shuffle_words_in_sentences": _per_text(
-            lambda t, e, i, p: L.shuffle_words_in_sentences(t, F.col(ROW), e.seed_at(i))
+            lambda t, e, i, p: L.shuffle_words_in_sentences(t, F.col(ROW), e.seed_at(i), e.split)
         ),
         "replace_characters": _characters("replace"),
         "delete_characters": _characters("delete"),
@@ -96,9 +96,9 @@ TRANSFORMS.update(
                 df, t, F.col(ROW), e.seed_at(i), e.seed_at(i, 1), e.words, out, ROW
             )
         ),
-        "delete_sentences": _per_text(lambda t, e, i, p: L.delete_sentences(t, F.col(ROW), e.seed_at(i))),
+        "delete_sentences": _per_text(lambda t, e, i, p: L.delete_sentences(t, F.col(ROW), e.seed_at(i), split=e.split)),
         "replace_sentences": _per_text_joined(
-            lambda df, t, e, i, out: L.replace_sentences(df, t, F.col(ROW), e.seed_at(i), e.seed_at(i, 1), e.sentences, out)
+            lambda df, t, e, i, out: L.replace_sentences(df, t, F.col(ROW), e.seed_at(i), e.seed_at(i, 1), e.sentences, out, split=e.split)
         ),
         "typos": _per_text(lambda t, e, i, p: L.typos(t, F.col(ROW), p["kind"], e.seed_at(i), e.seed_at(i, 1))),
         "misspell": _per_text_joined(

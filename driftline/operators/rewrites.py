@@ -7,13 +7,15 @@ expressions, with a ``BatchModel`` they are distributed calls.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.draws import draw, let, seed_for
-from ..functions.text import clean_text, join_inputs, parse_keywords, rows_of, sentences, strip
+from ..functions.text import clean_text, join_inputs, parse_keywords, rows_of, strip
+from ..functions.text import sentences as by_rule
 from ..plans.templates import Template, template
 from .model_calls import AnswerStore, ColumnModel, Model, ask
 from .pools import Pool, next_prime
@@ -32,6 +34,8 @@ class Edit:
     indices: tuple[tuple[int, ...], ...] = ((0,),)
     arity: int = 1
     out: str = "variants"
+    #: How texts are cut into sentences: by rule, or by a trained model's ``sentences``.
+    split: Callable[[Column], Column] = by_rule
     extra: dict = field(default_factory=dict)
 
     def seed_at(self, index: int, salt: int = 0) -> int:
@@ -98,7 +102,7 @@ def _per_sentence(df: DataFrame, edit: Edit, key: str, text: Column, more: list[
     back in order; a row's group is its own sentences only.
     """
     if isinstance(edit.helper, ColumnModel):
-        bound = F.struct(sentences(text).alias("s"), *[m.alias(f"m{i}") for i, m in enumerate(more)])
+        bound = F.struct(edit.split(text).alias("s"), *[m.alias(f"m{i}") for i, m in enumerate(more)])
         answers = let(
             bound,
             lambda b: F.transform(
@@ -107,7 +111,7 @@ def _per_sentence(df: DataFrame, edit: Edit, key: str, text: Column, more: list[
         )
         return df.withColumn(out, join_whole(answers, " "))
     df = df.withColumn("_more", F.array(*more).cast("array<string>"))
-    rows = df.select(ROW, "_more", rows_of(sentences(text)).alias("_pos", "_sentence")).where("_pos IS NOT NULL")
+    rows = df.select(ROW, "_more", rows_of(edit.split(text)).alias("_pos", "_sentence")).where("_pos IS NOT NULL")
     question = [F.col("_sentence"), *[F.get("_more", F.lit(i)) for i in range(len(more))]]
     answered = _ask(rows, edit, key, question, "_answer")
     joined = (

@@ -7,11 +7,13 @@ model is called. Stage functions are public, so a run can stop after any of them
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.text import sentences as by_rule
 from ..operators.answer_checks import known_or_unknown
 from ..operators.encoders import Encoder
 from ..operators.model_calls import AnswerStore, ColumnModel, Model, ask
@@ -63,6 +65,8 @@ class Resources:
     #: Where source outputs and follow-up inputs are kept for other models and later runs; None keeps none.
     stages: StageStore | None = None
     seed: int = 42
+    #: How transformations cut texts into sentences: by rule, or by a trained model's ``sentences``.
+    split: Callable[[Column], Column] = by_rule
     #: False: the model under test is asked for every row, even where another row has the same question.
     dedup: bool = True
 
@@ -78,6 +82,12 @@ def _inputs(task: str, column: str = "inputs") -> list[Column]:
     return [F.get(F.col(column), F.lit(i)) for i in range(ARITY[task])]
 
 
+def splitter_name(split: Callable[[Column], Column]) -> str:
+    """Tells the rule and models with different words apart."""
+    model = getattr(split, "__self__", None)
+    return split.__name__ if model is None else model.fingerprint()
+
+
 def source_outputs(src: DataFrame, model: Model, task: str, res: Resources) -> DataFrame:
     """One answer per source row; all relations of the task share it. With a stage store, rows answered before are not asked."""
     if res.stages is not None:
@@ -99,7 +109,7 @@ def followup_inputs(src: DataFrame, tests: list[Test], res: Resources) -> DataFr
     """
     kept = src.columns
     if res.stages is not None and tests:
-        others = [res.seed, res.helper.name, *(pool.fingerprint() if pool else None for pool in (res.words, res.sentences))]
+        others = [res.seed, res.helper.name, splitter_name(res.split), *(pool.fingerprint() if pool else None for pool in (res.words, res.sentences))]
         made = res.stages.followup_inputs(
             src.select("row_id", "inputs"), tests, lambda t: fingerprint(F.col("inputs"), test_settings(t), others),
             lambda rows, some: followup_inputs(rows, some, replace(res, stages=None)),
@@ -140,7 +150,7 @@ def transform_rows(df: DataFrame, test: Test, res: Resources, out: str) -> DataF
     prop = test.props[TRANSFORM]
     edit = Edit(
         helper=res.helper, words=res.words, sentences=res.sentences, store=res.store, relation=test.mr,
-        seed=res.seed, indices=prop.indices, arity=ARITY[test.task], out=out,
+        seed=res.seed, indices=prop.indices, arity=ARITY[test.task], out=out, split=res.split,
     )
     return TRANSFORMS[prop.fn](df, edit, prop.params)
 
