@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from driftline.session import work_folder
 
 
+_DATABASES: dict[str, str] = {}
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a stage table to the cluster's shared folder and read it back: lineage ends here, on all executors."""
     folder = work_folder(df.sparkSession, name)
@@ -21,6 +25,38 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def _stage_database(spark: SparkSession) -> str:
+    """A database of this application whose tables lie in the cluster's shared folder, so that dropping one deletes its files."""
+    app = spark.sparkContext.applicationId
+    if app not in _DATABASES:
+        name = f"driftline_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE DATABASE {name} LOCATION '{work_folder(spark, 'tables')}'")
+        _DATABASES[app] = name
+    return _DATABASES[app]
+
+
+class StageTable:
+    """A stage table that is dropped, with its files, when it has done its service.
+
+    With a `key` it is dealt by the hash of that column and joins on it without being moved again.
+    """
+
+    def __init__(self, df: DataFrame, name: str, key: str | None = None):
+        self.spark = df.sparkSession
+        self.name = f"{_stage_database(self.spark)}.{name}_{uuid.uuid4().hex}"
+        if key is None:
+            writer = df.write
+        else:
+            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            writer = df.repartition(buckets, key).write.bucketBy(buckets, key)
+        writer.format("parquet").option("compression", "zstd").saveAsTable(self.name)
+        self.spark.sparkContext._jvm.System.gc()  # as in staged()
+        self.df = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,36 +21,42 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from driftline.functions.draws import let
 
-from .common import staged, whole
+from .common import StageTable, whole
 from .components import look_up
 
 COUNTERS = 1 << 16
 LOW = (1 << 56) - 1
 SET = ("sid", "check")
+#: Portions that equal rows of one document are dealt to.
+PORTIONS = 64
 
 
-def tokens_of(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, "\t\r", "  "), " "), "")
+def token_hashes(line: Column) -> Column:
+    """The hashes of a line's distinct tokens, in order of appearance."""
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r"))
+    plain = F.when(odd, F.translate(line, "\t\r", "  ")).otherwise(line)
+    return F.array_remove(F.array_distinct(F.transform(F.split(plain, " "), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
 
 
-def _counter(token: Column) -> Column:
-    return F.pmod(F.hash(token), F.lit(COUNTERS))
+def rarity_table(texts: DataFrame, text_col: str) -> Column:
+    """For each counter the logarithm of how many tokens it has counted, in half powers of two, as the high byte of a key.
 
-
-def rarity_table(lines: DataFrame, line_col: str = "line") -> bytearray:
-    """One byte for each counter: the logarithm of how many tokens it has counted, in half powers of two."""
-    counted = lines.select(F.explode_outer(tokens_of(F.col(line_col))).alias("t")).filter("t IS NOT NULL").groupBy(_counter(F.col("t")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    table = bytearray(COUNTERS)
+    The array is told as one text, which the optimizer turns into a constant: a literal for each counter takes seconds.
+    """
+    tokens = texts.select(F.explode_outer(F.split(F.col(text_col), "[ \n\t\r]")).alias("t")).filter("t <> ''")
+    counted = tokens.groupBy(F.xxhash64("t").bitwiseAND(F.lit(COUNTERS - 1)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    table = [0] * COUNTERS
     for row in counted.collect():  # COUNTERS rows at most
-        table[row["c"]] = min(127, int(2 * math.log2(1 + row["n"])))
-    return table
+        table[row["c"]] = min(127, int(2 * math.log2(1 + row["n"]))) << 56
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
 
 
-def token_keys(line: Column, table: bytearray) -> Column:
-    """The distinct tokens of a line as numbers, rarest first: rarity in the high byte, the token's hash below it."""
-    rarity = lambda t: F.ascii(F.substring(F.lit(table), _counter(t) + 1, F.lit(1)).cast("string")).cast("long")
-    key = lambda t: (rarity(t) * F.lit(1 << 56)).bitwiseOR(F.xxhash64(t).bitwiseAND(F.lit(LOW)))
-    return F.sort_array(F.array_distinct(F.transform(tokens_of(line), key)))
+def token_keys(hashes: Column, table: Column) -> Column:
+    """The tokens of a line as numbers, rarest first: rarity in the high byte, the token's hash below it."""
+    none = F.lit(0).cast("long")
+    # Without nulls the numbers are sorted as they are, which takes a fraction of the time.
+    rarity = lambda h: F.coalesce(F.get(table, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")), none)
+    return F.sort_array(F.transform(hashes, lambda h: rarity(h).bitwiseOR(h.bitwiseAND(F.lit(LOW)))))
 
 
 def _bits(keys: Column) -> Column:
@@ -72,99 +78,115 @@ def _may_match(a: str, b: str, threshold: float) -> Column:
 
 
 def line_dedup(
-    docs: DataFrame, threshold: float = 0.8, least_tokens: int = 5, id_col: str = "doc_id", text_col: str = "text",
-    into: str = "text", removed: str = "removed_lines", least_before: int = 1,
-) -> DataFrame:
+    docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", into: str = "text", removed: str = "removed_lines"
+) -> DataFrame:
     """The input's rows and columns, with the text left of each document in `into` and the number of lines that went.
 
     Lines end at line feeds; tokens are what blanks, tabs and carriage returns separate. Lines are ordered by identifier,
     then by their place in the document. A line is removed if a line before it has a token set with a Jaccard similarity
-    of `threshold` or more, whether or not that one was removed too. Lines with fewer than `least_tokens` different tokens
-    always stay, and so do blank ones; as lines before another, all count that have `least_before` tokens. A null text stays null, and an empty one empty. Null identifiers come first in
-    order; rows with the same identifier and the same text are one document, treated alike. Columns of the input that have
-    the names of new ones are replaced. An empty table gives an empty result.
+    of `threshold` or more, whether or not that one was removed too; only lines without a token always stay. A null text
+    stays null, and an empty one empty. Null identifiers come first in order; rows with the same identifier and the same text
+    are one document, treated alike. Columns of the input that have the names of new ones are replaced. An empty table gives
+    an empty result.
     """
-    own = docs.withColumns({"__id": F.col(id_col), "__text": whole(text_col)}).withColumn("__k", F.xxhash64("__text"))
-    split = F.split("__text", "\n", -1)
-    lines = own.select("__id", "__k", F.spark_partition_id().alias("run"), F.posexplode_outer(split).alias("no", "line"))
-    table = rarity_table(lines)
-    least = max(1, least_before, math.ceil(threshold * least_tokens - 1e-9))  # smaller sets are like none that may go
-    plen = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    low = lambda seed: F.array_min(F.transform("keys", lambda k: F.xxhash64(k.bitwiseAND(F.lit(LOW)), F.lit(seed))))
-    keyed = lines.select("__id", "__k", "run", "no", token_keys(F.col("line"), table).alias("keys")).withColumn("n", F.size("keys"))
-    held = staged(
-        keyed.filter(F.col("n") >= least).select(
-            F.struct(F.col("__id").alias("id"), F.col("__k").alias("k"), "no").alias("at"), "run", "n", F.xxhash64("keys").alias("sid"),
-            F.hash("keys").alias("check"), _bits(F.col("keys")).alias("bits"), F.array(low(1), low(2)).alias("lows"),
-            F.transform(F.slice("keys", F.lit(1), plen), lambda k: F.hash(k)).alias("prefix"),
+    keyed = docs.withColumns({"__id": F.col(id_col), "__k": F.xxhash64(whole(text_col)), "__portion": F.pmod(F.spark_partition_id(), F.lit(PORTIONS))})
+    # All that follows meets the texts by document: dealt once, they are never moved again.
+    own = StageTable(keyed.withColumn("__doc", F.xxhash64("__id", "__k", "__portion")), "documents", "__doc").df
+    table = rarity_table(own, text_col)
+    least = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1  # tokens of the prefix
+    lines = own.select(
+        F.struct(F.col("__id").alias("id"), F.col("__k").alias("k")).alias("d"), F.col("__doc").alias("doc"), F.spark_partition_id().alias("run"),
+        F.posexplode_outer(F.split(whole(text_col), "\n", -1)).alias("no", "line"),
+    ).withColumn("hashes", token_hashes(F.col("line")))
+    lines = lines.withColumn("keys", token_keys(F.col("hashes"), table)).withColumn("n", F.size("keys")).filter("n > 0")
+    held = StageTable(
+        lines.select(
+            F.struct("d.id", "d.k", "no").alias("at"), "doc", "run", "n", F.xxhash64("keys").alias("sid"), F.hash("keys").alias("check"),
+            _bits(F.col("keys")).alias("bits"),
+            # The least and the greatest hash are two min-hashes of the set.
+            F.array(F.array_min("hashes"), F.array_max("hashes")).alias("lows"), F.slice("keys", F.lit(1), least).alias("prefix"),
         ),
         "lines",
     )
-    sets = staged(
-        held.groupBy(*SET).agg(
-            F.min("at").alias("at"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("bits").alias("bits"),
+    sets = StageTable(
+        held.df.groupBy(*SET).agg(
+            F.min(F.struct("at", "doc")).alias("first"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("bits").alias("bits"),
             F.first("lows").alias("lows"), F.first("prefix").alias("prefix"),
-        ),
-        "line-sets",
+        ).select(*SET, "first.*", "lines", "n", "bits", "lows", "prefix"),
+        "sets",
     )
 
-    texts = own.select(F.col("__id").alias("id"), F.col("__k").alias("k"), F.col("__text").alias("text"))
-
-    def later(pairs: DataFrame) -> DataFrame:
+    def later(found: DataFrame) -> StageTable:
         """The later set of each pair (a, b) of sids whose similarity, verified on their sets, reaches the threshold."""
-        pairs = staged(pairs, "line-pairs")
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        places = sets.select(*SET, "at").join(asked, "sid").select("at.id", "at.k", F.struct("at.no", "at", *SET).alias("want"))
-        wanted = places.groupBy("id", "k").agg(F.collect_list("want").alias("wants"))
-        key = (F.col("t.id").eqNullSafe(F.col("w.id"))) & (F.col("t.k") == F.col("w.k"))
-        read = texts.alias("t").join(wanted.alias("w").hint("merge"), key).select(
-            F.explode_outer(
-                let(F.split("t.text", "\n", -1), lambda ls: F.transform("wants", lambda w: F.struct(w["at"].alias("at"), w["sid"].alias("sid"), w["check"].alias("check"), token_keys(F.get(ls, w["no"]), table).alias("keys"))))
-            ).alias("s")
-        ).select("s.*")
-        both = pairs.join(read.alias("x"), F.col("a") == F.col("x.sid")).join(read.alias("y"), F.col("b") == F.col("y.sid"))
+        pairs = StageTable(found, "pairs")
+        asked = pairs.df.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        places = sets.df.select(*SET, "at", "doc").join(asked, "sid").select("doc", "at", F.struct("at", *SET).alias("want"))
+        wanted = places.groupBy("doc", "at.id", "at.k").agg(F.collect_list("want").alias("wants"))
+        # Equal rows may share a key; their lines are the same, so any of them will do.
+        same = (F.col("t.__doc") == F.col("w.doc")) & F.col("t.__id").eqNullSafe(F.col("w.id")) & (F.col("t.__k") == F.col("w.k"))
+        texts = own.select("__doc", "__id", "__k", whole(text_col).alias("text"))
+        read = texts.alias("t").join(wanted.alias("w").hint("merge"), same).select(
+            F.explode_outer(let(F.split("t.text", "\n", -1), lambda ls: F.transform("wants", lambda w: F.struct(w.alias("w"), F.get(ls, w["at"]["no"]).alias("line"))))).alias("s")
+        ).select("s.w.*", token_keys(token_hashes(F.col("s.line")), table).alias("keys"))
+        read = read.groupBy("sid", "check").agg(F.first("at").alias("at"), F.first("keys").alias("keys"))
+        both = pairs.df.join(read.alias("x"), F.col("a") == F.col("x.sid")).join(read.alias("y"), F.col("b") == F.col("y.sid"))
         common = F.size(F.array_intersect("x.keys", "y.keys"))
         alike = both.select(
             F.when(F.col("x.at") > F.col("y.at"), F.struct("x.sid", "x.check")).otherwise(F.struct("y.sid", "y.check")).alias("late"),
             common.alias("common"), (F.size("x.keys") + F.size("y.keys") - common).alias("joined"),
         ).filter(F.col("common") >= F.col("joined") * threshold - 1e-9)
-        return alike.select("late.*").distinct()
+        verified = StageTable(alike.select("late.*").distinct(), "later")
+        pairs.drop()
+        return verified
 
     # Sets that are so small that one more token makes another set are only like equal ones.
     wide = F.col("n") >= (F.col("n") + 1) * threshold - 1e-9
 
     # Every set against the earliest one with the same min-hash.
-    lows = sets.filter(wide).select("sid", "check", "at", "n", "bits", F.posexplode("lows").alias("j", "low"))
+    lows = sets.df.filter(wide).select("sid", "check", "at", "n", "bits", F.posexplode("lows").alias("j", "low"))
     earliest = lows.groupBy("j", "low").agg(F.min(F.struct("at", "sid", "n", "bits")).alias("e"), F.count(F.lit(1)).alias("met")).filter("met > 1")
-    near = lows.alias("s").join(earliest.select("j", "low", "e.sid", "e.n", "e.bits").alias("e"), ["j", "low"])
+    near = lows.alias("s").join(earliest.select("j", "low", "e.sid", "e.n", "e.bits").alias("e").hint("merge"), ["j", "low"])
     near = near.filter((F.col("s.sid") != F.col("e.sid")) & _may_match("s", "e", threshold))
-    closed = staged(later(near.select(F.col("s.sid").alias("a"), F.col("e.sid").alias("b")).distinct()), "closed-sets")
+    closed = later(near.select(F.col("s.sid").alias("a"), F.col("e.sid").alias("b")).distinct())
 
-    # The prefix join, for pairs with a set that is still open.
-    marked = sets.filter(wide).join(closed.withColumn("closed", F.lit(True)), [*SET], "left").withColumn("open", F.col("closed").isNull())
+    # The prefix join, for pairs with a set that is still open. A token of very many prefixes is a skewed key: its rows are
+    # split by the adaptive join, each part of one side with all of the other.
+    marked = sets.df.filter(wide).join(closed.df.withColumn("closed", F.lit(True)), [*SET], "left").withColumn("open", F.col("closed").isNull())
     # A row has few and small fields, as these rows are most of what is shuffled: size, place and mark are one number.
     packed = F.col("n").cast("long") * (1 << 25) + F.col("place") * 2 + F.col("open").cast("int")
-    rows = marked.select("sid", "n", "bits", "open", F.posexplode("prefix").alias("place", "token"))
-    rows = rows.select("token", "sid", "bits", packed.alias("packed")).repartition("token")
-    size, place = F.shiftright("packed", 25).alias("n"), F.shiftright(F.col("packed").bitwiseAND(F.lit((1 << 25) - 1)), 1).alias("place")
-    prefix = rows.select("token", "sid", "bits", size, place, (F.col("packed").bitwiseAND(F.lit(1)) == 1).alias("open"))
-    left, right = prefix.alias("p"), prefix.alias("q")
+    rows = marked.select("sid", "n", "bits", "open", F.posexplode("prefix").alias("place", "token")).select("token", "sid", "bits", packed.alias("packed"))
+
+    def side(name: str) -> DataFrame:
+        size, place = F.shiftright("packed", 25).alias("n"), F.shiftright(F.col("packed").bitwiseAND(F.lit((1 << 25) - 1)), 1).alias("place")
+        return rows.select("token", "sid", "bits", size, place, (F.col("packed").bitwiseAND(F.lit(1)) == 1).alias("open")).alias(name)
+
     after = F.least(F.col("p.n") - F.col("p.place"), F.col("q.n") - F.col("q.place"))
-    met = left.join(
-        right,
+    met = side("p").join(
+        side("q").hint("merge"),
         (F.col("p.token") == F.col("q.token")) & (F.col("p.sid") < F.col("q.sid")) & (F.col("p.open") | F.col("q.open"))
         & _may_match("p", "q", threshold) & (after >= _common_needed(F.col("p.n"), F.col("q.n"), threshold)),
     )
-    more = staged(later(met.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")).distinct()), "more-sets")
-    gone = closed.union(more).distinct()
+    more = later(met.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")).distinct())
+    gone = closed.df.union(more.df).distinct()
 
     # Lines that go: all but the first of a set, and the first too where the set has an earlier match.
-    fate = sets.filter(F.col("n") >= least_tokens).join(gone.withColumn("gone", F.lit(True)), [*SET], "left").filter("lines > 1 OR gone").select(*SET, F.col("at").alias("first"), "gone")
-    leaving = look_up(held.select("at", "run", *SET), fate, *SET).filter("first IS NOT NULL AND (gone OR at > first)")
-    by_doc = leaving.groupBy(F.col("at.id").alias("__id"), F.col("at.k").alias("__k")).agg(F.collect_set("at.no").alias("__nos"))
-    key = F.col("d.__id").eqNullSafe(F.col("r.__id")) & (F.col("d.__k") == F.col("r.__k"))
-    joined = own.alias("d").join(by_doc.alias("r").hint("merge"), key, "left")
-    left_over = let(F.col("r.__nos"), lambda nos: F.array_join(F.filter(F.split("d.__text", "\n", -1), lambda _, i: ~F.array_contains(nos, i)), "\n"))
-    text = F.when(F.col("r.__nos").isNull(), F.col(f"d.{text_col}")).otherwise(left_over)
+    fate = sets.df.join(gone.withColumn("gone", F.lit(True)), [*SET], "left").filter("lines > 1 OR gone").select(*SET, F.col("at").alias("first"), "gone")
+    leaving = look_up(held.df.select("at", "doc", "run", *SET), fate, *SET).filter("first IS NOT NULL AND (gone OR at > first)")
+    by_doc = StageTable(leaving.groupBy("doc", F.col("at.id").alias("id"), F.col("at.k").alias("k")).agg(F.collect_set("at.no").alias("__nos")), "leaving").df
+    for done in (held, sets, closed, more):
+        done.drop()
+    same = (F.col("d.__doc") == F.col("r.doc")) & F.col("d.__id").eqNullSafe(F.col("r.id")) & (F.col("d.__k") == F.col("r.k"))
+    joined = own.alias("d").join(by_doc.alias("r").hint("merge"), same, "left")
+    text = F.when(F.col("r.__nos").isNull(), F.col(f"d.{text_col}")).otherwise(_without(F.col(f"d.{text_col}"), F.col("r.__nos")))
     kept = [F.col(f"d.`{c}`") for c in docs.columns if c not in (into, removed)]
     return joined.select(*kept, text.alias(into), F.coalesce(F.size("r.__nos"), F.lit(0)).cast("long").alias(removed))
+
+
+def _without(text: Column, places: Column) -> Column:
+    """The lines of a text but those at the given places: what is left of all places, and then the lines there."""
+
+    def cut(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    return let(F.split(text, "\n", -1), cut)

@@ -173,7 +173,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), sets AS (
         SELECT doc_id, no, list_sort(list_distinct(list_filter(string_split(translate(line, chr(9) || chr(13), '  '), ' '), lambda t: t <> ''))) AS s
         FROM lines
-    ), known AS (SELECT s, len(s) AS n, min((doc_id, no)) AS at, row_number() OVER () AS id FROM sets WHERE len(s) >= 5 GROUP BY s),
+    ), known AS (SELECT s, len(s) AS n, min((doc_id, no)) AS at, row_number() OVER () AS id FROM sets WHERE len(s) > 0 GROUP BY s),
     tokens AS (SELECT id, n, unnest(s) AS t FROM known), rarity AS (SELECT t, count(*) AS c FROM tokens GROUP BY t),
     ordered AS (SELECT id, n, t, row_number() OVER (PARTITION BY id ORDER BY c, t) AS place FROM tokens JOIN rarity USING (t)),
     firsts AS (SELECT * FROM ordered WHERE place <= n - ceil(0.8 * n - 1e-9) + 1),
@@ -192,7 +192,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.line_dedup(docs, least_tokens=5, least_before=5).select("doc_id", "removed_lines", "text")
+    return line_dedup.line_dedup(docs).select("doc_id", "removed_lines", "text")
 
 
 @query("op11_token_alignment")

@@ -8,7 +8,7 @@ from driftline.llm.line_dedup import line_dedup
 from .cases import documents, edited, prose, rows
 
 
-def brute(given, threshold=0.8, least=5):
+def brute(given, threshold=0.8, least=1):
     """Every line against every earlier one."""
     key = lambda r: (r[0] is not None, r[0] or 0)
     docs = sorted(set(given), key=lambda r: (*key(r), r[1] or ""))
@@ -49,16 +49,20 @@ def test_random_lines(spark):
 @pytest.mark.parametrize("threshold", [0.6, 1.0])
 def test_other_thresholds(spark, threshold):
     given = [(i, edited(prose(1, 12), i % 12) + "\n" + prose(i, 3)) for i in range(30)]
-    assert found(spark, given, threshold=threshold, least_tokens=1) == brute(given, threshold, 1)
+    assert found(spark, given, threshold=threshold) == brute(given, threshold)
 
 
 def test_short_lines_before_longer_ones(spark):
     """A line of five tokens is like an earlier one of four of them, which itself stays."""
     given = [(1, "a b c d\na b c"), (2, "a b c d e\na b c d\na b c"), (3, "a b c d f\n \nx"), (4, "v w x y z"), (5, "v w x y\nx\n ")]
     got = found(spark, given)
-    assert got == brute(given) and got[2, "a b c d\na b c", 1] == 1
-    assert found(spark, given, least_before=5) == Counter((*r, 0) for r in given)
-    assert found(spark, given, least_tokens=1) == brute(given, least=1)
+    assert got == brute(given) and got[2, "", 3] == 1 and got[3, " \nx", 1] == 1
+
+
+def test_lines_of_few_tokens_go_too(spark):
+    given = [(1, "Les.\nLes.\n" + "x" * 300), (2, "x" * 300 + "\n\t Les.\r"), (3, "a a b\nb a"), (4, "b\na b c")]
+    got = found(spark, given)
+    assert got == brute(given) and got[1, "Les.\n" + "x" * 300, 1] == 1 and got[2, "", 2] == 1 and got[3, "a a b", 1] == 1
 
 
 def test_one_line_that_all_documents_share(spark):
