@@ -41,17 +41,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @stage
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove lines that are like an earlier one, however short they are. A document goes only if it had text and no line of it is left."""
-    cut = line_dedup.line_dedup(docs, least_tokens=1, removed="__removed").filter((F.col("__removed") == 0) | (F.trim(F.col("text")) != ""))
+    cut = line_dedup.line_dedup(docs, removed="__removed").filter((F.col("__removed") == 0) | (F.trim(F.col("text")) != ""))
     return _with_length(cut, docs)
 
 
 @stage
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near copies, the one with the smallest identifier."""
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    named = keyed.select(F.struct("doc_id", "__row").alias("__id"), "text")
-    kept = ngram_join.ngram_join(named, id_col="__id").filter("kept").select("__id.__row").distinct()
-    return keyed.join(kept.hint("merge"), "__row").dropDuplicates(["__row"]).select(*docs.columns)
+    """Keep one document of each class of near copies, the one with the smallest identifier, null first.
+
+    Of rows with one identifier, the one whose text has the smallest SHA-256 counts as smaller; a null text counts as
+    empty. Of rows equal in both, the smallest stays in the order of the input's columns.
+    """
+    named = docs.withColumn("__id", F.struct("doc_id", F.sha2(whole("text"), 256).alias("sha")))
+    kept = ngram_join.ngram_join(named.select("__id", "text"), id_col="__id").filter("kept").select("__id").distinct()
+    rows, chosen = named.withColumn("__key", F.xxhash64("__id")).alias("d"), kept.withColumn("__key", F.xxhash64("__id")).alias("k").hint("merge")
+    same = (F.col("d.__key") == F.col("k.__key")) & F.col("d.__id.doc_id").eqNullSafe(F.col("k.__id.doc_id")) & (F.col("d.__id.sha") == F.col("k.__id.sha"))
+    left = rows.join(chosen, same, "left_semi")
+    return left.groupBy("__id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
 
 
 @stage
