@@ -117,7 +117,7 @@ class UnitEncoder:
     `most_known` units seen first; others are encoded again in each batch they occur in, with the same result.
     """
 
-    def __init__(self, encode_units: Callable[[list[str]], Iterable[list[int]]], most_known: int = 700_000):
+    def __init__(self, encode_units: Callable[[list[str]], Iterable[list[int] | bytes]], most_known: int = 700_000):
         self.encode_units, self.most_known = encode_units, most_known
         #: unit -> its ids, packed as unsigned 32-bit integers
         self.known: dict[str, bytes] = {}
@@ -131,7 +131,7 @@ class UnitEncoder:
         new = [i for i, ids in enumerate(found) if ids is None]
         room = self.most_known - len(self.known)
         for k, (i, ids) in enumerate(zip(new, self.encode_units([units[i] for i in new]))):
-            found[i] = array("I", ids).tobytes()
+            found[i] = ids if isinstance(ids, bytes) else array("I", ids).tobytes()
             if k < room:
                 self.known[units[i]] = found[i]
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
