@@ -98,18 +98,20 @@ def line_dedup(
         F.struct(F.col("__id").alias("id"), F.col("__k").alias("k")).alias("d"), F.col("__doc").alias("doc"), F.spark_partition_id().alias("run"),
         F.posexplode_outer(F.split(whole(text_col), "\n", -1)).alias("no", "line"),
     ).withColumn("hashes", token_hashes(F.col("line")))
-    lines = lines.withColumn("keys", token_keys(F.col("hashes"), table)).withColumn("n", F.size("keys")).filter("n > 0")
+    lines = lines.withColumn("keys", token_keys(F.col("hashes"), table)).withColumn("n", F.size("keys"))
     held = StageTable(
         lines.select(
             F.struct("d.id", "d.k", "no").alias("at"), "doc", "run", "n", F.xxhash64("keys").alias("sid"), F.hash("keys").alias("check"),
             _bits(F.col("keys")).alias("bits"),
             # The least and the greatest hash are two min-hashes of the set.
-            F.array(F.array_min("hashes"), F.array_max("hashes")).alias("lows"), F.slice("keys", F.lit(1), least).alias("prefix"),
+            F.array(F.array_min("hashes"), F.array_max("hashes")).alias("lows"), F.transform(F.slice("keys", F.lit(1), F.greatest(least, F.lit(0))), lambda k: F.hash(k)).alias("prefix"),
         ),
         "lines",
     )
+    # Filtered only now: a condition on their number would have all tokens worked out once more.
+    full = held.df.filter("n > 0")
     sets = StageTable(
-        held.df.groupBy(*SET).agg(
+        full.groupBy(*SET).agg(
             F.min(F.struct("at", "doc")).alias("first"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("bits").alias("bits"),
             F.first("lows").alias("lows"), F.first("prefix").alias("prefix"),
         ).select(*SET, "first.*", "lines", "n", "bits", "lows", "prefix"),
@@ -120,14 +122,15 @@ def line_dedup(
         """The later set of each pair (a, b) of sids whose similarity, verified on their sets, reaches the threshold."""
         pairs = StageTable(found, "pairs")
         asked = pairs.df.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        places = sets.df.select(*SET, "at", "doc").join(asked, "sid").select("doc", "at", F.struct("at", *SET).alias("want"))
-        wanted = places.groupBy("doc", "at.id", "at.k").agg(F.collect_list("want").alias("wants"))
-        # Equal rows may share a key; their lines are the same, so any of them will do.
-        same = (F.col("t.__doc") == F.col("w.doc")) & F.col("t.__id").eqNullSafe(F.col("w.id")) & (F.col("t.__k") == F.col("w.k"))
+        places = sets.df.select(*SET, "at", "doc").join(asked, "sid")
+        wanted = places.groupBy("doc").agg(F.collect_list(F.struct("at", *SET)).alias("wants"))
         texts = own.select("__doc", "__id", "__k", whole(text_col).alias("text"))
-        read = texts.alias("t").join(wanted.alias("w").hint("merge"), same).select(
-            F.explode_outer(let(F.split("t.text", "\n", -1), lambda ls: F.transform("wants", lambda w: F.struct(w.alias("w"), F.get(ls, w["at"]["no"]).alias("line"))))).alias("s")
-        ).select("s.w.*", token_keys(token_hashes(F.col("s.line")), table).alias("keys"))
+        # The key is the only condition of the join, so the texts stay where they are; a strange document's lines are left out.
+        mine = F.filter("wants", lambda w: w["at"]["id"].eqNullSafe(F.col("__id")) & (w["at"]["k"] == F.col("__k")))
+        read = texts.join(wanted.withColumnRenamed("doc", "__doc").hint("shuffle_hash"), "__doc").select(
+            F.explode_outer(let(F.split("text", "\n", -1), lambda ls: F.transform(mine, lambda w: F.struct(w.alias("w"), F.get(ls, w["at"]["no"]).alias("line"))))).alias("s")
+        ).select("s.w.*", token_keys(token_hashes(F.col("s.line")), table).alias("keys")).filter("sid IS NOT NULL")
+        # Equal rows may share a key; their lines are the same, so any of them will do.
         read = read.groupBy("sid", "check").agg(F.first("at").alias("at"), F.first("keys").alias("keys"))
         both = pairs.df.join(read.alias("x"), F.col("a") == F.col("x.sid")).join(read.alias("y"), F.col("b") == F.col("y.sid"))
         common = F.size(F.array_intersect("x.keys", "y.keys"))
@@ -171,15 +174,15 @@ def line_dedup(
 
     # Lines that go: all but the first of a set, and the first too where the set has an earlier match.
     fate = sets.df.join(gone.withColumn("gone", F.lit(True)), [*SET], "left").filter("lines > 1 OR gone").select(*SET, F.col("at").alias("first"), "gone")
-    leaving = look_up(held.df.select("at", "doc", "run", *SET), fate, *SET).filter("first IS NOT NULL AND (gone OR at > first)")
-    by_doc = StageTable(leaving.groupBy("doc", F.col("at.id").alias("id"), F.col("at.k").alias("k")).agg(F.collect_set("at.no").alias("__nos")), "leaving").df
+    leaving = look_up(full.select("at", "doc", "run", *SET), fate, *SET).filter("first IS NOT NULL AND (gone OR at > first)")
+    by_doc = StageTable(leaving.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("at").alias("__leaving")), "leaving").df
     for done in (held, sets, closed, more):
         done.drop()
-    same = (F.col("d.__doc") == F.col("r.doc")) & F.col("d.__id").eqNullSafe(F.col("r.id")) & (F.col("d.__k") == F.col("r.k"))
-    joined = own.alias("d").join(by_doc.alias("r").hint("merge"), same, "left")
-    text = F.when(F.col("r.__nos").isNull(), F.col(f"d.{text_col}")).otherwise(_without(F.col(f"d.{text_col}"), F.col("r.__nos")))
-    kept = [F.col(f"d.`{c}`") for c in docs.columns if c not in (into, removed)]
-    return joined.select(*kept, text.alias(into), F.coalesce(F.size("r.__nos"), F.lit(0)).cast("long").alias(removed))
+    mine = F.filter("__leaving", lambda at: at["id"].eqNullSafe(F.col("__id")) & (at["k"] == F.col("__k")))
+    joined = own.join(by_doc.hint("shuffle_hash"), "__doc", "left").withColumn("__nos", F.coalesce(F.transform(mine, lambda at: at["no"]), F.array().cast("array<int>")))
+    text = F.when(F.size("__nos") == 0, F.col(text_col)).otherwise(_without(F.col(text_col), F.col("__nos")))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (into, removed)]
+    return joined.select(*kept, text.alias(into), F.size("__nos").cast("long").alias(removed))
 
 
 def _without(text: Column, places: Column) -> Column:
