@@ -10,7 +10,10 @@ from driftline.operators.model_calls import (
     REPETITIVE_TEXT,
     AnswerStore,
     ask,
+    question_key,
 )
+from driftline.operators.encoders import KeptEncoder
+from driftline.operators.zipping import numbered, zip_rows
 from driftline.operators.prompts import fill, messages
 from driftline.functions.relations import says_true
 from driftline.operators.registry import VERIFIERS
@@ -27,10 +30,12 @@ from . import q_rewrites  # noqa: F401  (its oracles are used below)
 from . import sqltext as S
 from .batch_doubles import (
     AnswerSecondTime,
+    answer_in_later_rounds,
     batch_model,
     fail_some,
     length_of_last_quote,
     length_of_question,
+    load_letter_counts,
     one_reply_less,
     rate_chats,
     refuse_some,
@@ -764,6 +769,53 @@ def e10(spark, sf):
     return R.alignment_gaps(*ids)
 
 
+@query(
+    "e10_zip",
+    """
+    WITH a AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents),
+    b AS (SELECT page_id, url, row_number() OVER (ORDER BY page_id DESC) - 1 AS idx FROM pages)
+    SELECT idx, doc_id, n_chars, page_id, url, (SELECT count(*) FROM documents) AS n_left, (SELECT count(*) FROM pages) AS n_right FROM a JOIN b USING (idx)
+    """,
+)
+def e10_zip(spark, sf):
+    """Documents with pages by position, one in ascending and one in descending order; the longer table's rest is told by the sizes."""
+    docs = numbered(table(spark, sf, "documents").select("doc_id", "n_chars").repartition(5, "n_chars"), "doc_id")
+    pages = numbered(table(spark, sf, "pages").select("page_id", "url").repartition(7, "url"), F.col("page_id").desc())
+    zipped, sizes = zip_rows(docs, pages)
+    return zipped.withColumns({"n_left": F.lit(sizes["left"]), "n_right": F.lit(sizes["right"])})
+
+
+@query(
+    "m6_retry_rounds",
+    f"""SELECT row_id, CASE WHEN n % 4 < 3 THEN 'n=' || n END AS output, CASE WHEN n % 4 < 3 THEN 'ok' ELSE 'error' END AS output_status,
+        least(n % 4, 3) AS failures FROM (SELECT doc_id AS row_id, {PARAPHRASE_LENGTH} AS n FROM documents)""",
+)
+def m6_rounds(spark, sf):
+    """A question of length n fails n % 4 times; three rounds ask it, each commits by itself, and the failures are counted."""
+    model = batch_model("by-round", answer_in_later_rounds, max_retries=1, rounds=3, tell_round=True)
+    store, prompt = AnswerStore(spark), template("it_prompt:paraphrasing")
+    rows = documents(spark, sf).withColumn("key", question_key(model.name, F.lit("helper"), prompt, [F.col("text")]))
+    df = ask(rows, model, prompt, [F.col("text")], "output", store=store, keep_status=True)
+    failures = store.attempts(model.name).select("key", "failed")
+    return df.join(failures, "key", "left").select("row_id", "output", "output_status", F.coalesce("failed", F.lit(0)).cast("bigint").alias("failures"))
+
+
+@query(
+    "x9_kept_vectors",
+    f"""SELECT doc_id AS row_id, round({S.cosine(S.letter_counts('text'), S.letter_counts('lang || source'))}, 6) AS similarity,
+        (SELECT count(DISTINCT t) FROM (SELECT text AS t FROM documents UNION ALL SELECT lang || source FROM documents)) AS encoded, 0::BIGINT AS again FROM documents""",
+)
+def x9_kept(spark, sf):
+    """Each distinct text is encoded once, though four of them are in all rows; a second run encodes nothing."""
+    encoder = KeptEncoder("letters", load_letter_counts, work_folder(spark, "vectors"), parallelism=8)
+    rows = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text", F.concat("lang", "source").alias("other")))
+    encoder.add_similarity(rows, F.col("text"), F.col("other"), "similarity").write.format("noop").mode("overwrite").save()
+    first = sum(p.rows for p in encoder.table(spark).parts())
+    df = encoder.add_similarity(rows, F.col("text"), F.col("other"), "similarity")
+    second = sum(p.rows for p in encoder.table(spark).parts()) - first
+    return df.select("row_id", F.round("similarity", 6).alias("similarity"), F.lit(first).alias("encoded"), F.lit(second).alias("again"))
+
+
 @query(
     "p8_run_selected",
     sentiment_sql(

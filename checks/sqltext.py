@@ -221,3 +221,8 @@ def with_views(body: str, *names: str, **ctes: str) -> str:
         add(name)
     parts.update(ctes)
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({s})" for n, s in parts.items()) + "\n" + body
+
+
+def letter_counts(text: str) -> str:
+    """How often each of the letters a to z is in a text, as a list of doubles."""
+    return f"list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: (length({text}) - length(replace({text}, c, '')))::DOUBLE)"

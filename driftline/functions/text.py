@@ -102,5 +102,11 @@ def cosine(left: Column, right: Column) -> Column:
     def product(a: Column, b: Column) -> Column:
         return F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
 
-    norm = F.sqrt(total(product(left, left))) * F.sqrt(total(product(right, right)))
-    return total(product(left, right)) / F.nullif(norm, F.lit(0.0))
+    # Bound once: the vectors may be long expressions.
+    both = F.array(F.struct(left.alias("l"), right.alias("r")))
+
+    def one(v: Column) -> Column:
+        norm = F.sqrt(total(product(v["l"], v["l"]))) * F.sqrt(total(product(v["r"], v["r"])))
+        return total(product(v["l"], v["r"])) / F.nullif(norm, F.lit(0.0))
+
+    return F.get(F.transform(both, one), F.lit(0))

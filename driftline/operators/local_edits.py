@@ -17,14 +17,13 @@ from ..functions.text import (
     words,
 )
 from .pools import Pool
+from .portions import join_in_portions
 
 #: Text -> its sentences; the rule or a trained model.
 Splitter = Callable[[Column], Column]
 
 MUTATED_SHARE = 0.1
 SHUFFLE_TRIES = 10
-#: Portions in which a frequent word asks a table for its entry.
-SPLITS = 128
 
 # Neighbours on a QWERTY keyboard.
 KEYBOARD = {
@@ -241,10 +240,8 @@ def misspell(
     )
     df = df.withColumn("_pieces", F.transform(flagged, lambda s, i: F.struct(i.alias("pos"), s["piece"].alias("piece"), s["word"].alias("word"))))
     chosen = df.select(key, F.explode_outer(F.filter("_pieces", lambda s: s["word"].isNotNull())).alias("s")).select(key, "s.*").where("word IS NOT NULL")
-    chosen = chosen.withColumn("portion", F.pmod(F.xxhash64(key, "pos"), F.lit(SPLITS)))
-    asked = chosen.select("word", "portion").distinct().join(dictionary, "word")
     changed = (
-        chosen.join(asked, ["word", "portion"], "left")
+        join_in_portions(chosen, dictionary, "word", key, "pos")
         .groupBy(key)
         .agg(F.collect_list(F.struct("pos", F.coalesce("misspelling", "piece").alias("piece"))).alias("_changed"))
     )

@@ -12,6 +12,7 @@ Two kinds of model share one interface, ``ask``:
 from __future__ import annotations
 
 import time
+from datetime import datetime, timedelta, timezone
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans.templates import Template
 from ..session import work_folder
+from ..sources.commits import PartTable
 from ..sources.files import read_if_exists
 from .prompts import messages
 
@@ -33,6 +35,7 @@ HOT_MINIMUM = 10_000
 HOT_SHARE = 1 / 10_000
 
 ANSWER_SCHEMA = "key string, purpose string, output string, status string"
+PUT_OFF_SCHEMA = "key string, purpose string, attempt int, not_before timestamp, model string"
 STORE_SCHEMA = "key string, output string, status string, model string, purpose string"
 
 
@@ -58,6 +61,11 @@ class BatchModel:
 
     ``parallelism`` bounds the number of concurrent tasks that call the endpoint, ``chunks`` the number
     of separately committed parts of one stage.
+
+    With ``rounds`` a question that fails is put off instead of holding its task: it goes to the table of put-off questions
+    with the number of its attempt and the time before which it isn't asked again, and a later, separately committed round
+    asks it, ``rounds`` times in all. Within a round ``max_retries`` counts as before. ``answer`` is told the number of
+    the round, from 0, if ``tell_round`` is set.
     """
 
     name: str
@@ -66,6 +74,8 @@ class BatchModel:
     wait_seconds: float = 10.0
     parallelism: int = 64
     chunks: int = 1
+    rounds: int = 1
+    tell_round: bool = False
 
 
 Model = ColumnModel | BatchModel
@@ -87,6 +97,16 @@ class AnswerStore:
     def append(self, answers: DataFrame) -> None:
         answers.write.mode("append").partitionBy("model", "purpose").parquet(self.path)
 
+    def put_off(self) -> PartTable:
+        """The questions that failed: (key, purpose, attempt, not_before, model), one row per failure."""
+        return PartTable(self.spark, f"{self.path}-put-off", PUT_OFF_SCHEMA, ("model",), id_col="key")
+
+    def attempts(self, model: str) -> DataFrame:
+        """(key, failed, not_before): how often each question failed so far and when it may be asked again."""
+        rows = self.put_off().read()
+        rows = self.spark.createDataFrame([], PUT_OFF_SCHEMA) if rows is None else rows
+        return rows.where(F.col("model") == model).groupBy("key").agg(F.max("attempt").alias("failed"), F.max("not_before").alias("not_before"))
+
 
 def question_key(model: str, purpose: Column, template: Template, inputs: list[Column], each: Column | None = None) -> Column:
     """One key per (model, purpose, prompt, inputs). The purpose keeps a repeated question a new call; so does ``each``."""
@@ -100,13 +120,14 @@ def question_key(model: str, purpose: Column, template: Template, inputs: list[C
     return F.sha2(F.to_json(parts), 256)
 
 
-def _call_with_retries(model: BatchModel, chats: list[list[dict]]) -> list[tuple[str | None, str]]:
+def _call_with_retries(model: BatchModel, chats: list[list[dict]], round_: int = 0) -> list[tuple[str | None, str]]:
     results: list[tuple[str | None, str] | None] = [None] * len(chats)
     waiting = list(range(len(chats)))
     attempts = model.max_retries if model.max_retries and model.max_retries > 0 else MANY_RETRIES
     for attempt in range(attempts):
         try:
-            answers = list(model.answer([chats[i] for i in waiting]))
+            some = [chats[i] for i in waiting]
+            answers = list(model.answer(some, round_) if model.tell_round else model.answer(some))
             if len(answers) != len(waiting):
                 raise ValueError(f"{len(answers)} replies to {len(waiting)} questions: nobody knows which belongs to which")
         except Exception as error:  # the whole batch failed
@@ -129,13 +150,13 @@ def _call_with_retries(model: BatchModel, chats: list[list[dict]]) -> list[tuple
     return [r if r is not None else (None, "error") for r in results]
 
 
-def call_batches(questions: DataFrame, model: BatchModel) -> DataFrame:
+def call_batches(questions: DataFrame, model: BatchModel, round_: int = 0) -> DataFrame:
     """(key, purpose, chat) -> (key, purpose, output, status). Rows whose retries run out get status "error" and no output."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             chats = [[{"role": m["role"], "content": m["content"]} for m in chat] for chat in batch["chat"]]
-            answered = _call_with_retries(model, chats)
+            answered = _call_with_retries(model, chats, round_)
             yield batch[["key", "purpose"]].assign(
                 output=[a[0] for a in answered], status=[a[1] for a in answered]
             )
@@ -218,11 +239,24 @@ def ask(
     known = _known_answers(store, model, asked)
     open_questions = asked if known is None else asked.join(known, "key", "left_anti")
     prompt_inputs = [F.get("inputs", F.lit(i)) for i in range(len(inputs))]
-    for chunk in range(model.chunks):
-        part = open_questions.where(F.pmod(F.xxhash64("key"), F.lit(model.chunks)) == chunk)
-        chats = part.select("key", "purpose", messages(template, prompt_inputs).alias("chat"))
-        answered = call_batches(chats.repartition(model.parallelism, "key"), model)
-        store.append(answered.where("status <> 'error'").withColumn("model", F.lit(model.name)))
+    for round_ in range(model.rounds):
+        for chunk in range(model.chunks):
+            part = open_questions.where(F.pmod(F.xxhash64("key"), F.lit(model.chunks)) == chunk)
+            chats = part.select("key", "purpose", messages(template, prompt_inputs).alias("chat"))
+            answered = call_batches(chats.repartition(model.parallelism, "key"), model, round_).withColumn("model", F.lit(model.name))
+            if model.rounds == 1:
+                store.append(answered.where("status <> 'error'"))
+            else:
+                _commit_round(answered, model, store)
+        if round_ + 1 < model.rounds:
+            failed = store.attempts(model.name).join(asked, "key", "left_semi").join(_known_answers(store, model, asked), "key", "left_anti")
+            failed = failed.select("key", "not_before")
+            until = failed.agg(F.max("not_before")).first()[0]
+            if until is None:
+                break
+            # The driver waits, no task does.
+            time.sleep(max(0.0, until.timestamp() - time.time()))
+            open_questions = asked.join(failed.select("key"), "key", "left_semi")
 
     known = _known_answers(store, model, asked)
     answers = asked.select("key", "n")
@@ -238,6 +272,20 @@ def ask(
     return result if keep_status else result.drop(f"{out}_status")
 
 
+def _commit_round(answered: DataFrame, model: BatchModel, store: AnswerStore) -> None:
+    """Write what a round was told once, then keep the answers and put the failures off."""
+    path = work_folder(answered.sparkSession, "round")
+    answered.write.parquet(path)
+    told = answered.sparkSession.read.parquet(path)
+    store.append(told.where("status <> 'error'"))
+    later = datetime.now(timezone.utc) + timedelta(seconds=model.wait_seconds)
+    before = store.attempts(model.name).select("key", "failed")
+    failed = told.where("status = 'error'").join(before, "key", "left").select(
+        "key", "purpose", (F.coalesce("failed", F.lit(0)) + 1).alias("attempt"), F.lit(later).alias("not_before"), "model"
+    )
+    store.put_off().append(failed, model=model.name)
+
+
 def _known_answers(store: AnswerStore, model: BatchModel, asked: DataFrame) -> DataFrame | None:
     """(key, output, status) of this model, one row per key even where two runs stored the same key."""
     table = store.read()

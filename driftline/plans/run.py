@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import sentences as by_rule
 from ..operators.answer_checks import known_or_unknown
-from ..operators.encoders import Encoder
+from ..operators.encoders import Encoder, KeptEncoder
 from ..operators.model_calls import AnswerStore, ColumnModel, Model, ask
 from ..operators.pools import Pool
 from ..operators.registry import (
@@ -251,7 +251,9 @@ def verdicts(df: DataFrame, tests: list[Test], res: Resources) -> DataFrame:
         if disguised:
             spelt_out = F.col("mr").isin(disguised)
             pair = [F.when(spelt_out, F.col(f"_{c}")).otherwise(F.col(f"{c}_output")) for c in ("source", "followup")]
-        df = df.withColumn("_similarity", res.encoder.similarity(*[F.when(needed, c) for c in pair]))
+        pair = [F.when(needed, c) for c in pair]
+        kept = isinstance(res.encoder, KeptEncoder)
+        df = res.encoder.add_similarity(df, *pair, "_similarity") if kept else df.withColumn("_similarity", res.encoder.similarity(*pair))
     helper_columns: dict[str, str] = {}
     for mr, prop in judged.items():
         key = prop.params.get("template")

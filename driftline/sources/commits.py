@@ -23,7 +23,7 @@ MANIFEST = "name string, labels string, least bigint, most bigint, rows bigint,
 
 @dataclass(frozen=True)
 class Part:
-    """``least`` and ``most`` bound the row identifiers; both are None where the part has none."""
+    """``least`` and ``most`` bound the row identifiers; both are None where the part has none, or none that are numbers."""
 
     name: str
     labels: dict
@@ -68,7 +68,9 @@ class PartTable:
 
         def commit(**labels) -> Part:
             # Read from the written part's identifiers: an observation of the write would be lost where the plan is found empty.
-            ids = self.spark.read.schema(self.schema).parquet(folder).agg(F.min(self.id_col), F.max(self.id_col), F.count(F.lit(1)))
+            written = self.spark.read.schema(self.schema).parquet(folder)
+            number = F.col(self.id_col) if dict(written.dtypes)[self.id_col] == "bigint" else F.lit(None).cast("bigint")
+            ids = written.agg(F.min(number), F.max(number), F.count(F.lit(1)))
             row = (name, json.dumps(labels, sort_keys=True), *ids.first(), datetime.now(timezone.utc))
             self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
             return Part(name, labels, *row[2:])
