@@ -90,18 +90,19 @@ def line_dedup(
     an empty result.
     """
     keyed = docs.withColumns({"__id": F.col(id_col), "__k": F.xxhash64(whole(text_col)), "__portion": F.pmod(F.spark_partition_id(), F.lit(PORTIONS))})
+    keyed = keyed.withColumn("__copy", F.monotonically_increasing_id())  # tells equal rows apart
     # All that follows meets the texts by document: dealt once, they are never moved again.
     own = StageTable(keyed.withColumn("__doc", F.xxhash64("__id", "__k", "__portion")), "documents", "__doc").df
     table = rarity_table(own, text_col)
     least = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1  # tokens of the prefix
     lines = own.select(
-        F.struct(F.col("__id").alias("id"), F.col("__k").alias("k")).alias("d"), F.col("__doc").alias("doc"), F.spark_partition_id().alias("run"),
+        F.struct(F.col("__id").alias("id"), F.col("__k").alias("k")).alias("d"), F.struct(F.col("__doc").alias("doc"), F.col("__copy").alias("copy")).alias("row"), F.spark_partition_id().alias("run"),
         F.posexplode_outer(F.split(whole(text_col), "\n", -1)).alias("no", "line"),
     ).withColumn("hashes", token_hashes(F.col("line")))
     lines = lines.withColumn("keys", token_keys(F.col("hashes"), table)).withColumn("n", F.size("keys"))
     held = StageTable(
         lines.select(
-            F.struct("d.id", "d.k", "no").alias("at"), "doc", "run", "n", F.xxhash64("keys").alias("sid"), F.hash("keys").alias("check"),
+            F.struct("d.id", "d.k", "no").alias("at"), "row", "run", "n", F.xxhash64("keys").alias("sid"), F.hash("keys").alias("check"),
             _bits(F.col("keys")).alias("bits"),
             # The least and the greatest hash are two min-hashes of the set.
             F.array(F.array_min("hashes"), F.array_max("hashes")).alias("lows"), F.transform(F.slice("keys", F.lit(1), F.greatest(least, F.lit(0))), lambda k: F.hash(k)).alias("prefix"),
@@ -112,35 +113,48 @@ def line_dedup(
     full = held.df.filter("n > 0")
     sets = StageTable(
         full.groupBy(*SET).agg(
-            F.min(F.struct("at", "doc")).alias("first"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("bits").alias("bits"),
+            F.min(F.struct("at", "row")).alias("first"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("bits").alias("bits"),
             F.first("lows").alias("lows"), F.first("prefix").alias("prefix"),
         ).select(*SET, "first.*", "lines", "n", "bits", "lows", "prefix"),
         "sets",
     )
 
-    def later(found: DataFrame) -> StageTable:
-        """The later set of each pair (a, b) of sids whose similarity, verified on their sets, reaches the threshold."""
-        pairs = StageTable(found, "pairs")
-        asked = pairs.df.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        places = sets.df.select(*SET, "at", "doc").join(asked, "sid")
-        wanted = places.groupBy("doc").agg(F.collect_list(F.struct("at", *SET)).alias("wants"))
-        texts = own.select("__doc", "__id", "__k", whole(text_col).alias("text"))
-        # The key is the only condition of the join, so the texts stay where they are; a strange document's lines are left out.
-        mine = F.filter("wants", lambda w: w["at"]["id"].eqNullSafe(F.col("__id")) & (w["at"]["k"] == F.col("__k")))
-        read = texts.join(wanted.withColumnRenamed("doc", "__doc").hint("shuffle_hash"), "__doc").select(
-            F.explode_outer(let(F.split("text", "\n", -1), lambda ls: F.transform(mine, lambda w: F.struct(w.alias("w"), F.get(ls, w["at"]["no"]).alias("line"))))).alias("s")
-        ).select("s.w.*", token_keys(token_hashes(F.col("s.line")), table).alias("keys")).filter("sid IS NOT NULL")
-        # Equal rows may share a key; their lines are the same, so any of them will do.
-        read = read.groupBy("sid", "check").agg(F.first("at").alias("at"), F.first("keys").alias("keys"))
-        both = pairs.df.join(read.alias("x"), F.col("a") == F.col("x.sid")).join(read.alias("y"), F.col("b") == F.col("y.sid"))
+    def verified(pairs: DataFrame) -> StageTable:
+        """The late sets of the pairs (late, early) of sids whose similarity, worked out from their lines, reaches the threshold."""
+        asked = pairs.select(F.explode(F.array("late", "early")).alias("sid")).distinct()
+        wanted = sets.df.select(*SET, "at.no", "row").join(asked, "sid").groupBy(F.col("row.doc").alias("__doc")).agg(
+            F.collect_list(F.struct("row.copy", "no", *SET)).alias("wants")
+        )
+        # The key is the only condition of the join, so the texts stay where they are; other rows with the key are left out.
+        mine = F.filter("wants", lambda w: w["copy"] == F.col("__copy"))
+        texts = own.select("__doc", "__copy", whole(text_col).alias("text")).join(wanted.hint("shuffle_hash"), "__doc")
+        read = texts.select(
+            F.explode_outer(let(F.split("text", "\n", -1), lambda ls: F.transform(mine, lambda w: F.struct(w["sid"].alias("sid"), w["check"].alias("check"), F.get(ls, w["no"]).alias("line"))))).alias("s")
+        ).select("s.sid", "s.check", token_keys(token_hashes(F.col("s.line")), table).alias("keys")).filter("sid IS NOT NULL")
+        both = pairs.join(read.alias("x"), F.col("late") == F.col("x.sid")).join(read.alias("y"), F.col("early") == F.col("y.sid"))
         common = F.size(F.array_intersect("x.keys", "y.keys"))
-        alike = both.select(
-            F.when(F.col("x.at") > F.col("y.at"), F.struct("x.sid", "x.check")).otherwise(F.struct("y.sid", "y.check")).alias("late"),
-            common.alias("common"), (F.size("x.keys") + F.size("y.keys") - common).alias("joined"),
-        ).filter(F.col("common") >= F.col("joined") * threshold - 1e-9)
-        verified = StageTable(alike.select("late.*").distinct(), "later")
-        pairs.drop()
-        return verified
+        alike = both.select("x.sid", "x.check", common.alias("common"), (F.size("x.keys") + F.size("y.keys") - common).alias("joined"))
+        return StageTable(alike.filter(F.col("common") >= F.col("joined") * threshold - 1e-9).select(*SET).distinct(), "verified")
+
+    def later(found: DataFrame) -> DataFrame:
+        """The later set of each pair (a, b) of sids whose similarity reaches the threshold.
+
+        One earlier match is enough, so each set is first compared with the earliest of its partners; only sets that are
+        not like that one are compared with the others.
+        """
+        places = sets.df.select("sid", "at")
+        first, second = (places.select(F.col("sid").alias(c), F.col("at").alias(f"at_{c}")) for c in ("a", "b"))
+        put = lambda late, early: F.struct(F.col(late).alias("late"), F.col(early).alias("early"), F.col(f"at_{early}").alias("at"))
+        in_order = F.when(F.col("at_a") > F.col("at_b"), put("a", "b")).otherwise(put("b", "a")).alias("p")
+        pairs = StageTable(found.join(first.hint("merge"), "a").join(second.hint("merge"), "b").select(in_order).select("p.*"), "pairs")
+        tried = StageTable(pairs.df.groupBy("late").agg(F.min(F.struct("at", "early")).alias("e")).select("late", "e.early"), "tried")
+        done = verified(tried.df)
+        others = pairs.df.select("late", "early").join(done.df.select(F.col("sid").alias("late")), "late", "left_anti")
+        others = StageTable(others.join(tried.df, ["late", "early"], "left_anti"), "others")
+        more = verified(others.df)
+        for table_ in (pairs, tried, others):
+            table_.drop()
+        return done.df.union(more.df)
 
     # Sets that are so small that one more token makes another set are only like equal ones.
     wide = F.col("n") >= (F.col("n") + 1) * threshold - 1e-9
@@ -154,7 +168,7 @@ def line_dedup(
 
     # The prefix join, for pairs with a set that is still open. A token of very many prefixes is a skewed key: its rows are
     # split by the adaptive join, each part of one side with all of the other.
-    marked = sets.df.filter(wide).join(closed.df.withColumn("closed", F.lit(True)), [*SET], "left").withColumn("open", F.col("closed").isNull())
+    marked = sets.df.filter(wide).join(closed.withColumn("closed", F.lit(True)), [*SET], "left").withColumn("open", F.col("closed").isNull())
     # A row has few and small fields, as these rows are most of what is shuffled: size, place and mark are one number.
     packed = F.col("n").cast("long") * (1 << 25) + F.col("place") * 2 + F.col("open").cast("int")
     rows = marked.select("sid", "n", "bits", "open", F.posexplode("prefix").alias("place", "token")).select("token", "sid", "bits", packed.alias("packed"))
@@ -170,16 +184,17 @@ def line_dedup(
         & _may_match("p", "q", threshold) & (after >= _common_needed(F.col("p.n"), F.col("q.n"), threshold)),
     )
     more = later(met.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")).distinct())
-    gone = closed.df.union(more.df).distinct()
+    gone = closed.union(more).distinct()
 
     # Lines that go: all but the first of a set, and the first too where the set has an earlier match.
     fate = sets.df.join(gone.withColumn("gone", F.lit(True)), [*SET], "left").filter("lines > 1 OR gone").select(*SET, F.col("at").alias("first"), "gone")
-    leaving = look_up(full.select("at", "doc", "run", *SET), fate, *SET).filter("first IS NOT NULL AND (gone OR at > first)")
-    by_doc = StageTable(leaving.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("at").alias("__leaving")), "leaving").df
-    for done in (held, sets, closed, more):
+    leaving = look_up(full.select("at", "row", "run", *SET), fate, *SET).filter("first IS NOT NULL AND (gone OR at > first)")
+    by_doc = StageTable(leaving.groupBy("row").agg(F.collect_set("at.no").alias("nos")).groupBy(F.col("row.doc").alias("__doc")).agg(
+        F.collect_list(F.struct("row.copy", "nos")).alias("__leaving")), "leaving").df
+    for done in (held, sets):
         done.drop()
-    mine = F.filter("__leaving", lambda at: at["id"].eqNullSafe(F.col("__id")) & (at["k"] == F.col("__k")))
-    joined = own.join(by_doc.hint("shuffle_hash"), "__doc", "left").withColumn("__nos", F.coalesce(F.transform(mine, lambda at: at["no"]), F.array().cast("array<int>")))
+    mine = F.get(F.filter("__leaving", lambda r: r["copy"] == F.col("__copy")), F.lit(0))["nos"]
+    joined = own.join(by_doc.hint("shuffle_hash"), "__doc", "left").withColumn("__nos", F.coalesce(mine, F.array().cast("array<int>")))
     text = F.when(F.size("__nos") == 0, F.col(text_col)).otherwise(_without(F.col(text_col), F.col("__nos")))
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (into, removed)]
     return joined.select(*kept, text.alias(into), F.size("__nos").cast("long").alias(removed))
