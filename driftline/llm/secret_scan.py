@@ -28,6 +28,30 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{16,}"
 IDENTIFIER = "[A-Za-z0-9+/_=-]{4,}"
 
 
+def running_sums(numbers: Column) -> Column:
+    """The sums of an array's first 1, 2, 3, ... numbers.
+
+    An array grows by being copied, so it is done in as many blocks as each block has numbers.
+    """
+
+    def within(block: Column) -> Column:
+        last = lambda so_far: F.coalesce(F.get(so_far, F.size(so_far) - 1), F.lit(0))
+        return F.aggregate(block, F.array().cast("array<int>"), lambda so_far, x: let(so_far, lambda s: F.concat(s, F.array(last(s) + x))))
+
+    def put_together(given: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(given))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.size(given) - 1, size), lambda at: within(F.slice(given, at + 1, size)))
+
+        def shifted(sums: Column) -> Column:
+            ends = within(F.transform(sums, lambda s: F.get(s, F.size(s) - 1)))
+            before = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+            return F.flatten(F.zip_with(sums, before, lambda s, more: F.transform(s, lambda x: x + more)))
+
+        return F.when(F.size(given) > 0, let(blocks, shifted)).otherwise(F.array().cast("array<int>"))
+
+    return let(numbers, put_together)
+
+
 def found(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     """All matches from left to right as (start, kind, end, value); places in code points, the end exclusive.
 
@@ -37,34 +61,11 @@ def found(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
     rank = KINDS.index(kind)
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-
-    def placed(parts: Column) -> Column:
-        def step(so_far: Column, i: Column) -> Column:
-            start = so_far["at"] + F.length(F.get(parts["gaps"], i))
-            return let(
-                start,
-                lambda s: F.struct(
-                    (s + F.length(F.get(parts["hits"], i))).alias("at"),
-                    F.concat(
-                        so_far["out"],
-                        F.array(
-                            F.struct(
-                                s.alias("start"), F.lit(rank).alias("kind"), (s + F.length(F.get(parts["hits"], i))).alias("end"),
-                                F.get(parts["values"], i).alias("value"),
-                            )
-                        ),
-                    ).alias("out"),
-                ),
-            )
-
-        walk = F.aggregate(
-            F.sequence(F.lit(0), F.size(parts["hits"]) - 1), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"]
-        )
-        return F.when(F.size(parts["hits"]) > 0, walk).otherwise(empty)
-
-    return F.when(
-        text.rlike(pattern), let(F.struct(gaps.alias("gaps"), hits.alias("hits"), values.alias("values")), placed)
-    ).otherwise(empty)
+    sizes = F.transform(hits, F.length)
+    ends = running_sums(F.zip_with(F.slice(F.transform(gaps, F.length), F.lit(1), F.size(hits)), sizes, lambda gap, size: gap + size))
+    lasts = F.zip_with(ends, sizes, lambda end, size: F.struct((end - size).alias("start"), F.lit(rank).alias("kind"), end.alias("end")))
+    spans = F.zip_with(lasts, values, lambda s, value: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), value.alias("value")))
+    return F.when(text.rlike(pattern), spans).otherwise(empty)
 
 
 def base_spans(text: Column) -> Column:
@@ -84,15 +85,13 @@ class MarkovModel:
     def ratio(self, value: Column) -> Column:
         """The ratio of a whole string. Characters outside the alphabet say nothing."""
         known, n = F.split(F.lit(",".join(map(str, self.ratios))), ",").cast("array<int>"), len(ALPHABET)
-        place = lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1)))
-        pairs = F.sequence(F.lit(1), F.length(value) - 1)
-        score = F.aggregate(
-            pairs, F.lit(0),
-            lambda so_far, i: so_far + F.coalesce(
-                F.when((place(i) > 0) & (place(i + 1) > 0), F.get(known, (place(i) - 1) * n + place(i + 1) - 1)), F.lit(0)
-            ),
-        )
-        return F.when(F.length(value) > 1, score).otherwise(0)
+        places = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+
+        def score(at: Column) -> Column:
+            pairs = F.zip_with(F.slice(at, F.lit(1), F.size(at) - 1), F.slice(at, F.lit(2), F.size(at) - 1), lambda a, b: F.when((a >= 0) & (b >= 0), F.get(known, a * n + b)))
+            return F.aggregate(pairs, F.lit(0), lambda so_far, r: so_far + F.coalesce(r, F.lit(0)))
+
+        return F.when(F.length(value) > 1, let(places, score)).otherwise(0)
 
 
 def train_markov(samples: DataFrame, smoothing: float = 1.0) -> MarkovModel:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +84,38 @@ def test_redaction_leaves_the_rest(spark, model):
             at = max(at, b)
         assert r["out"] == out + r["text"][at:]
         assert hashlib.sha256(r["text"].encode()).digest() == hashlib.sha256(r["out"].encode()).digest() or r["spans"]
+
+
+def brute_random(text, model):
+    """Candidates that touch no base span and whose ratio says random, in plain Python."""
+    taken, n = brute(text), len(S.ALPHABET)
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
+        at = [S.ALPHABET.index(c) for c in m.group()]
+        if sum(model.ratios[a * n + b] for a, b in zip(at, at[1:])) > model.threshold and not any(a < m.end() and b > m.start() for a, _, b in taken):
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_random_spans_like_brute_force(spark, model):
+    rng = random.Random(21)
+    texts = ODD + [t for _, t in rows() if t] + [" ".join(noise(rng, rng.randint(10, 60), "abcdefgh+/_=-0123XYZ") for _ in range(30)) for _ in range(20)]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in S.scan_secrets(documents(spark, list(enumerate(texts))), model).collect()}
+    assert all(got[i] == sorted(brute(t) + brute_random(t, model)) for i, t in enumerate(texts)) and sum(map(len, got.values())) > 100
+
+
+def test_sums(spark):
+    given = [[], [5], [1, 2], [0, 0, 3], [*range(10)], [1] * 101]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x array<int>")
+    got = [r["s"] for r in df.orderBy("i").select(S.running_sums(F.col("x")).alias("s")).collect()]
+    assert got == [[sum(x[: k + 1]) for k in range(len(x))] for x in given]
+
+
+def test_very_long_candidates_and_very_many_matches(spark, model):
+    """Both take time in proportion, or nearly: the first version took 80 s for 80,000 letters."""
+    rng = random.Random(5)
+    long, many = noise(rng, 2_000_000), " token=abcdef1" * 50_000
+    start = time.time()
+    got = {r["doc_id"]: r for r in S.scan_secrets(documents(spark, [(1, long), (2, many)]), model).select("doc_id", F.size("spans").alias("n"), F.get("spans", F.lit(0)).alias("s")).collect()}
+    assert time.time() - start < 120
+    assert tuple(got[1]["s"]) == (0, 3, 2_000_000) and got[2]["n"] == 50_000
