@@ -151,3 +151,24 @@ def _together(a, b, both, n):
 )
 def x5_trained(spark, sf):
     return sentence_statistics(table(spark, sf, "documents").select("text")).withColumn("score", F.round("score", 5))
+
+
+# Every fifth word of a text gets an ending, so that there are contractions to cut.
+_CONTRACTED = """regexp_replace(lower(text), '([a-z]+ [a-z]+ [a-z]+) ([a-z]+) ', '\\1n''t can''t \\2''ll CANNOT gonna ', 'g')"""
+
+
+@query(
+    "x6_contractions",
+    rf"""
+    WITH t AS (SELECT doc_id, {_CONTRACTED} AS text FROM documents),
+    marked AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '([\p{{L}}\p{{N}}])(n''t)', '\1' || chr(1) || '\2', 'g'),
+        '([\p{{L}}\p{{N}}])(''(?:s|m|d|re|ve|ll))([^\p{{L}}\p{{N}}])', '\1' || chr(1) || '\2\3', 'g'), '(?i)(can)(not)|(gon)(na)', '\1\3' || chr(1) || '\2\4', 'g') AS m FROM t)
+    SELECT doc_id AS row_id, array_to_string(regexp_extract_all(m, 'n''t|''(?:s|m|d|re|ve|ll)|[\p{{L}}\p{{N}}]+|[^\x01\s\x{{0B}}\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}\p{{L}}\p{{N}}]'), ' ') AS said, true AS whole FROM marked
+    """,
+)
+def x6_contractions(spark, sf):
+    """The words joined by blanks, and whether the pieces give the text back."""
+    text = F.regexp_replace(F.lower("text"), "([a-z]+ [a-z]+ [a-z]+) ([a-z]+) ", "$1n't can't $2'll CANNOT gonna ")
+    rows = documents(spark, sf).select("row_id", text.alias("text"))
+    whole = F.array_join(X.contraction_pieces(F.col("text")), "") == F.col("text")
+    return rows.select("row_id", X.join_words(X.contraction_words(F.col("text"))).alias("said"), whole.alias("whole"))

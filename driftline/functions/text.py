@@ -12,6 +12,9 @@ PUNCTUATION_PATTERN = r"[!-/:-@\[-`{-~]+"
 WHITE = r"[\s\x0B\x1c-\x1f\x85\p{Z}]"
 SENTENCE_MARK = "\u0001"
 WORD_PATTERN = r"[\p{L}\p{N}]+|[^\s\x0B\x1c-\x1f\x85\p{Z}\p{L}\p{N}]"
+WORD_START, WORD_END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+# Words that treebanks cut in two.
+TWO_IN_ONE = (("can", "not"), ("gon", "na"), ("got", "ta"), ("wan", "na"), ("gim", "me"), ("lem", "me"))
 PIECE_PATTERN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]"
 
 
@@ -57,6 +60,24 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECE_PATTERN), F.lit(0))
 
 
+def _contractions(text: Column, other: str) -> Column:
+    """The rules in their order: the part of a word before its ending, the ending, words of two, other words, ``other``."""
+    before = rf"[\p{{L}}\p{{N}}]+?(?=n['’]t{WORD_END})"
+    endings = rf"(?<=\p{{L}})n['’]t{WORD_END}|(?<=[\p{{L}}\p{{N}}])['’](?:s|m|d|re|ve|ll){WORD_END}"
+    firsts = "|".join(rf"{WORD_START}{a}(?={b}{WORD_END})" for a, b in TWO_IN_ONE)
+    return F.regexp_extract_all(text, F.lit(rf"(?i)(?:{before}|{endings}|{firsts}|[\p{{L}}\p{{N}}]+|{other})"), F.lit(0))
+
+
+def contraction_words(text: Column) -> Column:
+    """As ``words``, with contractions cut as treebanks do: ``do n't``, ``it 's``, ``can not``, ``gon na``."""
+    return _contractions(text, WORD_PATTERN.split("|")[1])
+
+
+def contraction_pieces(text: Column) -> Column:
+    """As ``contraction_words`` but white space is kept, so joining the pieces gives the text back."""
+    return _contractions(text, PIECE_PATTERN.split("|")[1])
+
+
 def rows_of(array: Column) -> Column:
     """A generator (pos, item) for an array column; use it with ``where("pos IS NOT NULL")``.
 

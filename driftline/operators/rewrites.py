@@ -43,6 +43,8 @@ class Edit:
 
 
 ROW = "row_id"
+#: What is added to a row's number for each further round of draws.
+ROUND_STEP = 7_368_787
 
 
 def input_at(index: int) -> Column:
@@ -363,8 +365,14 @@ def distinct_indices(row: Column, count: Column, size: int, seed: int) -> Column
 
 
 def _random_partners(df: DataFrame, edit: Edit, kws: str, index: int, salt: int, out: str) -> DataFrame:
-    count = F.least(F.size(kws), F.lit(edit.words.size))
-    picked = distinct_indices(F.col(ROW), count, edit.words.size, edit.seed_at(index, salt))
+    """A word for each keyword. No word comes twice before all have come; then the next round begins, in another order."""
+    size, seed = edit.words.size, edit.seed_at(index, salt)
+
+    def round_(n: Column) -> Column:
+        return distinct_indices(F.col(ROW).cast("bigint") + n * ROUND_STEP, F.least(F.size(kws) - n * size, F.lit(size)).cast("int"), size, seed)
+
+    rounds = F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(kws) - 1) / size).cast("int")), round_))
+    picked = F.when(F.size(kws) > size, rounds).otherwise(distinct_indices(F.col(ROW), F.size(kws), size, seed))
     return edit.words.pick_many(df, picked, out, ROW)
 
 

@@ -104,3 +104,17 @@ def test_selection_takes_exactly_the_asked_number(spark):
 def test_huge_row_ids_do_not_overflow(spark):
     df = spark.createDataFrame([(9_223_372_036_854_775_807,), (-5,)], "id bigint")
     assert all(0 <= r[0] < 2147483647 for r in df.select(draw(F.col("id"), F.lit(1), 1)).collect())
+
+
+def test_contractions_and_their_inverse(spark):
+    from driftline.functions.text import contraction_pieces, contraction_words
+
+    cases = {
+        "I don't, can't": ["I", "do", "n't", ",", "ca", "n't"], "We'll CANNOT they’re": ["We", "'ll", "CAN", "NOT", "they", "’re"],
+        "gonna gonnas wanna cannots": ["gon", "na", "gonnas", "wan", "na", "cannots"], "n't 's 'tis o'clock": ["n", "'", "t", "'", "s", "'", "tis", "o", "'", "clock"],
+        "it's'd 90's rock'n'roll": ["it", "'s", "'d", "90", "'s", "rock", "'", "n", "'", "roll"], "": [], " \n ": [], "don't've": ["do", "n't", "'ve"], "Ünïcö'm 漢字'll": ["Ünïcö", "'m", "漢字", "'ll"],
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    for r in df.select("t", contraction_words(F.col("t")).alias("w"), contraction_pieces(F.col("t")).alias("p")).collect():
+        assert r["w"] == cases[r["t"]], r["t"]
+        assert "".join(r["p"]) == r["t"] and [p for p in r["p"] if p.strip()] == r["w"]

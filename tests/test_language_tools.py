@@ -155,3 +155,20 @@ def test_a_frequent_word_is_asked_for_in_portions(spark):
     table = spark.createDataFrame([("river", "rivr")], "word string, misspelling string")
     got = {r["row_id"]: r["out"] for r in misspell(df, F.col("text"), F.col("row_id"), 3, table, "out", "row_id", share=0.5).collect()}
     assert got[500] is None and got[501] == "" and all(got[i].split().count("rivr") == 10 and got[i].split().count("river") == 10 for i in range(200))
+
+
+# Random words
+
+
+def test_more_keywords_than_words_get_a_word_each(spark):
+    from driftline.operators.pools import Pool
+    from driftline.operators.rewrites import _random_partners
+
+    pool = Pool.of(spark.createDataFrame([(w,) for w in "xyz"], "w string"), "w")
+    rows = [(i, [f"k{j}" for j in range(i)]) for i in range(12)] + [(50, None)]
+    df = spark.createDataFrame(rows, "row_id bigint, kw array<string>")
+    got = {r["row_id"]: r["to"] for r in _random_partners(df, Edit(words=pool), "kw", 0, 1, "to").collect()}
+    assert got[50] in (None, []) and all(len(got[i]) == i for i in range(12))
+    for i in range(12):
+        assert all(sorted(got[i][at : at + 3]) == ["x", "y", "z"] for at in range(0, i - 2, 3)) and len(set(got[i][i // 3 * 3 :])) == i % 3
+    assert len({tuple(got[i][at : at + 3]) for i in range(12) for at in range(0, i - 2, 3)}) > 2
