@@ -39,7 +39,7 @@ def token_hashes(line: Column) -> Column:
 
 
 def rarity_table(texts: DataFrame, text_col: str) -> Column:
-    """For each counter the logarithm of how many tokens it has counted, in half powers of two, as the high byte of a key.
+    """For each counter the logarithm of how many tokens it has counted, in half powers of two.
 
     The array is told as one text, which the optimizer turns into a constant: a literal for each counter takes seconds.
     """
@@ -47,7 +47,7 @@ def rarity_table(texts: DataFrame, text_col: str) -> Column:
     counted = tokens.groupBy(F.xxhash64("t").bitwiseAND(F.lit(COUNTERS - 1)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
     table = [0] * COUNTERS
     for row in counted.collect():  # COUNTERS rows at most
-        table[row["c"]] = min(127, int(2 * math.log2(1 + row["n"]))) << 56
+        table[row["c"]] = min(127, int(2 * math.log2(1 + row["n"])))
     return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
 
 
@@ -56,7 +56,7 @@ def token_keys(hashes: Column, table: Column) -> Column:
     none = F.lit(0).cast("long")
     # Without nulls the numbers are sorted as they are, which takes a fraction of the time.
     rarity = lambda h: F.coalesce(F.get(table, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")), none)
-    return F.sort_array(F.transform(hashes, lambda h: rarity(h).bitwiseOR(h.bitwiseAND(F.lit(LOW)))))
+    return F.sort_array(F.transform(hashes, lambda h: F.call_function("shiftleft", rarity(h), F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit(LOW)))))
 
 
 def _bits(keys: Column) -> Column:
