@@ -73,3 +73,32 @@ def test_empty_tables(spark, place):
 def test_stages_call_their_operators():
     assert [name for name, _ in P.STAGES] == ["quality classifier", "line dedup", "n-gram Jaccard join", "secret scans", "best-fit packing"]
     assert line_dedup.line_dedup.__defaults__[0] == ngram_join.ngram_join.__defaults__[1] == 0.8
+
+
+def test_equal_rows_keep_the_first_in_order_of_columns(spark):
+    rows = [(1, prose(1, 40), "en", "b", 9), (1, prose(1, 40), "en", "a", 9), (1, prose(2, 40), "en", "z", 9), (None, prose(3, 40), None, None, None), (None, None, "x", "y", 0)]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(map(tuple, P.near_copies_stage(spark, docs, TESTDATA).collect()), key=repr)
+    assert got == sorted({rows[1], *rows[2:]}, key=repr)
+
+
+ODD = [(1, None), (2, ""), (3, " \n\t"), (4, prose(1, 9000)), (5, "x" * 70_000), (None, prose(2, 30)), (None, None), (7, prose(3, 30)), (7, prose(3, 30)), (8, prose(3, 30))]
+
+
+@pytest.mark.parametrize("name", [name for name, _ in P.STAGES])
+def test_stages_take_odd_rows_and_empty_tables(spark, name):
+    stage, odd = dict(P.STAGES)[name], docs_of(spark, ODD)
+    out = stage(spark, odd, TESTDATA).collect()
+    known = {i for i, _ in ODD}
+    assert out and {r["doc_id"] for r in out} <= known
+    if name not in ("quality classifier",):
+        assert {4, 5} <= {r["doc_id"] for r in out}
+    if name != P.STAGES[-1][0]:
+        assert stage(spark, odd, TESTDATA).columns == odd.columns
+    assert stage(spark, odd.limit(0), TESTDATA).count() == 0
+
+
+@pytest.mark.parametrize("name", [name for name, _ in P.STAGES[:-1]])
+def test_stages_take_other_columns_with_clashing_names(spark, name):
+    odd = docs_of(spark, ODD[3:8]).withColumns({c: F.lit(7) for c in ("run", "node", "keys", "sid", "n", "spans", "score", "class", "place", "no")})
+    assert dict(P.STAGES)[name](spark, odd, TESTDATA).columns == odd.columns
