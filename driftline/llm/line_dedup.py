@@ -59,10 +59,11 @@ def token_keys(hashes: Column, table: Column) -> Column:
     return F.sort_array(F.transform(hashes, lambda h: F.call_function("shiftleft", rarity(h), F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit(LOW)))))
 
 
-def _bits(keys: Column) -> Column:
-    """Bit i tells whether an odd number of tokens has hash i."""
+def _bits(keys: Column, at: int = 0) -> Column:
+    """Bit i tells whether an odd number of tokens has hash i; six bits of the keys, from ``at`` on, are the hash."""
     one = F.lit(1).cast("long")
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda so_far, k: so_far.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))))
+    place = lambda k: (F.shiftright(k, at) if at else k).bitwiseAND(F.lit(63)).cast("int")
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda so_far, k: so_far.bitwiseXOR(F.call_function("shiftleft", one, place(k))))
 
 
 def _common_needed(a: Column, b: Column, threshold: float) -> Column:
@@ -70,11 +71,15 @@ def _common_needed(a: Column, b: Column, threshold: float) -> Column:
     return F.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9)
 
 
+def _close(a: Column, b: Column, n: Column, m: Column, threshold: float) -> Column:
+    """Parity filter: sets of sizes n and m that are alike differ in few tokens, so few of their bits differ."""
+    return F.bit_count(a.bitwiseXOR(b)) <= n + m - 2 * _common_needed(n, m, threshold)
+
+
 def _may_match(a: str, b: str, threshold: float) -> Column:
     """Length filter and parity filter."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
-    return (n >= threshold * m - 1e-9) & (m >= threshold * n - 1e-9) & (apart <= n + m - 2 * _common_needed(n, m, threshold))
+    return (n >= threshold * m - 1e-9) & (m >= threshold * n - 1e-9) & _close(F.col(f"{a}.bits"), F.col(f"{b}.bits"), n, m, threshold)
 
 
 def line_dedup(
@@ -103,7 +108,7 @@ def line_dedup(
     held = StageTable(
         lines.select(
             F.struct("d.id", "d.k", "no").alias("at"), "row", "run", "n", F.xxhash64("keys").alias("sid"), F.hash("keys").alias("check"),
-            _bits(F.col("keys")).alias("bits"),
+            _bits(F.col("keys")).alias("bits"), F.array(*[_bits(F.col("keys"), at) for at in (6, 12, 18)]).alias("more_bits"),
             # The least and the greatest hash are two min-hashes of the set.
             F.array(F.array_min("hashes"), F.array_max("hashes")).alias("lows"), F.transform(F.slice("keys", F.lit(1), F.greatest(least, F.lit(0))), lambda k: F.hash(k)).alias("prefix"),
         ),
@@ -113,9 +118,9 @@ def line_dedup(
     full = held.df.filter("n > 0")
     sets = StageTable(
         full.groupBy(*SET).agg(
-            F.min(F.struct("at", "row")).alias("first"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("bits").alias("bits"),
+            F.min(F.struct("at", "row")).alias("first"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("more_bits").alias("more_bits"),
             F.first("lows").alias("lows"), F.first("prefix").alias("prefix"),
-        ).select(*SET, "first.*", "lines", "n", "bits", "lows", "prefix"),
+        ).select(*SET, "first.*", "lines", "n", "bits", "more_bits", "lows", "prefix"),
         "sets",
     )
 
@@ -142,11 +147,14 @@ def line_dedup(
         One earlier match is enough, so each set is first compared with the earliest of its partners; only sets that are
         not like that one are compared with the others.
         """
-        places = sets.df.select("sid", "at")
-        first, second = (places.select(F.col("sid").alias(c), F.col("at").alias(f"at_{c}")) for c in ("a", "b"))
+        # More parities, which only found pairs carry, leave out most of those that are nearly alike.
+        places = sets.df.select("sid", "at", F.struct("n", "more_bits").alias("s"))
+        first, second = (places.select(F.col("sid").alias(c), F.col("at").alias(f"at_{c}"), F.col("s").alias(f"s_{c}")) for c in ("a", "b"))
+        bits = lambda c, i: F.get(F.col(f"s_{c}")["more_bits"], F.lit(i))
+        near_enough = [_close(bits("a", i), bits("b", i), F.col("s_a")["n"], F.col("s_b")["n"], threshold) for i in range(3)]
         put = lambda late, early: F.struct(F.col(late).alias("late"), F.col(early).alias("early"), F.col(f"at_{early}").alias("at"))
         in_order = F.when(F.col("at_a") > F.col("at_b"), put("a", "b")).otherwise(put("b", "a")).alias("p")
-        pairs = StageTable(found.join(first.hint("merge"), "a").join(second.hint("merge"), "b").select(in_order).select("p.*"), "pairs")
+        pairs = StageTable(found.join(first.hint("merge"), "a").join(second.hint("merge"), "b").filter(near_enough[0] & near_enough[1] & near_enough[2]).select(in_order).select("p.*"), "pairs")
         tried = StageTable(pairs.df.groupBy("late").agg(F.min(F.struct("at", "early")).alias("e")).select("late", "e.early"), "tried")
         done = verified(tried.df)
         others = pairs.df.select("late", "early").join(done.df.select(F.col("sid").alias("late")), "late", "left_anti")
