@@ -20,17 +20,25 @@ def refuse_some(chats):
 
 
 class AnswerSecondTime:
-    """Every first try fails; questions whose length is a multiple of five fail always."""
+    """Every first try fails; questions whose length is a multiple of five fail always.
+
+    Only texts that wait for their second try are remembered, so a task holds those of one batch, not all of its texts.
+    """
 
     def __init__(self):
         self.seen = set()
 
     def __call__(self, chats):
-        out = []
+        waiting, out = set(), []
         for chat in chats:
             text = chat[-1]["content"]
-            out.append(f"n={len(text)}" if text in self.seen and len(text) % 5 else RuntimeError("try again"))
-            self.seen.add(text)
+            if len(text) % 5 and text in self.seen:
+                out.append(f"n={len(text)}")
+                continue
+            out.append(RuntimeError("try again"))
+            if len(text) % 5:
+                waiting.add(text)
+        self.seen = waiting
         return out
 
 

@@ -1,8 +1,9 @@
-"""The test doubles read a text once per answer."""
+"""The test doubles read a text once per answer, and remember no more of the questions than they need."""
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks.batch_doubles import AnswerSecondTime
 from checks.doubles import _rate
 
 TEXTS = ["", "123", "abc xyz", "ÀB.c! n", "m" * 300, "zzz a", "İstanbul ẞ", "😀 Ab"]
@@ -23,3 +24,13 @@ def test_a_rule_reads_its_text_once(spark, rule, name, times):
 def test_rates_are_the_share_of_letters(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "i int, t string").select("i", _rate(F.col("t")).alias("r"))
     assert [r["r"] for r in df.orderBy("i").collect()] == [python_rate(t) for t in TEXTS]
+
+
+def test_only_questions_that_wait_are_remembered():
+    model, chats = AnswerSecondTime(), [[{"content": "x" * n}] for n in range(1, 8)]
+    for _ in range(2):
+        for _ in range(3):
+            answers = model(chats)
+            chats = [c for c, a in zip(chats, answers) if not isinstance(a, str)]
+        assert [len(c[0]["content"]) for c in chats] == [5] and not model.seen
+        chats = [[{"content": "y" * n}] for n in range(1, 8)]
