@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.batch_doubles import AnswerSecondTime
-from checks.doubles import _rate
+from checks.doubles import _infer, _rate
+from driftline.functions import text as X
 
 TEXTS = ["", "123", "abc xyz", "ÀB.c! n", "m" * 300, "zzz a", "İstanbul ẞ", "😀 Ab"]
 
@@ -15,7 +16,7 @@ def python_rate(t):
 
 
 @pytest.mark.parametrize(
-    "rule, name, times", [(lambda c: _rate(c), "lower(", 1)]
+    "rule, name, times", [(lambda c: _rate(c), "lower(", 1), (lambda c: _infer(c, F.lit("h")), "array_intersect(", 1)]
 )
 def test_a_rule_reads_its_text_once(spark, rule, name, times):
     assert str(rule(F.col("t"))).lower().count(name) == times
@@ -26,6 +27,17 @@ def test_rates_are_the_share_of_letters(spark):
     assert [r["r"] for r in df.orderBy("i").collect()] == [python_rate(t) for t in TEXTS]
 
 
+def test_cleaning_uses_one_pattern_and_agrees_with_two_on_every_character(spark):
+    assert str(X.clean_text(F.col("t"))).count("regexp_replace") == 1
+    points = spark.range(0x110000).where("id < 55296 OR id > 57343")
+    point = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "utf-32")
+    texts = points.select(F.concat_ws("", F.lit("a"), point, F.lit("B "), point, F.lit(" "), point, point, F.lit("\td"), point).alias("t"))
+    bare = F.regexp_replace(F.lower("t"), X.PUNCTUATION_PATTERN, "")
+    two = F.trim(F.regexp_replace(bare, f"{X.WHITE}+", " "))
+    assert texts.count() == 0x110000 - 2048
+    assert texts.where(~X.clean_text(F.col("t")).eqNullSafe(two)).count() == 0
+
+
 def test_only_questions_that_wait_are_remembered():
     model, chats = AnswerSecondTime(), [[{"content": "x" * n}] for n in range(1, 8)]
     for _ in range(2):
