@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.batch_doubles import AnswerSecondTime
-from checks.doubles import _infer, _rate
+from checks.doubles import _infer, _rate, _relate
 from driftline.functions import text as X
 
 TEXTS = ["", "123", "abc xyz", "ÀB.c! n", "m" * 300, "zzz a", "İstanbul ẞ", "😀 Ab"]
@@ -16,7 +16,7 @@ def python_rate(t):
 
 
 @pytest.mark.parametrize(
-    "rule, name, times", [(lambda c: _rate(c), "lower(", 1), (lambda c: _infer(c, F.lit("h")), "array_intersect(", 1)]
+    "rule, name, times", [(lambda c: _rate(c), "lower(", 1), (lambda c: _infer(c, F.lit("h")), "array_intersect(", 1), (lambda c: _relate(c, F.lit("h"), F.lit("t")), "instr(", 2)]
 )
 def test_a_rule_reads_its_text_once(spark, rule, name, times):
     assert str(rule(F.col("t"))).lower().count(name) == times
