@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterable, Iterator
-
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from driftline.session import work_folder
-
-
-_DATABASES: dict[str, str] = {}
+from driftline.operators.batches import slices  # noqa: F401
+from driftline.session import StageTable, work_folder  # noqa: F401
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -25,38 +18,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def _stage_database(spark: SparkSession) -> str:
-    """A database of this application whose tables lie in the cluster's shared folder, so that dropping one deletes its files."""
-    app = spark.sparkContext.applicationId
-    if app not in _DATABASES:
-        name = f"driftline_{uuid.uuid4().hex}"
-        spark.sql(f"CREATE DATABASE {name} LOCATION '{work_folder(spark, 'tables')}'")
-        _DATABASES[app] = name
-    return _DATABASES[app]
-
-
-class StageTable:
-    """A stage table that is dropped, with its files, when it has done its service.
-
-    With a `key` it is dealt by the hash of that column and joins on it without being moved again.
-    """
-
-    def __init__(self, df: DataFrame, name: str, key: str | None = None):
-        self.spark = df.sparkSession
-        self.name = f"{_stage_database(self.spark)}.{name}_{uuid.uuid4().hex}"
-        if key is None:
-            writer = df.write
-        else:
-            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            writer = df.repartition(buckets, key).write.bucketBy(buckets, key)
-        writer.format("parquet").option("compression", "zstd").saveAsTable(self.name)
-        self.spark.sparkContext._jvm.System.gc()  # as in staged()
-        self.df = self.spark.table(self.name)
-
-    def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,23 +27,6 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def slices(batches: Iterable, most_bytes: int = 4 << 20) -> Iterator:
-    """The rows of Arrow batches again, in slices that hold about `most_bytes` of text each (of the first column).
-
-    So temporary arrays stay small, whatever the session's batch size. A batch is one array or a tuple of columns.
-    """
-    for batch in batches:
-        columns = batch if isinstance(batch, tuple) else (batch,)
-        start, held = 0, 0
-        for i, n in enumerate(pc.binary_length(columns[0]).fill_null(0).to_pylist() + [most_bytes + 1]):
-            if i > start and held + n > most_bytes:
-                part = tuple(c.slice(start, i - start) for c in columns)
-                yield part if isinstance(batch, tuple) else part[0]
-                start, held = i, 0
-            held += n
-        pa.default_memory_pool().release_unused()
-
-
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The pieces flat[starts[i] : starts[i] + lengths[i]] behind each other."""
     if not len(lengths):

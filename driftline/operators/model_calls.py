@@ -203,11 +203,15 @@ def ask(
     keep_status: bool = False,
     hot_minimum: int = HOT_MINIMUM,
     each: Column | None = None,
+    told_apart: list[str] | None = None,
 ) -> DataFrame:
     """Add the model's answer as column ``out``; rows where ``when`` is not true are not asked and get null.
 
     Nor is a row asked that lacks one of the inputs: it may come from a call that failed, and a question about an empty
     text would get an answer that looks real. Equal questions are asked once; with ``each`` once for each of its values.
+
+    ``told_apart`` are columns that tell the rows apart, for rows that come from a table ``dealt`` by the first of them: only
+    keys and answers are moved then. Each question is put by one of its rows, and the answers come to the rows.
     """
     when = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
     for i in inputs:
@@ -223,27 +227,44 @@ def ask(
 
     # One row per distinct question with its number of rows, written so that nothing below recomputes it.
     asked_path = work_folder(spark, "questions")
-    (
-        keyed.where(F.col("_key").isNotNull())
-        .select(
-            F.col("_key").alias("key"),
-            purpose.alias("purpose"),
-            F.array(*[F.coalesce(i, F.lit("")) for i in inputs]).alias("inputs"),
+    filled = [F.coalesce(i, F.lit("")) for i in inputs]
+    if told_apart:
+        places_path = work_folder(spark, "places")
+        own = keyed.where(F.col("_key").isNotNull()).select(*told_apart, "_key", purpose.alias("_purpose"))
+        own.write.parquet(places_path)
+        places = spark.read.schema(own.schema).parquet(places_path)
+        by_key = places.groupBy(F.col("_key").alias("key"), F.col("_purpose").alias("purpose"))
+        by_key.agg(F.count("*").alias("n"), F.min(F.struct(*told_apart)).alias("first")).write.parquet(asked_path)
+    else:
+        (
+            keyed.where(F.col("_key").isNotNull())
+            .select(F.col("_key").alias("key"), purpose.alias("purpose"), F.array(*filled).alias("inputs"))
+            .groupBy("key", "purpose", "inputs")
+            .agg(F.count("*").alias("n"))
+            .write.parquet(asked_path)
         )
-        .groupBy("key", "purpose", "inputs")
-        .agg(F.count("*").alias("n"))
-        .write.parquet(asked_path)
-    )
     asked = spark.read.parquet(asked_path)
 
+    def chats_of(part: DataFrame) -> DataFrame:
+        """(key, purpose, chat) in as many partitions as may call the endpoint."""
+        if not told_apart:
+            prompt_inputs = [F.get("inputs", F.lit(i)) for i in range(len(inputs))]
+            chats = part.select("key", "purpose", messages(template, prompt_inputs).alias("chat"))
+            return chats.repartition(model.parallelism, "key")
+        at = told_apart[0]
+        by_row = part.select("first", "key", "purpose").groupBy(F.col(f"first.{at}").alias(at)).agg(F.collect_list(F.struct("first", "key", "purpose")).alias("_wants"))
+        put = df.join(by_row.hint("shuffle_hash"), at)
+        mine = F.get(F.filter("_wants", lambda w: w["first"] == F.struct(*told_apart)), F.lit(0))
+        chats = put.select(mine.alias("_mine"), F.array(*filled).alias("_inputs")).where("_mine IS NOT NULL")
+        prompt_inputs = [F.get("_inputs", F.lit(i)) for i in range(len(inputs))]
+        return chats.select("_mine.key", "_mine.purpose", messages(template, prompt_inputs).alias("chat")).coalesce(model.parallelism)
+
     known = _known_answers(store, model, asked)
     open_questions = asked if known is None else asked.join(known, "key", "left_anti")
-    prompt_inputs = [F.get("inputs", F.lit(i)) for i in range(len(inputs))]
     for round_ in range(model.rounds):
         for chunk in range(model.chunks):
             part = open_questions.where(F.pmod(F.xxhash64("key"), F.lit(model.chunks)) == chunk)
-            chats = part.select("key", "purpose", messages(template, prompt_inputs).alias("chat"))
-            answered = call_batches(chats.repartition(model.parallelism, "key"), model, round_).withColumn("model", F.lit(model.name))
+            answered = call_batches(chats_of(part), model, round_).withColumn("model", F.lit(model.name))
             if model.rounds == 1:
                 store.append(answered.where("status <> 'error'"))
             else:
@@ -268,10 +289,23 @@ def ask(
     # taken for the same scan (equal root path) and the later one answered with the files of the earlier one.
     answers_path = work_folder(spark, "stage-answers")
     answers.write.parquet(answers_path)
-    result = join_answers(keyed, spark.read.parquet(answers_path), out, hot_minimum)
+    answers = spark.read.parquet(answers_path)
+    if told_apart:
+        result = _bring_answers(df, join_answers(places.drop("_purpose"), answers, out, hot_minimum), out, told_apart)
+    else:
+        result = join_answers(keyed, answers, out, hot_minimum)
     return result if keep_status else result.drop(f"{out}_status")
 
 
+def _bring_answers(df: DataFrame, answered: DataFrame, out: str, told_apart: list[str]) -> DataFrame:
+    """Join (*told_apart, out, status) to rows that are dealt by the first of these columns: the rows stay where they are."""
+    at, more = told_apart[0], told_apart[1:]
+    told = answered.groupBy(at).agg(F.collect_list(F.struct(*more, out, f"{out}_status")).alias("_told"))
+    mine = F.get(F.filter("_told", lambda t: F.struct(*[t[c] for c in more]) == F.struct(*more)) if more else F.col("_told"), F.lit(0))
+    joined = df.join(told.hint("shuffle_hash"), at, "left").withColumn("_told", mine)
+    return joined.withColumns({c: F.col("_told")[c] for c in (out, f"{out}_status")}).select(*df.columns, out, f"{out}_status")
+
+
 def _commit_round(answered: DataFrame, model: BatchModel, store: AnswerStore) -> None:
     """Write what a round was told once, then keep the answers and put the failures off."""
     path = work_folder(answered.sparkSession, "round")

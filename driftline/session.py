@@ -8,8 +8,9 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+_DATABASES: dict[str, str] = {}
 _OWN_FOLDERS: dict[str, str] = {}
 _SHIPPED: set[tuple[str, str]] = set()
 
@@ -49,6 +50,46 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _stage_database(spark: SparkSession) -> str:
+    """A database of this application whose tables lie in the cluster's shared folder, so that dropping one deletes its files."""
+    app = spark.sparkContext.applicationId
+    if app not in _DATABASES:
+        name = f"driftline_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE DATABASE {name} LOCATION '{work_folder(spark, 'tables')}'")
+        _DATABASES[app] = name
+    return _DATABASES[app]
+
+
+class StageTable:
+    """A stage table that is dropped, with its files, when it has done its service.
+
+    With a `key` it is dealt by the hash of that column and joins on it without being moved again.
+    """
+
+    def __init__(self, df: DataFrame, name: str, key: str | None = None):
+        self.spark = df.sparkSession
+        self.name = f"{_stage_database(self.spark)}.{name}_{uuid.uuid4().hex}"
+        if key is None:
+            writer = df.write
+        else:
+            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            writer = df.repartition(buckets, key).write.bucketBy(buckets, key)
+        writer.format("parquet").option("compression", "zstd").saveAsTable(self.name)
+        self.spark.sparkContext._jvm.System.gc()  # what was shuffled for the table goes now
+        self.df = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def dealt(df: DataFrame, name: str = "dealt") -> DataFrame:
+    """The rows as a stage table, each with a number of its own (``_at``) and dealt by it.
+
+    What is joined by ``_at`` alone comes to the rows: long texts are moved this once and never again.
+    """
+    return StageTable(df.withColumn("_at", F.monotonically_increasing_id()), name, "_at").df
+
+
 def ship_packages(spark: SparkSession, *names: str) -> None:
     """Send the given Python packages to the executors, once per application.
 
