@@ -739,8 +739,7 @@ def e8(spark, sf):
     views=("nli_raw",), tail=records_tail("s0, s1"),
 ))
 def e15(spark, sf):
-    long = R.run_task(inference_rows(spark, sf), [MODEL], NLI, tests_of(spark, NLI, [102, 79, 10]), resources(spark, sf))
-    return record_rows(R.records(long))
+    return record_rows(R.run_records(inference_rows(spark, sf), MODEL, NLI, tests_of(spark, NLI, [102, 79, 10]), resources(spark, sf)))
 
 
 def labelled(spark, sf, rows):

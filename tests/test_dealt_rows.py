@@ -5,7 +5,10 @@ import re
 from pyspark.sql import functions as F
 
 from checks.batch_doubles import batch_model, length_of_last_quote
-from checks.doubles import ENCODER, HELPER
+from checks.doubles import ENCODER, HELPER, MODEL
+from driftline.functions.draws import seed_for
+from driftline.operators.char_edits import _edit_one, edit_characters
+from driftline.operators.local_edits import misspell
 from driftline.operators.model_calls import AnswerStore, ask
 from driftline.plans import run as R
 from driftline.plans.catalog import SENTIMENT, load_tests, merged_catalog
@@ -51,3 +54,20 @@ def test_a_run_with_a_batch_model_moves_no_texts(spark):
         rows = out.collect()
         assert len(rows) == 2 * len(TEXTS)
         assert {r["followup_output"] for r in rows if r["source_input"][0] == "Other b."} == {"n=8"}
+
+
+def test_records_move_no_texts(spark):
+    tests = sentiment_tests(spark, 49, 102)
+    unlike = spark.createDataFrame([(1, "One a."), (2, "Other b."), (None, "Third c."), (3, None)], "row_id bigint, text string")
+    rows = unlike.select("row_id", F.array("text").alias("inputs"))
+    out = R.run_records(rows, MODEL, SENTIMENT, tests, R.Resources(HELPER, ENCODER))
+    assert not {"inputs", "source_input", "followup_input", "variants"} & {c.split("#")[0].strip() for c in moved(out).split(",")}
+
+
+def test_records_are_those_of_the_long_form(spark):
+    tests, res = sentiment_tests(spark, 49, 102), R.Resources(HELPER, ENCODER)
+    plain = texts(spark).where("row_id = 1 OR row_id > 2 OR row_id IS NULL")
+    for rows in (plain, plain.where("row_id > 2"), plain.limit(0)):
+        expected = R.records(R.run_task(rows, [MODEL], SENTIMENT, tests, res)).drop("source_input", "followup_inputs")
+        found = R.run_records(rows, MODEL, SENTIMENT, tests, res)
+        assert sorted(found.select(*expected.columns).collect(), key=repr) == sorted(expected.collect(), key=repr)
