@@ -228,27 +228,32 @@ def misspell(
     """A share of the words, each looked up in a table (word, misspelling) with one entry per word.
 
     Only chosen words leave their row. A word that a third of them are is asked for in SPLITS portions, each of which asks
-    the table once, so neither the table nor the rows of one word come to one task.
+    the table once, so neither the table nor the rows of one word come to one task. The pieces are cut once more where the
+    words come back: of a row only its own columns are moved.
     """
-    flagged = edit_chosen(
-        F.transform(pieces(text), lambda p: F.struct(p.alias("piece"), F.lit(None).cast("string").alias("word"))),
-        row,
-        seed,
-        full_share(share),
-        lambda s, k: F.struct(s["piece"].alias("piece"), F.lower(s["piece"]).alias("word")),
-        eligible=lambda s: is_word(s["piece"]),
-    )
-    df = df.withColumn("_pieces", F.transform(flagged, lambda s, i: F.struct(i.alias("pos"), s["piece"].alias("piece"), s["word"].alias("word"))))
-    chosen = df.select(key, F.explode_outer(F.filter("_pieces", lambda s: s["word"].isNotNull())).alias("s")).select(key, "s.*").where("word IS NOT NULL")
+
+    def marked() -> Column:
+        """The pieces, the chosen ones behind a space: no other piece of two or more characters begins with one."""
+        return edit_chosen(pieces(text), row, seed, full_share(share), lambda p, k: F.concat(F.lit(" "), p), eligible=is_word)
+
+    is_chosen = lambda p: (F.length(p) > 1) & F.startswith(p, F.lit(" "))
+
+    def entries(take: Callable[[Column], Column], piece: Callable[[Column], Column]) -> Column:
+        placed = F.transform(marked(), lambda p, i: F.when(take(p), F.struct(i.alias("pos"), piece(p).alias("piece"))))
+        return F.filter(placed, lambda s: s.isNotNull())
+
+    spots = entries(is_chosen, lambda p: F.substring(p, F.lit(2), F.length(p)))
+    listed = df.select(key, F.explode_outer(spots).alias("s")).where("s IS NOT NULL")
+    chosen = listed.select(key, "s.*", F.lower("s.piece").alias("word"))
     changed = (
         join_in_portions(chosen, dictionary, "word", key, "pos")
         .groupBy(key)
         .agg(F.collect_list(F.struct("pos", F.coalesce("misspelling", "piece").alias("piece"))).alias("_changed"))
     )
-    others = F.transform(F.filter("_pieces", lambda s: s["word"].isNull()), lambda s: F.struct(s["pos"].alias("pos"), s["piece"].alias("piece")))
-    rebuilt = F.array_join(F.transform(F.sort_array(F.concat(others, "_changed")), lambda s: s["piece"]), "")
     joined = df.join(changed, key, "left")
-    return joined.withColumn(out, F.when(F.col("_changed").isNull(), text).otherwise(rebuilt)).drop("_pieces", "_changed")
+    others = entries(lambda p: ~is_chosen(p), lambda p: p)
+    rebuilt = F.array_join(F.transform(F.sort_array(F.concat(others, "_changed")), lambda s: s["piece"]), "")
+    return joined.withColumn(out, F.when(F.col("_changed").isNull(), text).otherwise(rebuilt)).drop("_changed")
 
 
 # Whole-word replacement and removal by rule

@@ -71,3 +71,12 @@ def test_records_are_those_of_the_long_form(spark):
         expected = R.records(R.run_task(rows, [MODEL], SENTIMENT, tests, res)).drop("source_input", "followup_inputs")
         found = R.run_records(rows, MODEL, SENTIMENT, tests, res)
         assert sorted(found.select(*expected.columns).collect(), key=repr) == sorted(expected.collect(), key=repr)
+
+
+def test_misspelling_moves_no_pieces(spark):
+    rows = spark.createDataFrame([(i, "some words here, and  other words there " * 5) for i in range(20)], "row_id bigint, text string")
+    table = spark.createDataFrame([("words", "wrods")], "word string, misspelling string")
+    out = misspell(rows, F.col("text"), F.col("row_id"), seed_for(42), table, "new", "row_id")
+    assert "_pieces" not in moved(out) and "_changed" not in {c.split("#")[0].strip() for c in moved(out).split(",")}
+    for row in out.collect():
+        assert row["new"].replace("wrods", "words") == row["text"] and len(row["new"]) == len(row["text"])
