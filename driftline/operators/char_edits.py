@@ -4,18 +4,21 @@ Every edit chooses ceil(share * letters) letters of a text by the draws of ``fun
 changes them. An array expression per character is interpreted and boxes every element; on 25 million
 characters (8 threads) it took 8.6 s against 0.7 s for the Arrow function below, with equal results.
 So texts go to the worker in Arrow batches and numpy edits the code points of one text at a time; rows
-stay where they are, nothing is shuffled.
+stay where they are, nothing is shuffled. A batch is edited in slices of a few megabytes, so what a worker holds beside
+the batch doesn't grow with the batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from ..functions.draws import KEY_SHIFT, MODULUS, OFFSET, POSITION_FACTOR, ROW_FACTOR
+from .batches import slices
 
 # Leet letters.
 LEET = {"a": "4", "e": "3", "i": "1", "o": "0", "t": "7"}
@@ -79,11 +82,13 @@ def edit_characters(text: Column, row: Column, kind: str, seed: int, draw_seed:
     if kind not in KINDS:
         raise ValueError(f"unknown character edit {kind!r}")
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, rows: pd.Series) -> pd.Series:
-        return pd.Series(
-            [None if t is None else _edit_one(t, int(r), kind, seed, draw_seed, share) for t, r in zip(texts, rows)],
-            dtype=object,
-        )
+    @F.arrow_udf("string")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = []
+            for texts, rows in slices([batch]):
+                edited = [None if t is None else _edit_one(t, r, kind, seed, draw_seed, share) for t, r in zip(texts.to_pylist(), rows.to_pylist())]
+                parts.append(pa.array(edited, pa.string()))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return run(text, row.cast("bigint"))

@@ -80,3 +80,10 @@ def test_misspelling_moves_no_pieces(spark):
     assert "_pieces" not in moved(out) and "_changed" not in {c.split("#")[0].strip() for c in moved(out).split(",")}
     for row in out.collect():
         assert row["new"].replace("wrods", "words") == row["text"] and len(row["new"]) == len(row["text"])
+
+
+def test_a_batch_of_long_texts_is_edited_in_slices(spark):
+    long = [(1, "ab c " * 600_000), (2, None), (3, ""), (4, "x y" * 500_000)]
+    rows = spark.createDataFrame(long, "row_id bigint, text string").coalesce(1)
+    out = rows.select("row_id", edit_characters(F.col("text"), F.col("row_id"), "delete", 7, 0).alias("new")).collect()
+    assert [(r["row_id"], r["new"]) for r in out] == [(i, None if t is None else _edit_one(t, i, "delete", 7, 0, 0.1)) for i, t in long]
