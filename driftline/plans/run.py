@@ -407,11 +407,18 @@ def run_resumable(
     for chunk in range(chunks):
         part = src if chunks == 1 else spark.read.schema(src.withColumn("chunk", F.lit(0)).schema).parquet(dealt).where(F.col("chunk") == chunk).drop("chunk")
         done = records_of(log, part, mine, mrs, chunks, chunk)
+        if isinstance(model, ColumnModel) and isinstance(res.helper, ColumnModel) and res.stages is None:
+            # Such a run moves no rows by itself: dealt once as they come, the rows are where their records are made. A task
+            # holds several times its texts, so parts are not put together to the size that suits a shuffle.
+            part = part.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row_id")
         if done is not None:
             part = part.join(finished_rows(done, model.name, task, tests), "row_id", "left_anti")
         fresh = records(run_task(part, [model], task, tests, res))
         if done is not None:
-            fresh = fresh.join(done.select(*RECORD_KEYS), RECORD_KEYS, "left_anti")
+            # By row alone, so that records stay where they were made.
+            known = done.groupBy("row_id").agg(F.collect_set("mr").alias("_known")).hint("shuffle_hash")
+            kept = fresh.join(known, "row_id", "left").where(~F.coalesce(F.array_contains("_known", F.col("mr")), F.lit(False)))
+            fresh = kept.select(*fresh.columns)
         labels = {"chunks": chunks, "chunk": chunk, "mrs": mrs} | ({} if batch is None else {"batch": batch})
         append_results(fresh, path, run_id, chunk if batch is None else batch, **mine, **labels)
     return log.read()

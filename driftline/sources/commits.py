@@ -64,7 +64,7 @@ class PartTable:
         """Write a part without committing it; calling the result with its labels does."""
         name = uuid.uuid4().hex
         folder = f"{self.path}/parts/commit={name}"
-        df.write.partitionBy(*self.partition_by).parquet(folder)
+        df.write.option("compression", "zstd").partitionBy(*self.partition_by).parquet(folder)
 
         def commit(**labels) -> Part:
             # Read from the written part's identifiers: an observation of the write would be lost where the plan is found empty.

@@ -15,6 +15,9 @@ from driftline.operators.rewrites import Edit
 from driftline.plans import run as R
 from driftline.plans.catalog import NLI, QA, RE, SENTIMENT, Property, Test, load_tests, merged_catalog
 from driftline.plans.templates import template
+from driftline.session import work_folder
+from driftline.sources.commits import append_results
+from driftline.streaming.arrivals import SOURCE_SCHEMA
 from tests.batch_functions import Counting, fail_always, shout
 
 QA_ROWS = [
@@ -176,3 +179,17 @@ def test_similar_or_unknown_relation(spark, qa):
     props = {"transform": Property("no_change", {}), "relation": Property("similar_or_unknown", {"threshold": "0.5"})}
     out = R.run_task(qa, [MODEL], QA, [Test(QA, 49, props)], R.Resources(HELPER, ENCODER)).collect()
     assert [r["verdict"] for r in out] == [True, True, True]
+
+
+def test_records_of_a_run_are_made_where_its_rows_are(spark, tests, monkeypatch):
+    """The rows are dealt once by their identifier; neither records nor the look at earlier ones move texts again."""
+    plans = []
+    monkeypatch.setattr(R, "append_results", lambda df, *a, **k: (plans.append(df._jdf.queryExecution().executedPlan().toString()), append(df, *a, **k)))
+    append, path = append_results, work_folder(spark, "results")
+    tests = [t for t in tests if t.task == SENTIMENT and t.mr in (49, 102)]
+    rows = spark.createDataFrame([(i, [f"A good text {i}. It is fine."]) for i in range(20)] + [(3, ["Once more."]), (None, ["No number."])], SOURCE_SCHEMA)
+    R.run_resumable(rows.where("row_id < 5 OR row_id IS NULL"), MODEL, SENTIMENT, tests, R.Resources(HELPER, ENCODER), path, "one")
+    log = R.run_resumable(rows, MODEL, SENTIMENT, tests, R.Resources(HELPER, ENCODER), path, "two")
+    assert log.where("row_id IS NOT NULL").groupBy("row_id", "mr").count().where("count > 1").isEmpty() and log.select("row_id", "mr").distinct().count() == 42
+    assert "hashpartitioning(row_id" in plans[0] and plans[0].count("Exchange") == 1
+    assert not any("Exchange" in line and "mr#" in line and "inputs" in line for line in plans[1].splitlines())
