@@ -10,7 +10,8 @@ plan. Counters only decide the order, which is total and the same everywhere, so
 
 A line goes if it is like any line before it. So one earlier line is enough, and lines that have one need no other
 partner: sets are first compared with the earliest of those that share a min-hash (one comparison each), and only pairs
-with a set that is still open come out of the join. Groups of near copies thus never show all their pairs.
+whose later set is still open come out of the join. Groups of near copies thus never show all their pairs: lines are
+numbered in their order and sets by their first lines, so the join knows which of two sets is the later one.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ LOW = (1 << 56) - 1
 SET = ("sid", "check")
 #: Portions that equal rows of one document are dealt to.
 PORTIONS = 64
+#: More lines than a text can have.
+LINES = 1 << 31
 
 
 def token_hashes(line: Column) -> Column:
@@ -76,9 +79,33 @@ def _close(a: Column, b: Column, n: Column, m: Column, threshold: float) -> Colu
     return F.bit_count(a.bitwiseXOR(b)) <= n + m - 2 * _common_needed(n, m, threshold)
 
 
+def _places(own: DataFrame) -> tuple[StageTable, Column]:
+    """A table (__doc, id, k, r) of all documents, and the place in the order of identifier and text's hash, from its ``r``.
+
+    Sorted runs are numbered by themselves; what comes to the driver is the size of each run.
+    """
+    named = own.groupBy(F.col("__id").alias("id"), F.col("__k").alias("k")).agg(F.collect_set("__doc").alias("docs")).orderBy("id", "k")
+    runs = StageTable(named.withColumn("r", F.monotonically_increasing_id()).select("id", "k", "r", F.explode("docs").alias("__doc")), "places")
+    sizes = {row["run"]: row["n"] for row in runs.df.groupBy(F.shiftright("r", 33).alias("run")).agg(F.count_distinct("r").alias("n")).collect()}
+    starts, at = [], 0
+    for run in range(max(sizes, default=-1) + 1):
+        starts.append(at)
+        at += sizes.get(run, 0)
+    known = F.split(F.lit(",".join(map(str, starts or [0]))), ",").cast("array<bigint>")
+    return runs, F.get(known, F.shiftright("r", 33).cast("int")) + F.col("r").bitwiseAND(F.lit((1 << 33) - 1))
+
+
+def _number(o: str) -> Column:
+    """The place of a line in its document."""
+    return F.col(o).bitwiseAND(F.lit(LINES - 1)).cast("int")
+
+
 def _may_match(a: str, b: str, threshold: float) -> Column:
     """Length filter and parity filter."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return _sizes_match(a, b, F.col(f"{a}.n"), F.col(f"{b}.n"), threshold)
+
+
+def _sizes_match(a: str, b: str, n: Column, m: Column, threshold: float) -> Column:
     return (n >= threshold * m - 1e-9) & (m >= threshold * n - 1e-9) & _close(F.col(f"{a}.bits"), F.col(f"{b}.bits"), n, m, threshold)
 
 
@@ -99,15 +126,21 @@ def line_dedup(
     # All that follows meets the texts by document: dealt once, they are never moved again.
     own = StageTable(keyed.withColumn("__doc", F.xxhash64("__id", "__k", "__portion")), "documents", "__doc").df
     table = rarity_table(own, text_col)
+    places, place = _places(own)
+    numbers = places.df.groupBy("__doc").agg(F.collect_list(F.struct("id", "k", place.alias("place"))).alias("__places"))
+    # The key is the only condition of the join, so the texts stay where they are; the array leaves out other rows with the key.
+    mine = F.filter("__places", lambda p: p["id"].eqNullSafe(F.col("__id")) & (p["k"] == F.col("__k")))
+    placed = own.join(numbers.hint("shuffle_hash"), "__doc").withColumn("__place", F.get(mine, F.lit(0))["place"])
     least = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1  # tokens of the prefix
-    lines = own.select(
-        F.struct(F.col("__id").alias("id"), F.col("__k").alias("k")).alias("d"), F.struct(F.col("__doc").alias("doc"), F.col("__copy").alias("copy")).alias("row"), F.spark_partition_id().alias("run"),
+    lines = placed.select(
+        "__place", F.struct(F.col("__doc").alias("doc"), F.col("__copy").alias("copy")).alias("row"), F.spark_partition_id().alias("run"),
         F.posexplode_outer(F.split(whole(text_col), "\n", -1)).alias("no", "line"),
     ).withColumn("hashes", token_hashes(F.col("line")))
     lines = lines.withColumn("keys", token_keys(F.col("hashes"), table)).withColumn("n", F.size("keys"))
     held = StageTable(
         lines.select(
-            F.struct("d.id", "d.k", "no").alias("at"), "row", "run", "n", F.xxhash64("keys").alias("sid"), F.hash("keys").alias("check"),
+            # The number of a line (`o`) is in the order of lines; a set goes by that of its first line.
+            (F.col("__place") * LINES + F.coalesce("no", F.lit(0))).alias("o"), "row", "run", "n", F.xxhash64("keys").alias("sid"), F.hash("keys").alias("check"),
             _bits(F.col("keys")).alias("bits"), F.array(*[_bits(F.col("keys"), at) for at in (6, 12, 18)]).alias("more_bits"),
             # The least and the greatest hash are two min-hashes of the set.
             F.array(F.array_min("hashes"), F.array_max("hashes")).alias("lows"), F.transform(F.slice("keys", F.lit(1), F.greatest(least, F.lit(0))), lambda k: F.hash(k)).alias("prefix"),
@@ -118,46 +151,49 @@ def line_dedup(
     full = held.df.filter("n > 0")
     sets = StageTable(
         full.groupBy(*SET).agg(
-            F.min(F.struct("at", "row")).alias("first"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("more_bits").alias("more_bits"),
+            F.min(F.struct("o", "row")).alias("first"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("more_bits").alias("more_bits"),
             F.first("lows").alias("lows"), F.first("prefix").alias("prefix"),
         ).select(*SET, "first.*", "lines", "n", "bits", "more_bits", "lows", "prefix"),
         "sets",
     )
+    # What follows asks lines only for their sets and places.
+    slim = StageTable(full.select("o", "row", "run", *SET), "lines")
+    for done in (held, places):
+        done.drop()
 
     def verified(pairs: DataFrame) -> StageTable:
-        """The late sets of the pairs (late, early) of sids whose similarity, worked out from their lines, reaches the threshold."""
-        asked = pairs.select(F.explode(F.array("late", "early")).alias("sid")).distinct()
-        wanted = sets.df.select(*SET, "at.no", "row").join(asked, "sid").groupBy(F.col("row.doc").alias("__doc")).agg(
-            F.collect_list(F.struct("row.copy", "no", *SET)).alias("wants")
+        """The late sets of the pairs (late, early) whose similarity, worked out from their lines, reaches the threshold."""
+        asked = pairs.select(F.explode(F.array("late", "early")).alias("o")).distinct()
+        wanted = sets.df.select("o", _number("o").alias("no"), "row").join(asked, "o").groupBy(F.col("row.doc").alias("__doc")).agg(
+            F.collect_list(F.struct("row.copy", "no", "o")).alias("wants")
         )
         # The key is the only condition of the join, so the texts stay where they are; other rows with the key are left out.
         mine = F.filter("wants", lambda w: w["copy"] == F.col("__copy"))
         texts = own.select("__doc", "__copy", whole(text_col).alias("text")).join(wanted.hint("shuffle_hash"), "__doc")
         read = texts.select(
-            F.explode_outer(let(F.split("text", "\n", -1), lambda ls: F.transform(mine, lambda w: F.struct(w["sid"].alias("sid"), w["check"].alias("check"), F.get(ls, w["no"]).alias("line"))))).alias("s")
-        ).select("s.sid", "s.check", token_keys(token_hashes(F.col("s.line")), table).alias("keys")).filter("sid IS NOT NULL")
-        both = pairs.join(read.alias("x"), F.col("late") == F.col("x.sid")).join(read.alias("y"), F.col("early") == F.col("y.sid"))
+            F.explode_outer(let(F.split("text", "\n", -1), lambda ls: F.transform(mine, lambda w: F.struct(w["o"].alias("o"), F.get(ls, w["no"]).alias("line"))))).alias("s")
+        ).select("s.o", token_keys(token_hashes(F.col("s.line")), table).alias("keys")).filter("o IS NOT NULL")
+        both = pairs.join(read.alias("x"), F.col("late") == F.col("x.o")).join(read.alias("y"), F.col("early") == F.col("y.o"))
         common = F.size(F.array_intersect("x.keys", "y.keys"))
-        alike = both.select("x.sid", "x.check", common.alias("common"), (F.size("x.keys") + F.size("y.keys") - common).alias("joined"))
-        return StageTable(alike.filter(F.col("common") >= F.col("joined") * threshold - 1e-9).select(*SET).distinct(), "verified")
+        alike = both.select("late", common.alias("common"), (F.size("x.keys") + F.size("y.keys") - common).alias("joined"))
+        return StageTable(alike.filter(F.col("common") >= F.col("joined") * threshold - 1e-9).select("late").distinct(), "verified")
 
     def later(found: DataFrame) -> DataFrame:
-        """The later set of each pair (a, b) of sids whose similarity reaches the threshold.
+        """The later set of each pair (late, early) whose similarity reaches the threshold.
 
         One earlier match is enough, so each set is first compared with the earliest of its partners; only sets that are
         not like that one are compared with the others.
         """
         # More parities, which only found pairs carry, leave out most of those that are nearly alike.
-        places = sets.df.select("sid", "at", F.struct("n", "more_bits").alias("s"))
-        first, second = (places.select(F.col("sid").alias(c), F.col("at").alias(f"at_{c}"), F.col("s").alias(f"s_{c}")) for c in ("a", "b"))
+        marks = sets.df.select("o", F.struct("n", "more_bits").alias("s"))
+        late, early = (marks.select(F.col("o").alias(c), F.col("s").alias(f"s_{c}")) for c in ("late", "early"))
         bits = lambda c, i: F.get(F.col(f"s_{c}")["more_bits"], F.lit(i))
-        near_enough = [_close(bits("a", i), bits("b", i), F.col("s_a")["n"], F.col("s_b")["n"], threshold) for i in range(3)]
-        put = lambda late, early: F.struct(F.col(late).alias("late"), F.col(early).alias("early"), F.col(f"at_{early}").alias("at"))
-        in_order = F.when(F.col("at_a") > F.col("at_b"), put("a", "b")).otherwise(put("b", "a")).alias("p")
-        pairs = StageTable(found.join(first.hint("merge"), "a").join(second.hint("merge"), "b").filter(near_enough[0] & near_enough[1] & near_enough[2]).select(in_order).select("p.*"), "pairs")
-        tried = StageTable(pairs.df.groupBy("late").agg(F.min(F.struct("at", "early")).alias("e")).select("late", "e.early"), "tried")
+        near_enough = [_close(bits("late", i), bits("early", i), F.col("s_late")["n"], F.col("s_early")["n"], threshold) for i in range(3)]
+        alike = found.join(late.hint("merge"), "late").join(early.hint("merge"), "early").filter(near_enough[0] & near_enough[1] & near_enough[2])
+        pairs = StageTable(alike.select("late", "early"), "pairs")
+        tried = StageTable(pairs.df.groupBy("late").agg(F.min("early").alias("early")), "tried")
         done = verified(tried.df)
-        others = pairs.df.select("late", "early").join(done.df.select(F.col("sid").alias("late")), "late", "left_anti")
+        others = pairs.df.join(done.df, "late", "left_anti")
         others = StageTable(others.join(tried.df, ["late", "early"], "left_anti"), "others")
         more = verified(others.df)
         for table_ in (pairs, tried, others):
@@ -168,38 +204,38 @@ def line_dedup(
     wide = F.col("n") >= (F.col("n") + 1) * threshold - 1e-9
 
     # Every set against the earliest one with the same min-hash.
-    lows = sets.df.filter(wide).select("sid", "check", "at", "n", "bits", F.posexplode("lows").alias("j", "low"))
-    earliest = lows.groupBy("j", "low").agg(F.min(F.struct("at", "sid", "n", "bits")).alias("e"), F.count(F.lit(1)).alias("met")).filter("met > 1")
-    near = lows.alias("s").join(earliest.select("j", "low", "e.sid", "e.n", "e.bits").alias("e").hint("merge"), ["j", "low"])
-    near = near.filter((F.col("s.sid") != F.col("e.sid")) & _may_match("s", "e", threshold))
-    closed = later(near.select(F.col("s.sid").alias("a"), F.col("e.sid").alias("b")).distinct())
+    lows = sets.df.filter(wide).select("o", "n", "bits", F.posexplode("lows").alias("j", "low"))
+    earliest = lows.groupBy("j", "low").agg(F.min(F.struct("o", "n", "bits")).alias("e"), F.count(F.lit(1)).alias("met")).filter("met > 1")
+    near = lows.alias("s").join(earliest.select("j", "low", "e.o", "e.n", "e.bits").alias("e").hint("merge"), ["j", "low"])
+    near = near.filter((F.col("s.o") > F.col("e.o")) & _may_match("s", "e", threshold))
+    closed = later(near.select(F.col("s.o").alias("late"), F.col("e.o").alias("early")).distinct())
 
-    # The prefix join, for pairs with a set that is still open. A token of very many prefixes is a skewed key: its rows are
+    # The prefix join, for pairs whose later set is still open. A token of very many prefixes is a skewed key: its rows are
     # split by the adaptive join, each part of one side with all of the other.
-    marked = sets.df.filter(wide).join(closed.withColumn("closed", F.lit(True)), [*SET], "left").withColumn("open", F.col("closed").isNull())
+    marked = sets.df.filter(wide).join(closed.select(F.col("late").alias("o"), F.lit(True).alias("closed")), "o", "left").withColumn("open", F.col("closed").isNull())
     # A row has few and small fields, as these rows are most of what is shuffled: size, place and mark are one number.
     packed = F.col("n").cast("long") * (1 << 25) + F.col("place") * 2 + F.col("open").cast("int")
-    rows = marked.select("sid", "n", "bits", "open", F.posexplode("prefix").alias("place", "token")).select("token", "sid", "bits", packed.alias("packed"))
-
-    def side(name: str) -> DataFrame:
-        size, place = F.shiftright("packed", 25).alias("n"), F.shiftright(F.col("packed").bitwiseAND(F.lit((1 << 25) - 1)), 1).alias("place")
-        return rows.select("token", "sid", "bits", size, place, (F.col("packed").bitwiseAND(F.lit(1)) == 1).alias("open")).alias(name)
-
-    after = F.least(F.col("p.n") - F.col("p.place"), F.col("q.n") - F.col("q.place"))
-    met = side("p").join(
-        side("q").hint("merge"),
-        (F.col("p.token") == F.col("q.token")) & (F.col("p.sid") < F.col("q.sid")) & (F.col("p.open") | F.col("q.open"))
-        & _may_match("p", "q", threshold) & (after >= _common_needed(F.col("p.n"), F.col("q.n"), threshold)),
+    rows = marked.select("o", "n", "bits", "open", F.posexplode("prefix").alias("place", "token")).select("token", "o", "bits", packed.alias("packed"))
+
+    # Unpacked in the condition only: both sides are the same rows, shuffled once. So the mark is compared with the other
+    # side's number too: a condition on one side alone would be pushed below the shuffle, which then is another one.
+    open_number = F.when(F.col("q.packed").bitwiseAND(F.lit(1)) == 1, F.col("q.o")).otherwise(F.lit(-1))
+    size = lambda c: F.shiftright(F.col(f"{c}.packed"), 25)
+    behind = lambda c: size(c) - F.shiftright(F.col(f"{c}.packed").bitwiseAND(F.lit((1 << 25) - 1)), 1)
+    met = rows.alias("p").join(
+        rows.alias("q").hint("merge"),
+        (F.col("p.token") == F.col("q.token")) & (F.col("p.o") < open_number)
+        & _sizes_match("p", "q", size("p"), size("q"), threshold) & (F.least(behind("p"), behind("q")) >= _common_needed(size("p"), size("q"), threshold)),
     )
-    more = later(met.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")).distinct())
-    gone = closed.union(more).distinct()
+    more = later(met.select(F.col("q.o").alias("late"), F.col("p.o").alias("early")).distinct())
+    gone = closed.union(more).distinct().select(F.col("late").alias("o"), F.lit(True).alias("gone"))
 
     # Lines that go: all but the first of a set, and the first too where the set has an earlier match.
-    fate = sets.df.join(gone.withColumn("gone", F.lit(True)), [*SET], "left").filter("lines > 1 OR gone").select(*SET, F.col("at").alias("first"), "gone")
-    leaving = look_up(full.select("at", "row", "run", *SET), fate, *SET).filter("first IS NOT NULL AND (gone OR at > first)")
-    by_doc = StageTable(leaving.groupBy("row").agg(F.collect_set("at.no").alias("nos")).groupBy(F.col("row.doc").alias("__doc")).agg(
+    fate = sets.df.join(gone, "o", "left").filter("lines > 1 OR gone").select(*SET, F.col("o").alias("first"), "gone")
+    leaving = look_up(slim.df, fate, *SET).filter("first IS NOT NULL AND (gone OR o > first)")
+    by_doc = StageTable(leaving.groupBy("row").agg(F.collect_set(_number("o")).alias("nos")).groupBy(F.col("row.doc").alias("__doc")).agg(
         F.collect_list(F.struct("row.copy", "nos")).alias("__leaving")), "leaving").df
-    for done in (held, sets):
+    for done in (slim, sets):
         done.drop()
     mine = F.get(F.filter("__leaving", lambda r: r["copy"] == F.col("__copy")), F.lit(0))["nos"]
     joined = own.join(by_doc.hint("shuffle_hash"), "__doc", "left").withColumn("__nos", F.coalesce(mine, F.array().cast("array<int>")))

@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 
+from driftline.llm import line_dedup as line_dedup_module
 from driftline.llm.line_dedup import line_dedup
 
 from .cases import documents, edited, prose, rows
@@ -76,3 +77,21 @@ def test_other_columns_stay_and_empty_tables_work(spark):
     assert out.count() == 0 and {"doc_id", "keys", "n", "run", "text", "removed_lines"} <= set(out.columns)
     missing = found(spark, [(None, prose(1, 9)), (None, prose(1, 9)), (3, prose(1, 9))])
     assert missing == Counter({(None, prose(1, 9), 0): 2, (3, "", 1): 1})
+
+
+def test_closed_lines_ask_for_no_more_partners(spark, monkeypatch):
+    """Lines that are like the first of their group are settled after one comparison, though the first itself stays open."""
+    sizes = []
+
+    class Counted(line_dedup_module.StageTable):
+        def __init__(self, df, name, key=None):
+            super().__init__(df, name, key)
+            if name == "pairs":
+                sizes.append(self.df.count())
+
+    monkeypatch.setattr(line_dedup_module, "StageTable", Counted)
+    # One token more takes the place of the least or of the greatest hash, never of both.
+    given = [(i, prose(5, 20) + (f" more{i}" if i else "")) for i in range(40)]
+    got = found(spark, given)
+    assert got == brute(given) and sum(gone for _, _, gone in got) == 39
+    assert sizes[0] <= 80 and sizes[1] == 0
