@@ -17,6 +17,7 @@ numbered in their order and sets by their first lines, so the join knows which o
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,12 +33,18 @@ SET = ("sid", "check")
 PORTIONS = 64
 #: More lines than a text can have.
 LINES = 1 << 31
+#: The parities of sets of that many tokens fill two and four words: in one word all long sets look alike.
+TWO_WORDS, FOUR_WORDS = 64, 128
+BITS = ("bits", "half", "third", "fourth")
+
+
+def _odd(text: Column) -> Column:
+    return F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r"))
 
 
 def token_hashes(line: Column) -> Column:
     """The hashes of a line's distinct tokens, in order of appearance."""
-    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r"))
-    plain = F.when(odd, F.translate(line, "\t\r", "  ")).otherwise(line)
+    plain = F.when(_odd(line), F.translate(line, "\t\r", "  ")).otherwise(line)
     return F.array_remove(F.array_distinct(F.transform(F.split(plain, " "), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
 
 
@@ -46,7 +53,10 @@ def rarity_table(texts: DataFrame, text_col: str) -> Column:
 
     The array is told as one text, which the optimizer turns into a constant: a literal for each counter takes seconds.
     """
-    tokens = texts.select(F.explode_outer(F.split(F.col(text_col), "[ \n\t\r]")).alias("t")).filter("t <> ''")
+    text, odd = F.col(text_col), _odd(F.col(text_col))
+    # Split at one character, as a pattern takes more time.
+    plain = F.when(odd, F.translate(text, "\n\t\r", "   ")).otherwise(F.replace(text, F.lit("\n"), F.lit(" ")))
+    tokens = texts.select(F.explode_outer(F.split(plain, " ")).alias("t")).filter("t <> ''")
     counted = tokens.groupBy(F.xxhash64("t").bitwiseAND(F.lit(COUNTERS - 1)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
     table = [0] * COUNTERS
     for row in counted.collect():  # COUNTERS rows at most
@@ -62,21 +72,46 @@ def token_keys(hashes: Column, table: Column) -> Column:
     return F.sort_array(F.transform(hashes, lambda h: F.call_function("shiftleft", rarity(h), F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit(LOW)))))
 
 
-def _bits(keys: Column, at: int = 0) -> Column:
-    """Bit i tells whether an odd number of tokens has hash i; six bits of the keys, from ``at`` on, are the hash."""
+def _bits(keys: Column, counts: Callable[[Column], Column] | None = None) -> Column:
+    """Bit i tells whether an odd number of tokens has hash i; with ``counts``, which is 1 or 0, only of those where it is 1."""
     one = F.lit(1).cast("long")
-    place = lambda k: (F.shiftright(k, at) if at else k).bitwiseAND(F.lit(63)).cast("int")
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda so_far, k: so_far.bitwiseXOR(F.call_function("shiftleft", one, place(k))))
+    place = lambda k: k.bitwiseAND(F.lit(63)).cast("int")
+    mark = lambda k: F.call_function("shiftleft", counts(k).bitwiseAND(one) if counts else one, place(k))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda so_far, k: so_far.bitwiseXOR(mark(k)))
+
+
+def _all_bits(keys: Column, n: Column) -> list[Column]:
+    """BITS of a set: the parities of all tokens, and of long sets those of a half and of two quarters of them (else 0)."""
+    a, b = (lambda k: F.shiftright(k, 6)), (lambda k: F.shiftright(k, 7))
+    none = F.lit(0).cast("long")
+    more = [(TWO_WORDS, a), (FOUR_WORDS, lambda k: F.bitwise_not(a(k)).bitwiseAND(b(k))), (FOUR_WORDS, lambda k: a(k).bitwiseAND(b(k)))]
+    return [_bits(keys).alias(BITS[0]), *(F.when(n >= least, _bits(keys, of)).otherwise(none).alias(c) for c, (least, of) in zip(BITS[1:], more))]
 
 
 def _common_needed(a: Column, b: Column, threshold: float) -> Column:
-    """Tokens that sets of these sizes must share."""
-    return F.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9)
+    """Tokens that sets of these sizes must share, not rounded: numbers of tokens are compared with it."""
+    return (a + b) * (threshold / (1 + threshold)) - 1e-9
+
+
+def _most(n: Column, m: Column, threshold: float) -> Column:
+    """Tokens that sets of these sizes may differ in."""
+    return n + m - 2 * _common_needed(n, m, threshold)
 
 
-def _close(a: Column, b: Column, n: Column, m: Column, threshold: float) -> Column:
-    """Parity filter: sets of sizes n and m that are alike differ in few tokens, so few of their bits differ."""
-    return F.bit_count(a.bitwiseXOR(b)) <= n + m - 2 * _common_needed(n, m, threshold)
+def _differ(a: str, b: str) -> Column:
+    return F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+
+
+def _close(a: str, b: str, n: Column, m: Column, threshold: float) -> Column:
+    """Parity filter: sets of sizes n and m that are alike differ in few tokens, so few of their bits differ.
+
+    The bits are compared in as many words as the smaller set has.
+    """
+    differ = {c: F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in BITS}
+    kept = lambda c, least: F.when((n >= least) & (m >= least), differ[c]).otherwise(F.lit(0).cast("long"))
+    half, third, fourth = kept("half", TWO_WORDS), kept("third", FOUR_WORDS), kept("fourth", FOUR_WORDS)
+    words = differ["bits"].bitwiseXOR(half).bitwiseXOR(third), half.bitwiseXOR(fourth), third, fourth
+    return F.bit_count(words[0]) + F.bit_count(words[1]) + F.bit_count(words[2]) + F.bit_count(words[3]) <= _most(n, m, threshold)
 
 
 def _places(own: DataFrame) -> tuple[StageTable, Column]:
@@ -102,11 +137,8 @@ def _number(o: str) -> Column:
 
 def _may_match(a: str, b: str, threshold: float) -> Column:
     """Length filter and parity filter."""
-    return _sizes_match(a, b, F.col(f"{a}.n"), F.col(f"{b}.n"), threshold)
-
-
-def _sizes_match(a: str, b: str, n: Column, m: Column, threshold: float) -> Column:
-    return (n >= threshold * m - 1e-9) & (m >= threshold * n - 1e-9) & _close(F.col(f"{a}.bits"), F.col(f"{b}.bits"), n, m, threshold)
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (n >= threshold * m - 1e-9) & (m >= threshold * n - 1e-9) & _close(a, b, n, m, threshold)
 
 
 def line_dedup(
@@ -141,7 +173,7 @@ def line_dedup(
         lines.select(
             # The number of a line (`o`) is in the order of lines; a set goes by that of its first line.
             (F.col("__place") * LINES + F.coalesce("no", F.lit(0))).alias("o"), "row", "run", "n", F.xxhash64("keys").alias("sid"), F.hash("keys").alias("check"),
-            _bits(F.col("keys")).alias("bits"), F.array(*[_bits(F.col("keys"), at) for at in (6, 12, 18)]).alias("more_bits"),
+            *_all_bits(F.col("keys"), F.col("n")),
             # The least and the greatest hash are two min-hashes of the set.
             F.array(F.array_min("hashes"), F.array_max("hashes")).alias("lows"), F.transform(F.slice("keys", F.lit(1), F.greatest(least, F.lit(0))), lambda k: F.hash(k)).alias("prefix"),
         ),
@@ -151,9 +183,9 @@ def line_dedup(
     full = held.df.filter("n > 0")
     sets = StageTable(
         full.groupBy(*SET).agg(
-            F.min(F.struct("o", "row")).alias("first"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("more_bits").alias("more_bits"),
+            F.min(F.struct("o", "row")).alias("first"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in BITS),
             F.first("lows").alias("lows"), F.first("prefix").alias("prefix"),
-        ).select(*SET, "first.*", "lines", "n", "bits", "more_bits", "lows", "prefix"),
+        ).select(*SET, "first.*", "lines", "n", *BITS, "lows", "prefix"),
         "sets",
     )
     # What follows asks lines only for their sets and places.
@@ -178,19 +210,12 @@ def line_dedup(
         alike = both.select("late", common.alias("common"), (F.size("x.keys") + F.size("y.keys") - common).alias("joined"))
         return StageTable(alike.filter(F.col("common") >= F.col("joined") * threshold - 1e-9).select("late").distinct(), "verified")
 
-    def later(found: DataFrame) -> DataFrame:
+    def later(pairs: StageTable) -> DataFrame:
         """The later set of each pair (late, early) whose similarity reaches the threshold.
 
         One earlier match is enough, so each set is first compared with the earliest of its partners; only sets that are
         not like that one are compared with the others.
         """
-        # More parities, which only found pairs carry, leave out most of those that are nearly alike.
-        marks = sets.df.select("o", F.struct("n", "more_bits").alias("s"))
-        late, early = (marks.select(F.col("o").alias(c), F.col("s").alias(f"s_{c}")) for c in ("late", "early"))
-        bits = lambda c, i: F.get(F.col(f"s_{c}")["more_bits"], F.lit(i))
-        near_enough = [_close(bits("late", i), bits("early", i), F.col("s_late")["n"], F.col("s_early")["n"], threshold) for i in range(3)]
-        alike = found.join(late.hint("merge"), "late").join(early.hint("merge"), "early").filter(near_enough[0] & near_enough[1] & near_enough[2])
-        pairs = StageTable(alike.select("late", "early"), "pairs")
         tried = StageTable(pairs.df.groupBy("late").agg(F.min("early").alias("early")), "tried")
         done = verified(tried.df)
         others = pairs.df.join(done.df, "late", "left_anti")
@@ -204,30 +229,36 @@ def line_dedup(
     wide = F.col("n") >= (F.col("n") + 1) * threshold - 1e-9
 
     # Every set against the earliest one with the same min-hash.
-    lows = sets.df.filter(wide).select("o", "n", "bits", F.posexplode("lows").alias("j", "low"))
-    earliest = lows.groupBy("j", "low").agg(F.min(F.struct("o", "n", "bits")).alias("e"), F.count(F.lit(1)).alias("met")).filter("met > 1")
-    near = lows.alias("s").join(earliest.select("j", "low", "e.o", "e.n", "e.bits").alias("e").hint("merge"), ["j", "low"])
+    lows = sets.df.filter(wide).select("o", "n", *BITS, F.posexplode("lows").alias("j", "low"))
+    earliest = lows.groupBy("j", "low").agg(F.min(F.struct("o", "n", *BITS)).alias("e"), F.count(F.lit(1)).alias("met")).filter("met > 1")
+    near = lows.alias("s").join(earliest.select("j", "low", "e.*").alias("e").hint("merge"), ["j", "low"])
     near = near.filter((F.col("s.o") > F.col("e.o")) & _may_match("s", "e", threshold))
-    closed = later(near.select(F.col("s.o").alias("late"), F.col("e.o").alias("early")).distinct())
+    near = StageTable(near.select(F.col("s.o").alias("late"), F.col("e.o").alias("early")).distinct(), "pairs")
+    closed = verified(near.df).df  # two pairs of a set at most
+    near.drop()
 
     # The prefix join, for pairs whose later set is still open. A token of very many prefixes is a skewed key: its rows are
     # split by the adaptive join, each part of one side with all of the other.
     marked = sets.df.filter(wide).join(closed.select(F.col("late").alias("o"), F.lit(True).alias("closed")), "o", "left").withColumn("open", F.col("closed").isNull())
     # A row has few and small fields, as these rows are most of what is shuffled: size, place and mark are one number.
     packed = F.col("n").cast("long") * (1 << 25) + F.col("place") * 2 + F.col("open").cast("int")
-    rows = marked.select("o", "n", "bits", "open", F.posexplode("prefix").alias("place", "token")).select("token", "o", "bits", packed.alias("packed"))
+    rows = marked.select("o", "n", *BITS, "open", F.posexplode("prefix").alias("place", "token")).withColumn("packed", packed)
+    # None is null; where Spark knows it, it filters neither side (for the other would be shuffled again) and tests no pair for it.
+    rows = rows.select(*(F.coalesce(c, F.lit(0)).alias(c) for c in ("token", "o", *BITS, "packed")))
 
     # Unpacked in the condition only: both sides are the same rows, shuffled once. So the mark is compared with the other
     # side's number too: a condition on one side alone would be pushed below the shuffle, which then is another one.
     open_number = F.when(F.col("q.packed").bitwiseAND(F.lit(1)) == 1, F.col("q.o")).otherwise(F.lit(-1))
     size = lambda c: F.shiftright(F.col(f"{c}.packed"), 25)
     behind = lambda c: size(c) - F.shiftright(F.col(f"{c}.packed").bitwiseAND(F.lit((1 << 25) - 1)), 1)
+    n, m = size("p"), size("q")
+    # Sets whose sizes differ too much fall to the positional filter.
     met = rows.alias("p").join(
         rows.alias("q").hint("merge"),
         (F.col("p.token") == F.col("q.token")) & (F.col("p.o") < open_number)
-        & _sizes_match("p", "q", size("p"), size("q"), threshold) & (F.least(behind("p"), behind("q")) >= _common_needed(size("p"), size("q"), threshold)),
+        & (_differ("p", "q") <= _most(n, m, threshold)) & (F.least(behind("p"), behind("q")) >= _common_needed(n, m, threshold)) & _close("p", "q", n, m, threshold),
     )
-    more = later(met.select(F.col("q.o").alias("late"), F.col("p.o").alias("early")).distinct())
+    more = later(StageTable(met.select(F.col("q.o").alias("late"), F.col("p.o").alias("early")).distinct(), "pairs"))
     gone = closed.union(more).distinct().select(F.col("late").alias("o"), F.lit(True).alias("gone"))
 
     # Lines that go: all but the first of a set, and the first too where the set has an earlier match.

@@ -95,3 +95,43 @@ def test_closed_lines_ask_for_no_more_partners(spark, monkeypatch):
     got = found(spark, given)
     assert got == brute(given) and sum(gone for _, _, gone in got) == 39
     assert sizes[0] <= 80 and sizes[1] == 0
+
+
+def counted(monkeypatch):
+    """The numbers of rows of the tables of pairs that are to be verified, as they are written."""
+    sizes = []
+
+    class Counted(line_dedup_module.StageTable):
+        def __init__(self, df, name, key=None):
+            super().__init__(df, name, key)
+            if name == "pairs":
+                sizes.append(self.df.count())
+
+    monkeypatch.setattr(line_dedup_module, "StageTable", Counted)
+    return sizes
+
+
+def test_long_lines_of_one_vocabulary_make_no_pairs(spark, monkeypatch):
+    """Lines of 200 of 500 words share words of their prefixes, but differ in far more words than lines that are alike may."""
+    sizes, rng, words = counted(monkeypatch), random.Random(3), [f"w{i}" for i in range(500)]
+    given = [(i, " ".join(rng.sample(words, 200))) for i in range(50)]
+    given.append((50, given[0][1] + " more"))
+    got = found(spark, given)
+    assert got == brute(given) and sum(gone for _, _, gone in got) == 1
+    assert sum(sizes) <= 2
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8])
+def test_lines_on_both_sides_of_the_sizes_of_more_words(spark, threshold):
+    rng, words = random.Random(4), [f"w{i}" for i in range(900)]
+    given = []
+    for size in (64, 128):
+        base = rng.sample(words[:450], size + 12)
+        for i in range(24):
+            some = base[: size - 12 + i]
+            some = rng.sample(some, len(some) - i % 5) + rng.sample(words[450:], i % 7)
+            given.append((len(given), " ".join(some)))
+    given.append((len(given), " ".join(words[::3])))
+    given.append((len(given), " ".join(words[:870:3])))
+    got = found(spark, given, threshold=threshold)
+    assert got == brute(given, threshold) and 0 < sum(gone for _, _, gone in got) < len(given)
