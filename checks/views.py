@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftline.functions.draws import let
-from driftline.functions.text import sentences, words
+from driftline.functions.text import rows_of, sentences, words
 from driftline.operators.pools import Pool
 from driftline.session import work_folder
 from driftline.sources import tasks
@@ -71,9 +71,8 @@ def relation_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text", "source")
 
     def longest(sentence):
-        return F.array_max(
-            F.transform(sentence, lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("i"), t.alias("t")))
-        )["t"]
+        # Numbers are compared by compiled code, and no struct is made for a token; the first of the longest counts.
+        return let(F.transform(sentence, F.length), lambda n: F.get(sentence, (F.array_position(n, F.array_max(n)) - 1).cast("int")))
 
     def mentions(name):
         return F.array(F.struct(name.alias("name")), F.struct(F.upper(name).alias("name")))
@@ -110,6 +109,19 @@ def word_pool(spark: SparkSession, sf_dir: str) -> Pool:
     return Pool.of(word_values(spark, sf_dir), "word")
 
 
+def computed_once(df: DataFrame, *columns: str) -> DataFrame:
+    """The same rows. A filter on the columns stays above them, while it would else work out a second time, at the scan, what
+    they are computed from: conditions on what a generator makes are not pushed below it."""
+    kept = [c for c in df.columns if c not in columns]
+    made = df.select(*kept, rows_of(F.array(F.struct(*columns))).alias("_pos", "_made"))
+    return made.select(*[F.col(c) if c in kept else F.col("_made")[c].alias(c) for c in df.columns])
+
+
+def relation_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``relation_raw`` for one pass: not written, as what it is made to is a fraction of its tokens and entities."""
+    return computed_once(relation_raw(spark, sf_dir), "sents", "vertexSet", "labels")
+
+
 def staged(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Source inputs as a run keeps them: written once, then read by every transformation.
 
@@ -129,4 +141,4 @@ def inference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(spark, tasks.relation_extraction(staged(spark, relation_raw(spark, sf_dir)), size=None))
+    return staged(spark, tasks.relation_extraction(relation_once(spark, sf_dir), size=None))

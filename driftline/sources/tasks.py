@@ -83,12 +83,19 @@ def first_names(vertex_set: Column) -> Column:
     return F.transform(vertex_set, lambda v: F.get(v, F.lit(0))["name"])
 
 
+def _random_mention(mentions: Column, place: Column, row: Column, seed: int) -> Column:
+    """The name of a mention of the entity at a place."""
+    return F.get(mentions, (draw(row, place + 1, seed) % F.greatest(F.size(mentions), F.lit(1))).cast("int"))["name"]
+
+
 def random_names(vertex_set: Column, row: Column, seed: int) -> Column:
     """One mention per entity; the entity's place takes part in the draw."""
-    return F.transform(
-        vertex_set,
-        lambda v, i: F.get(v, (draw(row, i + 1, seed) % F.greatest(F.size(v), F.lit(1))).cast("int"))["name"],
-    )
+    return F.transform(vertex_set, lambda v, i: _random_mention(v, i, row, seed))
+
+
+def random_name(vertex_set: Column, place: Column, row: Column, seed: int) -> Column:
+    """The name that ``random_names`` has at a place, without those of the other entities."""
+    return _random_mention(F.get(vertex_set, place), place, row, seed)
 
 
 def random_pair(names: Column, row: Column, seed: int) -> Column:
@@ -127,13 +134,9 @@ def entity_pairs(raw: DataFrame, size: int | None = None, seed: int = DATA_SEED)
 
 def _labelled_relation(viable: DataFrame, seed: int) -> DataFrame:
     relation = random_relation(F.col("labels"), F.col("row_id"), seed_for(seed, salt=3))
-    names = random_names(F.col("vertexSet"), F.col("row_id"), seed_for(seed, salt=2))
-    chosen = viable.select("row_id", join_tokens_cleaned(F.col("sents")).alias("_text"), names.alias("_n"), relation.alias("_r"))
-    return chosen.select(
-        "row_id",
-        F.array("_text", F.get("_n", F.col("_r.h")), F.get("_n", F.col("_r.t"))).alias("inputs"),
-        F.col("_r.r").alias("code"),
-    )
+    chosen = viable.select("row_id", join_tokens_cleaned(F.col("sents")).alias("_text"), "vertexSet", relation.alias("_r"))
+    name = lambda place: random_name(F.col("vertexSet"), F.col(f"_r.{place}"), F.col("row_id"), seed_for(seed, salt=2))
+    return chosen.select("row_id", F.array("_text", name("h"), name("t")).alias("inputs"), F.col("_r.r").alias("code"))
 
 
 def viable_relations(raw: DataFrame) -> DataFrame:

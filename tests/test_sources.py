@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from checks import views
 from driftline.sources import files, sampling, tasks as T
 from tests.conftest import SF
 
@@ -88,3 +89,29 @@ def test_repository_holds_no_data():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     reports = ("BENCH_", "CORRECTNESS_")  # written beside the code after each round
     assert not [f for f in os.listdir(root) if f.endswith((".parquet", ".json")) and not f.startswith(reports)]
+
+
+def test_relation_rows_work_tokens_out_once_and_write_only_inputs(spark, tmp_path, monkeypatch):
+    texts = [(1, "One two. Threes four! Five?", "src1"), (2, "Alone here.", "src2"), (3, "", "src1"), (4, None, "src1"), (5, "Aa bb. Cc dd.", None)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    raw = views.relation_raw(spark, str(tmp_path)).localCheckpoint()
+    plans, written, staged = [], [], views.staged
+
+    def noted(session, df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        written.append(set(df.columns))
+        return staged(session, df)
+
+    monkeypatch.setattr(views, "staged", noted)
+    got = {tuple([r["row_id"], *r["inputs"]]) for r in views.relation_rows(spark, str(tmp_path)).collect()}
+    assert got == {tuple([r["row_id"], *r["inputs"]]) for r in T.relation_extraction(raw).collect()} and {r[0] for r in got} == {1, 5}
+    assert written == [{"row_id", "inputs"}] and plans[0].count("regexp_extract_all") == 1
+
+
+def test_one_name_is_the_one_among_all(spark):
+    sets = "array(array(named_struct('name', 'a'), named_struct('name', 'A')), array(named_struct('name', 'b'), named_struct('name', 'B')), array())"
+    rows = spark.sql(f"SELECT id AS row_id, {sets} AS v FROM range(40)")
+    names = T.random_names(F.col("v"), F.col("row_id"), 5)
+    each = F.array(*[T.random_name(F.col("v"), F.lit(i), F.col("row_id"), 5) for i in range(3)])
+    for r in rows.select(names.alias("all"), each.alias("each"), T.random_name(F.col("v"), F.lit(None).cast("int"), F.col("row_id"), 5).alias("none")).collect():
+        assert r["all"] == r["each"] and r["none"] is None
