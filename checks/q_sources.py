@@ -14,6 +14,7 @@ from .views import (
     inference_raw,
     question_raw,
     relation_names,
+    relation_once,
     relation_raw,
     sentiment_raw,
     staged,
@@ -221,7 +222,7 @@ def s16(spark, sf):
 
 @query("s17_random_relation", S.with_views("SELECT row_id, text, head, tail FROM re_rows", "re_raw", re_rows=re_rows_sql()))
 def s17(spark, sf):
-    return three(T.relation_extraction(stored(spark, sf), size=None))
+    return three(T.relation_extraction(relation_once(spark, sf), size=None))
 
 
 @query(
@@ -279,7 +280,7 @@ def labelled_sql(view: str) -> str:
 
 @query("s21_relation_with_label", labelled_sql("SELECT * FROM re_rows"))
 def s21(spark, sf):
-    return three(T.relation_extraction_labelled(stored(spark, sf), relation_names(spark, sf), size=None), "label")
+    return three(T.relation_extraction_labelled(relation_once(spark, sf), relation_names(spark, sf), size=None), "label")
 
 
 @query("s22_relation_extraction_labelled", labelled_sql(S.sampled("re_rows")))
@@ -305,7 +306,8 @@ def s23(spark, sf):
         "inference": T.inference_labelled(inference_raw(spark, sf), size=None),
         "question_answering": T.question_answering_labelled(question_raw(spark, sf), size=None),
         "sentiment": T.sentiment_labelled(sentiment_raw(spark, sf), size=None),
-        "relation_extraction": T.relation_extraction_labelled(stored(spark, sf), relation_names(spark, sf), size=None),
+        # Far smaller than what it is made from, so it is written for both exports.
+        "relation_extraction": staged(spark, T.relation_extraction_labelled(relation_once(spark, sf), relation_names(spark, sf), size=None)),
     }
     for _ in range(2):  # the second export replaces the first
         files.export_labelled(sets, path)
