@@ -127,7 +127,8 @@ def token_counts(text: Column) -> Column:
 
     def count(codes: Column) -> Column:
         return F.transform(
-            F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter(codes, lambda c: c == b)).cast("float")
+            # The codes that go with a bucket are counted without a condition evaluated for each.
+            F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: (F.size(codes) - F.size(F.array_remove(codes, b))).cast("float")
         )
 
     return let(F.transform(tokens(text), lambda t: (F.ascii(t) * 7 + F.length(t)) % BUCKETS), count)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -40,6 +41,18 @@ def test_settings(test: Test) -> list:
     return [test.task, test.mr, used]
 
 
+def _once(kept: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key. Only the keys are moved to find out whether any comes twice, as after two runs at the same time."""
+    return kept if kept.groupBy(*keys).count().where("count > 1").isEmpty() else kept.dropDuplicates(keys)
+
+
+def _met(rows: DataFrame, kept: DataFrame, more: list[str], how: str = "inner") -> DataFrame:
+    """Join by ``row_id`` and ``more``, but dealt by ``row_id`` alone: later steps meet and group the same rows where they are."""
+    told = kept.select(F.col("row_id").alias("_row_id"), *[F.col(c).alias(f"_{c}") for c in more], *[c for c in kept.columns if c in ("source_output", "vsi", "variants")])
+    same = [F.coalesce(F.col(c) == F.col(f"_{c}"), F.lit(False)) for c in more]
+    return rows.join(told, reduce(Column.__and__, same, F.col("row_id") == F.col("_row_id")), how)
+
+
 @dataclass
 class StageStore:
     """``folder(stage)`` says where the tables of a stage are."""
@@ -66,8 +79,8 @@ class StageStore:
             fresh = compute(missing).where("source_output IS NOT NULL")
             columns = ["row_id", "print", "source_output", F.lit(llm).alias("llm"), F.lit(task).alias("task")]
             parts.append(table.append(fresh.select(*columns), llm=llm, task=task))
-        kept = table.read(parts).dropDuplicates(["row_id", "print"]).select("row_id", "print", "source_output")
-        return keyed.join(kept, ["row_id", "print"], "left").select(*src.columns, "source_output")
+        kept = _once(table.read(parts), ["row_id", "print"])
+        return _met(keyed, kept, ["print"], "left").select(*src.columns, "source_output")
 
     def followup_inputs(
         self, src: DataFrame, tests: list[Test], print_of: Callable[[Test], Column], compute: Callable[[DataFrame, list[Test]], DataFrame]
@@ -85,11 +98,17 @@ class StageStore:
         lacking = {*mrs} if before is None else {r["mr"] for r in missing.select("mr").distinct().collect()}  # one row per test
         if lacking:
             some = src if before is None else src.join(missing.select("row_id").distinct(), "row_id", "left_semi")
-            made = compute(some, [t for t in tests if t.mr in lacking]).select("row_id", "mr", "vsi", "variants").join(missing, ["row_id", "mr"])
+            if before is None and src.groupBy("row_id").count().where("count > 1").isEmpty():
+                # Rows that all lack all tests bring their fingerprints with them: nothing is moved to meet what is missing.
+                place = F.array_position(F.lit(mrs), F.col("mr")).cast("int") - 1
+                carried = some.where("row_id IS NOT NULL").withColumn("_prints", F.array(*[print_of(t) for t in tests]))
+                made = compute(carried, tests).withColumn("print", F.get("_prints", place))
+            else:
+                made = compute(some, [t for t in tests if t.mr in lacking]).select("row_id", "mr", "vsi", "variants").join(missing, ["row_id", "mr"])
             columns = ["row_id", "print", "vsi", "variants", F.lit(task).alias("task"), F.col("mr").cast("int").alias("mr")]
             parts.append(table.append(made.select(*columns), task=task, mrs=sorted(lacking)))
-        kept = table.read(parts).dropDuplicates(["row_id", "mr", "print"]).drop("task")
-        return wanted.join(kept, ["row_id", "mr", "print"]).select("row_id", "mr", "vsi", "variants")
+        kept = _once(table.read(parts), ["row_id", "mr", "print"])
+        return _met(wanted, kept, ["mr", "print"]).select("row_id", "mr", "vsi", "variants")
 
     @staticmethod
     def _kept(table: PartTable, rows: DataFrame, parts: list[Part]) -> DataFrame | None:

@@ -81,7 +81,7 @@ def cached_inputs(spark: SparkSession, path: str, compute) -> DataFrame:
     """Read the stage table at ``path``; compute and write it first where it is missing."""
     found = read_if_exists(spark, path)
     if found is None:
-        compute().write.parquet(path)
+        compute().write.option("compression", "zstd").parquet(path)
         found = spark.read.parquet(path)
     return found
 
