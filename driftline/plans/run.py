@@ -33,7 +33,7 @@ from ..operators.registry import (
 )
 from ..operators.rewrites import ROW, Edit, input_at, splice, with_shared_keywords
 from ..session import dealt, drop_folder, work_folder
-from ..sources.commits import Part, PartTable, append_results, read_results, result_log
+from ..sources.commits import Part, PartTable, append_in_steps, append_results, read_results, result_log
 from ..sources.files import cached_inputs
 from .catalog import (
     ARITY,
@@ -53,6 +53,8 @@ from .stages import StageStore, fingerprint, template_text, test_settings
 from .templates import template
 
 RECORD_KEYS = ["llm", "task", "mr", "row_id"]
+#: Records of rows that meet kept stage tables are written in steps of so many bytes of source inputs.
+STEP_BYTES = 512 << 20
 
 
 @dataclass(frozen=True)
@@ -435,27 +437,55 @@ def run_resumable(
         return log.read()
     if chunks > 1:
         dealt = work_folder(spark, "chunks")
-        src.withColumn("chunk", F.pmod(F.xxhash64("row_id"), F.lit(chunks)).cast("int")).write.partitionBy("chunk").parquet(dealt)
+        src.withColumn("chunk", F.pmod(F.xxhash64("row_id"), F.lit(chunks)).cast("int")).write.option("compression", "zstd").partitionBy("chunk").parquet(dealt)
     for chunk in range(chunks):
         part = src if chunks == 1 else spark.read.schema(src.withColumn("chunk", F.lit(0)).schema).parquet(dealt).where(F.col("chunk") == chunk).drop("chunk")
         done = records_of(log, part, mine, mrs, chunks, chunk)
-        if isinstance(model, ColumnModel) and isinstance(res.helper, ColumnModel) and res.stages is None:
+        finished = None
+        if done is not None:
+            # Told by the identifiers: where all rows are finished, or none is, no text is moved to leave some out.
+            finished = finished_rows(done, model.name, task, tests)
+            rest, whole = part.select("row_id").join(finished, "row_id", "left_anti").count(), part.count()
+            if rest in (0, whole):
+                part, finished = part if rest else part.where(F.lit(False)), None
+        expressions = isinstance(model, ColumnModel) and isinstance(res.helper, ColumnModel)
+        if expressions and res.stages is None:
             # Such a run moves no rows by itself: dealt once as they come, the rows are where their records are made. A task
             # holds several times its texts, so parts are not put together to the size that suits a shuffle.
             part = part.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row_id")
-        if done is not None:
-            part = part.join(finished_rows(done, model.name, task, tests), "row_id", "left_anti")
-        fresh = records(run_task(part, [model], task, tests, res))
-        if done is not None:
+        if finished is not None:
+            part = part.join(finished, "row_id", "left_anti")
+        steps = _steps(part) if expressions and res.stages is not None else 1
+        labels = {"chunks": chunks, "chunk": chunk, "mrs": mrs} | ({} if batch is None else {"batch": batch})
+        number = chunk if batch is None else batch
+
+        def fresh(rows: DataFrame, done: DataFrame | None = done) -> DataFrame:
+            made = records(run_task(rows, [model], task, tests, res))
+            if done is None:
+                return made
             # By row alone, so that records stay where they were made.
             known = done.groupBy("row_id").agg(F.collect_set("mr").alias("_known")).hint("shuffle_hash")
-            kept = fresh.join(known, "row_id", "left").where(~F.coalesce(F.array_contains("_known", F.col("mr")), F.lit(False)))
-            fresh = kept.select(*fresh.columns)
-        labels = {"chunks": chunks, "chunk": chunk, "mrs": mrs} | ({} if batch is None else {"batch": batch})
-        append_results(fresh, path, run_id, chunk if batch is None else batch, **mine, **labels)
+            kept = made.join(known, "row_id", "left").where(~F.coalesce(F.array_contains("_known", F.col("mr")), F.lit(False)))
+            return kept.select(*made.columns)
+
+        if steps == 1:
+            append_results(fresh(part), path, run_id, number, **mine, **labels)
+        else:
+            run_task(part, [model], task, tests, res)  # fills the kept tables, all rows at once
+            step = F.when(F.col("row_id").isNotNull(), F.pmod(F.xxhash64("row_id"), F.lit(steps)))
+            append_in_steps(spark, (fresh(part.where(step == i)) for i in range(steps)), path, run_id, number, **mine, **labels)
+        if chunks > 1:
+            drop_folder(spark, f"{dealt}/chunk={chunk}")
+        spark.sparkContext._jvm.System.gc()  # what was shuffled for the chunk goes now
     return log.read()
 
 
+def _steps(rows: DataFrame) -> int:
+    """In how many steps records are written: rows and their kept follow-ups are shuffled to meet, a step at a time."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(1, min(32, -(-size // STEP_BYTES)))
+
+
 def records_of(log: PartTable, rows: DataFrame, mine: dict, mrs: list[int], chunks: int = 1, chunk: int = 0) -> DataFrame | None:
     """The log's records of one model and task that may belong to the given rows, or None where no part can hold any.
 

@@ -60,19 +60,17 @@ class PartTable:
         parts = [Part(r["name"], json.loads(r["labels"]), r["least"], r["most"], r["rows"], r["committed_at"]) for r in rows]
         return sorted(parts, key=lambda p: (p.committed_at, p.name))
 
-    def write_part(self, df: DataFrame, slices: int = 1) -> Callable[..., Part]:
+    def write_part(self, df: DataFrame | Iterable[DataFrame]) -> Callable[..., Part]:
         """Write a part without committing it; calling the result with its labels does.
 
-        With ``slices`` it is written in so many steps, by a hash of the identifiers: where rows are shuffled by their identifiers
-        on the way, the disk holds the shuffled texts of one step at a time.
+        Several tables are written one after the other, so the disk holds what one of them shuffles at a time.
         """
         name = uuid.uuid4().hex
         folder = f"{self.path}/parts/commit={name}"
-        for step in range(slices):
-            rows = df if slices == 1 else df.where(F.pmod(F.xxhash64(F.col(self.id_col)), F.lit(slices)) == step)
+        for rows in [df] if isinstance(df, DataFrame) else df:
             rows.write.mode("append").option("compression", "zstd").partitionBy(*self.partition_by).parquet(folder)
-            if slices > 1:
-                self.spark.sparkContext._jvm.System.gc()  # what was shuffled for the step goes now
+            if rows is not df:
+                self.spark.sparkContext._jvm.System.gc()  # what was shuffled for the table goes now
 
         def commit(**labels) -> Part:
             # Read from the written part's identifiers: an observation of the write would be lost where the plan is found empty.
@@ -85,8 +83,8 @@ class PartTable:
 
         return commit
 
-    def append(self, df: DataFrame, slices: int = 1, **labels) -> Part:
-        return self.write_part(df, slices)(**labels)
+    def append(self, df: DataFrame | Iterable[DataFrame], **labels) -> Part:
+        return self.write_part(df)(**labels)
 
     def read(self, parts: list[Part] | None = None) -> DataFrame | None:
         """The rows of the given parts, or of all; None where nothing was ever committed."""
@@ -103,11 +101,16 @@ def result_log(spark: SparkSession, path: str) -> PartTable:
     return PartTable(spark, path, LOG_SCHEMA, ("llm", "task", "mr"))
 
 
-def append_results(results: DataFrame, path: str, run_id: str, part: int = 0, slices: int = 1, **labels) -> Part:
+def append_results(results: DataFrame, path: str, run_id: str, part: int = 0, **labels) -> Part:
     """Commit records as one part of a run; runs number their parts, and a row says when its part was begun."""
-    now = F.lit(datetime.now(timezone.utc))
-    marked = results.withColumns({"run_id": F.lit(run_id), "part": F.lit(part), "committed_at": now})
-    return result_log(results.sparkSession, path).append(marked, slices, run_id=run_id, part=part, **labels)
+    marks = {"run_id": F.lit(run_id), "part": F.lit(part), "committed_at": F.lit(datetime.now(timezone.utc))}
+    return result_log(results.sparkSession, path).append(results.withColumns(marks), run_id=run_id, part=part, **labels)
+
+
+def append_in_steps(spark: SparkSession, steps: Iterable[DataFrame], path: str, run_id: str, part: int = 0, **labels) -> Part:
+    """As ``append_results`` for records that come as several tables, which are made and written one after the other."""
+    marks = {"run_id": F.lit(run_id), "part": F.lit(part), "committed_at": F.lit(datetime.now(timezone.utc))}
+    return result_log(spark, path).append((s.withColumns(marks) for s in steps), run_id=run_id, part=part, **labels)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame | None:
